@@ -1,8 +1,8 @@
 """Language identification by compression.
 
 Each language has a zstandard raw-content dictionary made of labelled texts. A
-text is cut into chunks, each chunk is compressed with every dictionary, and the
-language whose dictionary gives the fewest bytes over the whole text is chosen.
+text, reduced to its lower-cased letters, is cut into chunks, each chunk is
+compressed with every dictionary, and the language whose dictionary gives the fewest bytes over the whole text is chosen.
 A text whose two smallest sizes are close is rejected.
 """
 
@@ -21,12 +21,18 @@ BYTES_PER_ROW = 600
 DICTIONARY_BYTES = 112 << 10
 #: Languages, the most frequent first, that get a dictionary.
 MOST_LANGUAGES = 400
-CHUNK = 4096
-LEVEL = 3
+CHUNK = 512
+LEVEL = 6
 #: A text is rejected if the second smallest size is larger by less than this part of it.
 MIN_MARGIN = 0.004
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
+NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> bytes:
+    """The lower-cased letters of a text, with one space for each run of anything else."""
+    return NOT_LETTERS.sub(" ", text.lower()).encode()
 
 
 def learn(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> dict[str, bytes]:
@@ -47,7 +53,7 @@ def learn(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> dict[str, bytes
     bound = rows * max(1, len(languages))
     for r in chosen.orderBy("doc_id", "part").limit(bound).collect():
         if r["lang"] in parts:
-            parts[r["lang"]].append(bytes(r["part"]))
+            parts[r["lang"]].append(letters(bytes(r["part"]).decode(errors="ignore")))
     return {x: b"".join(parts[x])[:DICTIONARY_BYTES] for x in languages if parts[x]}
 
 
@@ -80,7 +86,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str] =
                 if not names or text is None or not LETTER.search(text):
                     found.append(UNDETERMINED), scores.append(0.0), rejected.append(True)
                     continue
-                raw = memoryview(text.encode())
+                raw = memoryview(letters(text))
                 chunks = [raw[k : k + CHUNK] for k in range(0, len(raw), CHUNK)]
                 sizes = np.array([sum(len(coder(c)) for c in chunks) for coder in coders])
                 best = int(sizes.argmin())
