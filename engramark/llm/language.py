@@ -21,6 +21,8 @@ BYTES_PER_ROW = 600
 DICTIONARY_BYTES = 112 << 10
 #: Languages, the most frequent first, that get a dictionary.
 MOST_LANGUAGES = 400
+#: Hash values that doc_ids are spread over to bound what is sorted.
+HASHES = 1 << 30
 CHUNK = 512
 LEVEL = 6
 #: A text is rejected if the second smallest size is larger by less than this part of it.
@@ -43,9 +45,15 @@ def learn(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> dict[str, bytes
     result's size is bounded by the constants above.
     """
     usable = labelled.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
-    languages = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    languages = list(counts)
+    # Of a frequent language only the hashes below a bound are sorted, about four times as many as are taken.
+    bound = F.lit(0)
+    for lang, n in counts.items():
+        bound = F.when(F.col("lang") == lang, F.lit(max(1, HASHES * 4 * rows // n))).otherwise(bound)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows).drop("k")
+    few = usable.select("doc_id", "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)) < bound).distinct()
+    ids = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows).drop("k")
     parts = {x: [] for x in languages}
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.octet_length("text") - BYTES_PER_ROW)).cast("int")
     part = F.substring(F.encode("text", "UTF-8"), start + 1, F.lit(BYTES_PER_ROW))

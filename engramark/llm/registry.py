@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("language", "near_dedup", "packing")
+MODULES = ("decontaminate", "language", "near_dedup", "packing")
 
 
 def queries() -> dict:
