@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "language", "near_dedup", "packing")
+MODULES = ("decontaminate", "html_extract", "language", "near_dedup", "packing", "url_filter", "warc")
 
 
 def queries() -> dict:
