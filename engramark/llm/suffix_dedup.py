@@ -150,7 +150,7 @@ def counted(fetched: DataFrame, length: int) -> DataFrame:
 def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """key, doc_id, start, end: byte ranges, maybe overlapping, whose union is every byte of a string of ``length`` bytes that starts twice or more."""
     all_ = scratch.written(segments(texts, length), "segments")
-    several = all_.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
+    several = scratch.written(all_.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash"), "shared-hashes")
     shared = scratch.written(all_.join(several, "hash", "left_semi"), "shared-segments")
     place = F.struct("key", "doc_id", "start", "size", "anchor")
     distinct = scratch.written(shared.groupBy("hash", "content").agg(F.count("*").alias("n"), F.min(place).alias("place")), "distinct-segments")
