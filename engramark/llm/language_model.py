@@ -183,7 +183,7 @@ def requests(docs: DataFrame, frequent, parts: int) -> DataFrame:
                         some = at[a:b]
                         frequent_ones = common[some]
                         keys = np.diff(key[some], prepend=np.uint64(0))
-                        rows.append((src, p, len(ids), packed(keys, before[some].astype(np.int32), frequent_ones, n[a:b], dev[a:b], spread[a:b], doc[at[a] : at[b] if b < len(at) else len(key)])))
+                        rows.append((src, p, len(ids), pickle.dumps((packed(keys, before[some].astype(np.int32), frequent_ones, n[a:b], dev[a:b]), packed(spread[a:b], doc[at[a] : at[b] if b < len(at) else len(key)])))))
                 yield _rows(rows)
                 src += 1
 
@@ -200,7 +200,8 @@ def counts_met(rows: DataFrame, frequent, parts: int) -> DataFrame:
     """The requests with the corpus counts of their tokens and pairs, and the cells of the held-out development pairs."""
 
     def meet(src: list, sizes: list, blobs: list, known: Frequent) -> list[tuple]:
-        each = [unpacked(x) for x in blobs]
+        # Documents stay compressed: only counts meet.
+        each, documents = zip(*((unpacked(x), d) for x, d in map(pickle.loads, blobs)), strict=True)
         key = np.concatenate([np.cumsum(e[0], dtype=np.uint64) for e in each])
         before, common, n, dev = (np.concatenate([e[k] for e in each]) for k in (1, 2, 3, 4))
         n, dev = n.astype(np.int64), dev.astype(np.int64)
@@ -222,9 +223,9 @@ def counts_met(rows: DataFrame, frequent, parts: int) -> DataFrame:
         total, pairs = np.empty(len(k), np.int64), np.empty(len(k), np.int64)
         total[order], pairs[order] = n2, n12
         at = 0
-        for s, size, e in zip(src, sizes, each, strict=True):
+        for s, size, e, held_by in zip(src, sizes, each, documents, strict=True):
             end = at + len(e[0])
-            out.append((s, 0, size, packed(total[at:end], pairs[at:end], e[1], e[5], e[6])))
+            out.append((s, 0, size, pickle.dumps((packed(total[at:end], pairs[at:end], e[1]), held_by))))
             at = end
         return out
 
@@ -259,7 +260,7 @@ def document_sums(met: DataFrame, frequent, mixture: np.ndarray) -> DataFrame:
                 if dst == DOCUMENTS:
                     yield _rows([(src, dst, n, data)])
                     continue
-                n2, n12, context, spread, doc = unpacked(data)
+                n2, n12, context, spread, doc = (x for blob in pickle.loads(data) for x in unpacked(blob))
                 weight = mixture[known.bucket[context]]
                 p = weight[:, 0] / (known.distinct + 1) + weight[:, 1] * n2 / max(1, known.total) + weight[:, 2] * n12 / np.maximum(1, known.n[context])
                 sums = [np.bincount(doc, np.repeat(x, spread), n) for x in (n2 > 0, np.log10(n2 + 1) - base, np.log10(p))]
@@ -280,7 +281,7 @@ def scores(docs: DataFrame) -> DataFrame:
     counts = scratch.written(token_counts(texts), "token-counts")
     total, fit, distinct = (x or 0 for x in counts.agg(F.sum("n"), F.sum("n_fit"), F.count("*")).first())
     frequent = spark.sparkContext.broadcast(Frequent(counts.where(F.col("n") * CONTEXTS >= total).collect(), total, fit, distinct))
-    parts = max(1, scratch.shuffle_partitions(spark) // 2)
+    parts = scratch.shuffle_partitions(spark)
     met = scratch.written(counts_met(requests(texts, frequent, parts), frequent, parts), "pair-counts")
     cells = met.where(F.col("dst") == CELLS).groupBy("src").agg(F.sum("n").alias("n")).collect()
     mixture = learned(np.array([r["src"] for r in cells], np.int64), np.array([r["n"] for r in cells], np.float64))
