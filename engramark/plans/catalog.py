@@ -1,4 +1,7 @@
 """All registered queries of the reference's own operators, with the equivalent SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from engramark.plans import canonicalization
+
+_PARTS = (canonicalization,)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
