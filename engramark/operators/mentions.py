@@ -53,7 +53,7 @@ def spans(text: str, allowed: tuple[str, ...] = ()) -> list[dict]:
 def named(df: DataFrame, column: str, allowed: tuple[str, ...] = ()) -> DataFrame:
     """Adds spans: array of (start, end, surface)."""
     arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("surface", pa.string())]))
-    return _mapped(df, column, "spans", T.ArrayType(T.StructType().add("start", "int").add("end", "int").add("surface", "string")), arrow, lambda x: spans(x, allowed))
+    return _mapped(df, column, "spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("surface", "string")), arrow, lambda x: spans(x, allowed))
 
 
 def spliced(text: str, found: str, canonical: Column) -> Column:
