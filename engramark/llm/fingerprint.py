@@ -40,13 +40,16 @@ def paragraphs(digests: str, at: str) -> Column:
     return F.expr(f"aggregate({digests}, named_struct('done', cast(array() as array<bigint>), 'open', 0L), (s, x) -> {step}, s -> array_distinct(if(s.open = 0L, s.done, concat(s.done, array(s.open)))))")
 
 
-def _cell(digest: str, cell: str, size: int) -> str:
-    """Whether a digest is entered in a cell: each table reads other bits of it."""
-    return f"(shiftrightunsigned({digest}, 16 * ({cell} div {size})) & {size - 1}) = {cell} % {size}"
+def _in_cell(digest: str, shift: str, cell: str, size: int) -> str:
+    """Whether a digest is entered in a cell of the table that reads its bits from ``shift`` on."""
+    return f"(shiftrightunsigned({digest}, {shift}) & {size - 1}L) = {cell}"
+
+
+SHIFTS = "array(0, 16, 32)"
 
 
 def _sketch(digests: str, size: int) -> str:
-    held = f"transform(sequence(0, {TABLES * size - 1}), c -> filter({digests}, k -> {_cell('k', 'c', size)}))"
+    held = f"flatten(transform({SHIFTS}, b -> transform(sequence(0L, {size - 1}L), c -> filter({digests}, k -> {_in_cell('k', 'b', 'c', size)}))))"
     return f"transform({held}, h -> named_struct('n', size(h), 'k', aggregate(h, 0L, (a, k) -> a ^ k), 'h', aggregate(h, 0L, (a, k) -> a ^ xxhash64(k))))"
 
 
@@ -59,19 +62,27 @@ def _peeled(difference: str, size: int) -> str:
     single = "filter(s.cells, c -> abs(c.n) = 1 and c.h = xxhash64(c.k))"
     found = f"array_distinct(transform({single}, c -> named_struct('k', c.k, 'n', c.n)))"
     taken = "named_struct('n', c.n - aggregate(q, 0, (a, p) -> a + p.n), 'k', c.k ^ aggregate(q, 0L, (a, p) -> a ^ p.k), 'h', c.h ^ aggregate(q, 0L, (a, p) -> a ^ xxhash64(p.k)))"
-    rest = f"transform(s.cells, (c, j) -> element_at(transform(array(filter(f, p -> {_cell('p.k', 'j', size)})), q -> if(size(q) = 0, c, {taken})), 1))"
+    at = f"named_struct('b', 16 * cast(j div {size} as int), 'c', cast(j % {size} as bigint))"
+    entered = f"element_at(transform(array({at}), z -> filter(f, p -> {_in_cell('p.k', 'z.b', 'z.c', size)})), 1)"
+    rest = f"transform(s.cells, (c, j) -> element_at(transform(array({entered}), q -> if(size(q) = 0, c, {taken})), 1))"
     step = f"element_at(transform(array({found}), f -> named_struct('cells', {rest}, 'found', concat(s.found, f), 'over', size(f) = 0)), 1)"
     start = f"named_struct('cells', {difference}, 'found', cast(array() as array<struct<k: bigint, n: int>>), 'over', false)"
     return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, i) -> if(s.over, s, {step}), s -> if(exists(s.cells, c -> c.n <> 0 or c.k <> 0L or c.h <> 0L), null, s.found))"
 
 
-def differing(one: str, two: str) -> Column:
+def _difference(one: str, two: str) -> str:
+    return f"zip_with({one}, {two}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
+
+
+def differing(one: str, two: str, first: tuple[str, str] | None = None) -> Column:
     """Digests (k, n) that only one of two arrays of distinct digests has, n being 1 for the first and -1 for the second.
 
     The sketches are subtracted and peeled, at growing sizes until one gives all;
-    should none, the arrays are compared.
+    should none, the arrays are compared. ``first`` names sketches of the first size.
     """
-    tries = [_peeled(f"zip_with({_sketch(one, size)}, {_sketch(two, size)}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'h', x.h ^ y.h))", size) for size in SIZES]
+    smallest = first or (_sketch(one, SIZES[0]), _sketch(two, SIZES[0]))
+    tries = [_peeled(_difference(*smallest), SIZES[0])]
+    tries += [_peeled(_difference(_sketch(one, size), _sketch(two, size)), size) for size in SIZES[1:]]
     plain = f"concat(transform(array_except({one}, {two}), k -> named_struct('k', k, 'n', 1)), transform(array_except({two}, {one}), k -> named_struct('k', k, 'n', -1)))"
     return F.expr(f"coalesce({', '.join([*tries, plain])})")
 
@@ -120,8 +131,12 @@ def compared(pairs: DataFrame) -> DataFrame:
     x = x.withColumn("s0", scale("h0")).withColumn("s1", scale("h1")).withColumn("e", F.greatest("s0", scale("h1"))).withColumn("n", F.greatest("s0", scale("h2")))
     x = x.withColumn("p0", paragraphs("h0", "s0")).withColumn("p1", paragraphs("h1", "s1"))
     x = x.withColumn("e0", paragraphs("h0", "e")).withColumn("e1", paragraphs("h1", "e")).withColumn("n0", paragraphs("h0", "n")).withColumn("n2", paragraphs("h2", "n"))
-    x = x.withColumn("e_found", differing("e0", "e1")).withColumn("n_found", differing("n0", "n2"))
-    x = x.withColumn("fingerprint", printed("s0", _sketch("p0", SIZES[0]))).withColumn("edited_fingerprint", printed("s1", _sketch("p1", SIZES[0])))
+    # A sketch at the common scale is the document's own where that is its scale.
+    x = x.withColumn("c0", sketch("p0")).withColumn("c1", sketch("p1"))
+    own = lambda scale, mine, cells, digests: F.when(F.col(scale) == F.col(mine), F.col(cells)).otherwise(sketch(digests))
+    x = x.withColumn("ce0", own("e", "s0", "c0", "e0")).withColumn("ce1", own("e", "s1", "c1", "e1")).withColumn("cn0", own("n", "s0", "c0", "n0")).withColumn("cn2", sketch("n2"))
+    x = x.withColumn("e_found", differing("e0", "e1", ("ce0", "ce1"))).withColumn("n_found", differing("n0", "n2", ("cn0", "cn2")))
+    x = x.withColumn("fingerprint", printed("s0", "c0")).withColumn("edited_fingerprint", printed("s1", "c1"))
     x = x.withColumn("near_edited", likeness("e0", "e1", "e_found")).withColumn("near_next", likeness("n0", "n2", "n_found"))
     return x.select(*pairs.columns, "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.col("e_found").alias("edited_difference"), F.col("n_found").alias("next_difference"))
 
