@@ -20,6 +20,9 @@ from engramark.llm.near_dedup import near_duplicates
 from engramark.llm.packing import pack
 from engramark.llm.suffix_dedup import without_repeats
 
+#: Bytes of a repeated passage that is taken out: fewer than 50 words of any language have.
+PASSAGE_BYTES = 250
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or with a narrow margin between languages. Nothing else of a document changes."""
@@ -36,9 +39,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes strings of 400 bytes that occur twice or more out of all texts; documents of which nothing is left go."""
+    """Takes strings of PASSAGE_BYTES that occur twice or more out of all texts; documents of which nothing is left go."""
     scratch.release(spark)
-    cut = without_repeats(docs).where("text is not null and text <> ''")
+    cut = without_repeats(docs, PASSAGE_BYTES).where("text is not null and text <> ''")
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
