@@ -49,8 +49,8 @@ SHIFTS = "array(0, 16, 32)"
 
 
 def _sketch(digests: str, size: int) -> str:
-    held = f"flatten(transform({SHIFTS}, b -> transform(sequence(0L, {size - 1}L), c -> filter({digests}, k -> {_in_cell('k', 'b', 'c', size)}))))"
-    return f"transform({held}, h -> named_struct('n', size(h), 'k', aggregate(h, 0L, (a, k) -> a ^ k), 'h', aggregate(h, 0L, (a, k) -> a ^ xxhash64(k))))"
+    held = f"flatten(transform({SHIFTS}, _t -> transform(sequence(0L, {size - 1}L), _c -> filter({digests}, _k -> {_in_cell('_k', '_t', '_c', size)}))))"
+    return f"transform({held}, _h -> named_struct('n', size(_h), 'k', aggregate(_h, 0L, (_a, _k) -> _a ^ _k), 'h', aggregate(_h, 0L, (_a, _k) -> _a ^ xxhash64(_k))))"
 
 
 def sketch(digests: str, size: int = SIZES[0]) -> Column:
