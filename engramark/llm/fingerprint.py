@@ -134,7 +134,6 @@ def compared(pairs: DataFrame) -> DataFrame:
     x = x.withColumn("s0", scale("h0")).withColumn("s1", scale("h1")).withColumn("e", F.greatest("s0", scale("h1"))).withColumn("n", F.greatest("s0", scale("h2")))
     x = x.withColumn("p0", paragraphs("h0", "s0")).withColumn("p1", paragraphs("h1", "s1"))
     x = x.withColumn("e0", paragraphs("h0", "e")).withColumn("e1", paragraphs("h1", "e")).withColumn("n0", paragraphs("h0", "n")).withColumn("n2", paragraphs("h2", "n"))
-    # A sketch at the common scale is the document's own where that is its scale.
     x = x.withColumn("e_found", differing("e0", "e1")).withColumn("n_found", differing("n0", "n2"))
     x = x.withColumn("fingerprint", printed("s0", _sketch("p0", SIZES[0]))).withColumn("edited_fingerprint", printed("s1", _sketch("p1", SIZES[0])))
     x = x.withColumn("near_edited", likeness("e0", "e1", "e_found")).withColumn("near_next", likeness("n0", "n2", "n_found"))
