@@ -4,14 +4,12 @@ The probability of a token mixes the maximum-likelihood estimates of its pair wi
 the token before, of the token alone, and of any token, by weights that depend on
 how frequent the token before is. The weights are learned by expectation-
 maximisation: counts of a part of the training documents predict the pairs of the
-rest, which are held out from those counts. Contexts rarer than one token in
-CONTEXTS share a bucket without a pair estimate; that bounds the table of contexts
-whatever the corpus. Counts are exact and over all training documents.
+rest, which are held out from those counts. Every token and every pair of the
+training documents is counted, however rare.
 
 Tokens travel as hashes in compressed blobs: a batch of documents sends each of its
-distinct (token, context) pairs once to the partition of its token, or of the pair
-where both are frequent, so that a frequent token burdens none; there the counts
-of all batches meet, and go back as sums for each document.
+distinct tokens and pairs once, to the partition of its hash, so that a frequent one
+burdens none; there the counts of all batches meet, and the sums go back to the batch.
 """
 
 from __future__ import annotations
@@ -29,15 +27,14 @@ from pyspark.sql import functions as F
 from engramark.llm import bytetext, scratch
 
 FOLDS, HELD_OUT, DEVELOPMENT = 7, 2, 6
-#: Tokens at least one in so many are frequent: contexts of their own, broadcast with their counts.
-CONTEXTS = 200_000
-BUCKETS = 20
+#: Contexts are mixed alike if their counts have the same number of binary digits.
+BUCKETS = 48
 #: Bytes of text in a batch.
 BATCH = 16 << 20
 #: The token that ends a text, and stands before its first word.
 END = np.uint64(0x0123456789ABCDEF)
-#: Steps per doubling, lowest step and number of steps in which ratios of probabilities are counted for the weights.
-STEPS, LOWEST, WIDTH = 4, -40, 512
+#: Steps per doubling and number of steps in which estimates are counted for the weights.
+STEPS, WIDTH = 4, 512
 _TOKEN_BITS = np.uint64((1 << 56) - 1)
 
 
@@ -74,199 +71,200 @@ def token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.
         yield ids, np.concatenate(folds), np.concatenate(tokens), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """token, n, n_fit: counts over the training documents, and over those of them that are not development."""
+def bucket(count: np.ndarray) -> np.ndarray:
+    """The bucket of a context with this count: 0 for a context without one, which has no pairs."""
+    return np.clip(np.frexp(count.astype(np.float64))[1], 0, BUCKETS - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for _, folds, tokens, pointer in token_batches(batches):
-                fold = np.repeat(folds, np.diff(pointer))
-                trains = (fold >= 0) & (fold != HELD_OUT)
-                distinct, name = np.unique(tokens[trains], return_inverse=True)
-                fit = np.bincount(name, fold[trains] != DEVELOPMENT, len(distinct)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(np.bincount(name, minlength=len(distinct))), pa.array(fit)], ["token", "n", "n_fit"])
-
-    return docs.mapInArrow(run, "token long, n long, n_fit long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_fit").alias("n_fit"))
-
-
-class Frequent:
-    """The frequent tokens with their counts, and the corpus totals."""
-
-    def __init__(self, rows: list, total: int, fit: int, distinct: int) -> None:
-        tokens = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
-        order = np.argsort(tokens)
-        self.tokens = tokens[order]
-        # One more entry, the last, for contexts that are not frequent.
-        self.n = np.array([*(r["n"] for r in rows), 0], np.int64)[[*order, len(rows)]]
-        self.n_fit = np.array([*(r["n_fit"] for r in rows), 0], np.int64)[[*order, len(rows)]]
-        self.total, self.fit, self.distinct = total, fit, distinct
-        level = np.log2(np.maximum(self.n, 1) / max(1, total) * CONTEXTS)
-        self.bucket = np.clip(1 + np.floor(level), 1, BUCKETS - 1).astype(np.int64)
-        self.bucket[-1] = 0
-
-    def find(self, tokens: np.ndarray) -> np.ndarray:
-        """Places of the tokens; the last place for one that is not frequent."""
-        rest = len(self.tokens)
-        if not rest:
-            return np.zeros(len(tokens), np.int64)
-        at = np.searchsorted(self.tokens, tokens)
-        at[at == rest] = 0
-        return np.where(self.tokens[at] == tokens, at, rest)
-
-    def cells(self, context: np.ndarray, n2: np.ndarray, n12: np.ndarray) -> np.ndarray:
-        """Cells of bucket and ratios to the uniform estimate, from counts of the fitting part."""
-        p1 = n2 / max(1, self.fit) * (self.distinct + 1)
-        p2 = n12 / np.maximum(1, self.n_fit[context]) * (self.distinct + 1)
-        one, two = (np.where(p > 0, np.clip(np.rint(STEPS * np.log2(np.where(p > 0, p, 1))) - LOWEST, 1, WIDTH - 1), 0).astype(np.int64) for p in (p1, p2))
-        return (self.bucket[context] * WIDTH + one) * WIDTH + two
-
-
-def learned(cells: np.ndarray, weights: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Weights (any token, token, pair) for each bucket, by expectation-maximisation over the counted cells."""
-    ratio = np.where(np.arange(WIDTH) > 0, 2.0 ** ((np.arange(WIDTH) + LOWEST) / STEPS), 0)
-    bucket = cells // WIDTH // WIDTH
-    estimates = np.stack([np.ones(len(cells)), ratio[cells // WIDTH % WIDTH], ratio[cells % WIDTH]], 1)
+
+def cell(context: np.ndarray, n2: np.ndarray, n12: np.ndarray) -> np.ndarray:
+    """Cells of bucket, token count and pair probability from the counts of a context, a token and their pair; step 0 stands for none."""
+    one = np.where(n2 > 0, 1 + np.rint(STEPS * np.log2(np.maximum(1, n2))), 0)
+    two = np.where(n12 > 0, 1 + np.rint(STEPS * np.log2(np.maximum(1, context) / np.maximum(1, n12))), 0)
+    one, two = (np.clip(x, 0, WIDTH - 1).astype(np.int64) for x in (one, two))
+    return (bucket(context) * WIDTH + one) * WIDTH + two
+
+
+def learned(cells: np.ndarray, weights: np.ndarray, fit: int, distinct: int, rounds: int = 100) -> np.ndarray:
+    """Weights (any token, token, pair) for each bucket, by expectation-maximisation over the counted cells.
+
+    ``fit`` and ``distinct`` are the tokens counted for the estimates and the vocabulary. A
+    bucket without held-out pairs has the weights of the next rarer one.
+    """
+    step = np.arange(WIDTH) - 1
+    single = np.where(step >= 0, 2.0 ** (step / STEPS) / max(1, fit) * (distinct + 1), 0)
+    paired = np.where(step >= 0, 2.0 ** (-step / STEPS) * (distinct + 1), 0)
+    of = cells // WIDTH // WIDTH
+    estimates = np.stack([np.ones(len(cells)), single[cells // WIDTH % WIDTH], paired[cells % WIDTH]], 1)
     mixture = np.tile([0.1, 0.5, 0.4], (BUCKETS, 1))
     mixture[0] = [0.1, 0.9, 0]
-    for b in np.unique(bucket):
-        x, w, lam = estimates[bucket == b], weights[bucket == b], mixture[b]
+    for b in range(BUCKETS):
+        x, w, lam = estimates[of == b], weights[of == b], mixture[b]
+        if not len(x):
+            mixture[b] = mixture[b - 1] if b > 1 else lam
+            continue
         for _ in range(rounds):
             parts = x * lam
             lam = (parts / parts.sum(1, keepdims=True) * w[:, None]).sum(0) / w.sum()
-            lam = np.maximum(lam, [1e-6, 1e-6, 0])
+            lam = np.maximum(lam, [1e-6, 1e-6, 1e-6 if b else 0])
             lam = lam / lam.sum()
         mixture[b] = lam
     return mixture
 
 
-ROWS = "src long, dst int, n long, data binary"
-#: Values of dst for what isn't sent to a partition of tokens: a batch's documents, and counted cells (src is the cell).
-DOCUMENTS, CELLS = -1, -2
+ROWS = "src long, dst int, kind int, n long, data binary"
+#: What a row holds: a batch's documents, counts of one partition for a batch, counted cells (n is the weight, src the cell),
+#: the totals of one partition, or a batch with all its counts.
+DOCUMENTS, COUNTS, CELLS, TOTALS, COUNTED = range(5)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else ([],) * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["src", "dst", "n", "data"])
+    columns = zip(*rows, strict=True) if rows else ([],) * 5
+    types = pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["src", "dst", "kind", "n", "data"])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
-def requests(docs: DataFrame, frequent, parts: int) -> DataFrame:
-    """For each batch: its documents, and for each partition the distinct pairs with their counts and documents."""
+def requests(docs: DataFrame, parts: int) -> DataFrame:
+    """For each batch: its documents, and for each partition the distinct tokens and pairs dealt to it.
+
+    A partition's row has, beside the hashes with their training and development counts, what the batch
+    wants back with the answer: the pairs as places in its list of tokens, and the documents of each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, src = frequent.value, TaskContext.get().partitionId() << 24
-        rest = len(known.tokens)
+        src, count = TaskContext.get().partitionId() << 24, np.uint64(parts)
         with np.errstate(over="ignore"):
             for ids, folds, tokens, pointer in token_batches(batches):
                 doc = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(pointer))
-                here = known.find(tokens)
-                before = np.empty_like(here)
-                before[1:] = here[:-1]
-                before[pointer[:-1]] = known.find(np.array([END & _TOKEN_BITS]))[0]
-                # A frequent token's own name is its place; its pairs are dealt by both places.
-                key = np.where(here < rest, here.astype(np.uint64), tokens)
-                to = np.where(here < rest, bytetext.mix(key * np.uint64(0x9E3779B97F4A7C15) + before.astype(np.uint64)), bytetext.mix(key))
-                to = (to % np.uint64(parts)).astype(np.int32)
-                order = np.lexsort((before, key, here < rest, to))
-                key, before, common, to, doc = key[order], before[order], (here < rest)[order], to[order], doc[order]
-                fold = folds[doc]
-                trains = (fold >= 0) & (fold != HELD_OUT)
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (before[1:] != before[:-1]) | (common[1:] != common[:-1]) | (to[1:] != to[:-1])
-                at = np.flatnonzero(new)
-                n, dev = (np.add.reduceat(x.astype(np.int32), at) for x in (trains, trains & (fold == DEVELOPMENT)))
-                spread = np.diff(np.append(at, len(key))).astype(np.int32)
-                rows = [(src, DOCUMENTS, len(ids), pickle.dumps((ids, folds, np.diff(pointer))))]
-                cuts = np.searchsorted(to[at], np.arange(parts + 1))
-                for p in range(parts):
-                    a, b = cuts[p], cuts[p + 1]
-                    if a < b:
-                        some = at[a:b]
-                        frequent_ones = common[some]
-                        keys = np.diff(key[some], prepend=np.uint64(0))
-                        rows.append((src, p, len(ids), pickle.dumps((packed(keys, before[some].astype(np.int32), frequent_ones, n[a:b], dev[a:b]), packed(spread[a:b], doc[at[a] : at[b] if b < len(at) else len(key)])))))
+                name, at = np.unique(tokens, return_inverse=True)
+                # The batch's list of tokens is ordered by partition, then hash.
+                deal = (bytetext.mix(name) % count).astype(np.int32)
+                order = np.lexsort((name, deal))
+                name, deal = name[order], deal[order]
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                at = place[at]
+                before = np.empty_like(at)
+                before[1:] = at[:-1]
+                before[pointer[:-1]] = at[pointer[1:] - 1]  # every text ends with END
+                trains = (folds[doc] >= 0) & (folds[doc] != HELD_OUT)
+                develops = folds[doc] == DEVELOPMENT
+                single = [np.bincount(at, x, len(name)).astype(np.int32) for x in (trains, develops)]
+                # Pairs are ordered by partition, token and token before.
+                code = at * len(name) + before
+                occurs = np.argsort(code, kind="stable")
+                first = np.flatnonzero(np.diff(code[occurs], prepend=-1))
+                token, context = np.divmod(code[occurs][first], len(name))
+                key = bytetext.mix(name[token] * np.uint64(0x9E3779B97F4A7C15) + bytetext.mix(name[context]))
+                to = (key % count).astype(np.int32)
+                spread = np.diff(np.append(first, len(code)))
+                paired = [np.add.reduceat(x[occurs].astype(np.int32), first) for x in (trains, develops)]
+                order = np.argsort(to, kind="stable")
+                begin = np.repeat(first[order] - np.cumsum(spread[order]) + spread[order], spread[order])
+                doc = doc[occurs][begin + np.arange(len(code))]
+                token, context, key, spread, to = token[order], context[order], (key >> np.uint64(8))[order], spread[order].astype(np.int32), to[order]
+                paired = [x[order] for x in paired]
+                rows = [(src, src % parts, DOCUMENTS, len(ids), pickle.dumps((ids, folds, np.diff(pointer))))]
+                tokens_cut, pairs_cut = (np.searchsorted(x, np.arange(parts + 1)) for x in (deal, to))
+                docs_cut = np.concatenate([[0], np.cumsum(spread)])
+                for p in np.union1d(deal, to).tolist():
+                    (a, b), (c, d) = tokens_cut[p : p + 2], pairs_cut[p : p + 2]
+                    asked = packed(np.diff(name[a:b], prepend=np.uint64(0)), *(x[a:b] for x in single)), packed(key[c:d], *(x[c:d] for x in paired))
+                    own = packed(np.diff(token[c:d], prepend=0).astype(np.int32), context[c:d].astype(np.int32), spread[c:d]), packed(doc[docs_cut[c] : docs_cut[d]])
+                    rows.append((src, p, COUNTS, len(ids), pickle.dumps((*asked, own))))
                 yield _rows(rows)
                 src += 1
 
     return docs.mapInArrow(run, ROWS)
 
 
-def _sums(group: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """For each member, the sum over its group; members of a group stand together and ``group`` marks where one begins."""
-    at = np.flatnonzero(group)
-    return np.repeat(np.add.reduceat(values, at), np.diff(np.append(at, len(values))))
-
-
-def counts_met(rows: DataFrame, frequent, parts: int) -> DataFrame:
-    """The requests with the corpus counts of their tokens and pairs, and the cells of the held-out development pairs."""
-
-    def meet(src: list, sizes: list, blobs: list, known: Frequent) -> list[tuple]:
-        # Documents stay compressed: only counts meet.
-        each, documents = zip(*((unpacked(x), d) for x, d in map(pickle.loads, blobs)), strict=True)
-        key = np.concatenate([np.cumsum(e[0], dtype=np.uint64) for e in each])
-        before, common, n, dev = (np.concatenate([e[k] for e in each]) for k in (1, 2, 3, 4))
-        n, dev = n.astype(np.int64), dev.astype(np.int64)
-        order = np.lexsort((before, key, common))
-        k, c, b = key[order], common[order], before[order]
-        token = np.ones(len(k), bool)
-        token[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-        pair = token.copy()
-        pair[1:] |= b[1:] != b[:-1]
-        own = np.where(c, k, 0).astype(np.int64)
-        n2 = np.where(c, known.n[own], _sums(token, n[order]))
-        fit2 = np.where(c, known.n_fit[own], _sums(token, (n - dev)[order]))
-        paired = b < len(known.tokens)
-        n12 = np.where(paired, _sums(pair, n[order]), 0)
-        fit12 = np.where(paired, _sums(pair, (n - dev)[order]), 0)
-        held = np.flatnonzero(dev[order])
-        cells, which = np.unique(known.cells(b[held], fit2[held], fit12[held]), return_inverse=True)
-        out = [(int(x), CELLS, int(w), None) for x, w in zip(cells, np.bincount(which, dev[order][held], len(cells)), strict=True)]
-        total, pairs = np.empty(len(k), np.int64), np.empty(len(k), np.int64)
-        total[order], pairs[order] = n2, n12
-        at = 0
-        for s, size, e, held_by in zip(src, sizes, each, documents, strict=True):
-            end = at + len(e[0])
-            out.append((s, 0, size, pickle.dumps((packed(total[at:end], pairs[at:end], e[1]), held_by))))
-            at = end
-        return out
+def _met(asked: list[list[np.ndarray]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """For each (keys, n, dev): the corpus sums of n and of n - dev for its keys, packed; and both sums of every distinct key."""
+    keys, n, dev = (np.concatenate([a[k] for a in asked]) for k in range(3))
+    if not len(keys):
+        return [packed(*(np.zeros(0, np.int64),) * 2) for _ in asked], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+    sums = [np.add.reduceat(x[order].astype(np.int64), first) for x in (n, n - dev)]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+    ends = np.cumsum([len(a[0]) for a in asked])
+    return [packed(*(x[which[e - len(a[0]) : e]] for x in sums)) for a, e in zip(asked, ends, strict=True)], *sums
+
+
+def counts_met(rows: DataFrame, parts: int) -> DataFrame:
+    """The requests with the corpus counts of their tokens and pairs in place of the hashes, and the totals of each partition."""
+
+    def meet(dst: int, src: list, sizes: list, blobs: list) -> list[tuple]:
+        # What the batches want back stays compressed: only hashes and counts meet.
+        tokens, pairs, own = zip(*map(pickle.loads, blobs), strict=True)
+        singles = [[np.cumsum(k, dtype=np.uint64), n, dev] for k, n, dev in map(unpacked, tokens)]
+        single, n, fit = _met(singles)
+        paired, _, _ = _met([unpacked(x) for x in pairs])
+        totals = pickle.dumps((int(n.sum()), int(fit.sum()), int((n > 0).sum())))
+        return [(-1 - dst, dst, TOTALS, 0, totals), *((s, dst, COUNTS, size, pickle.dumps(x)) for s, size, *x in zip(src, sizes, single, paired, own, strict=True))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, now, held = frequent.value, None, ([], [], [])
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                for src, dst, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if dst == DOCUMENTS:
-                        yield _rows([(src, dst, n, data)])
-                        continue
-                    if dst != now and held[0]:
-                        yield _rows(meet(*held, known))
-                        held = ([], [], [])
-                    now = dst
-                    for column, value in zip(held, (src, n, data), strict=True):
-                        column.append(value)
-            if held[0]:
-                yield _rows(meet(*held, known))
-
-    return rows.repartition(parts, "dst").sortWithinPartitions("dst").mapInArrow(run, ROWS)
-
-
-def document_sums(met: DataFrame, frequent, mixture: np.ndarray) -> DataFrame:
-    """src and, as blobs, the known tokens and both scores of each document of the batch, over one partition of tokens; and the documents' rows."""
+        now, held = None, ([], [], [])
+        for src, dst, kind, n, data in _read(batches):
+            if kind == DOCUMENTS:
+                yield _rows([(src, dst, kind, n, data)])
+                continue
+            if dst != now and held[0]:
+                yield _rows(meet(now, *held))
+                held = ([], [], [])
+            now = dst
+            for column, value in zip(held, (src, n, data), strict=True):
+                column.append(value)
+        if held[0]:
+            yield _rows(meet(now, *held))
+
+    return rows.repartition(parts, "dst").sortWithinPartitions("dst", "src").mapInArrow(run, ROWS)
+
+
+def batches_counted(met: DataFrame, parts: int) -> DataFrame:
+    """Each batch as one row with all its counts, the cells of its development pairs, and the totals."""
+
+    def together(src: int, size: int, about: bytes, answers: list[bytes]) -> list[tuple]:
+        single, paired, own = zip(*map(pickle.loads, answers), strict=True)
+        n, fit = (np.concatenate(x) for x in zip(*map(unpacked, single), strict=True))
+        folds = pickle.loads(about)[1]
+        cells, parts_ = [], []
+        for blob, (pairs, documents) in zip(paired, own, strict=True):
+            n12, fit12 = unpacked(blob)
+            token, context, spread = unpacked(pairs)
+            token = np.cumsum(token)
+            (doc,) = unpacked(documents)
+            held = np.flatnonzero(folds[doc] == DEVELOPMENT)
+            pair = np.repeat(np.arange(len(spread)), spread)[held]
+            cells.append(cell(fit[context[pair]], fit[token[pair]], fit12[pair]))
+            parts_.append((packed(n12), pairs, documents))
+        found, times = np.unique(np.concatenate(cells), return_counts=True)
+        out = [(int(c), 0, CELLS, int(w), None) for c, w in zip(found, times, strict=True)]
+        return [*out, (src, 0, COUNTED, size, pickle.dumps((about, packed(n), parts_)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frequent.value
-        base = np.log10(known.total + known.distinct + 1)
-        for batch in batches:
-            for src, dst, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if dst == DOCUMENTS:
-                    yield _rows([(src, dst, n, data)])
-                    continue
-                n2, n12, context, spread, doc = (x for blob in pickle.loads(data) for x in unpacked(blob))
-                weight = mixture[known.bucket[context]]
-                p = weight[:, 0] / (known.distinct + 1) + weight[:, 1] * n2 / max(1, known.total) + weight[:, 2] * n12 / np.maximum(1, known.n[context])
-                sums = [np.bincount(doc, np.repeat(x, spread), n) for x in (n2 > 0, np.log10(n2 + 1) - base, np.log10(p))]
-                yield _rows([(src, dst, n, packed(sums[0].astype(np.int32), *sums[1:]))])
-
-    return met.mapInArrow(run, ROWS)
+        now, size, about, answers = None, 0, None, []
+        for src, dst, kind, n, data in _read(batches):
+            if kind == TOTALS:
+                yield _rows([(src, dst, kind, n, data)])
+                continue
+            if src != now and answers:
+                yield _rows(together(now, size, about, answers))
+                answers = []
+            now, size = src, n
+            if kind == DOCUMENTS:
+                about = data
+            else:
+                answers.append(data)
+        if answers:
+            yield _rows(together(now, size, about, answers))
+
+    return met.repartition(parts, "src").sortWithinPartitions("src", "kind", "dst").mapInArrow(run, ROWS)
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -277,41 +275,35 @@ def scores(docs: DataFrame) -> DataFrame:
     unknown. An empty table gives no rows; columns but doc_id and text are not read.
     """
     spark = docs.sparkSession
-    texts = folded(docs)
-    counts = scratch.written(token_counts(texts), "token-counts")
-    total, fit, distinct = (x or 0 for x in counts.agg(F.sum("n"), F.sum("n_fit"), F.count("*")).first())
-    frequent = spark.sparkContext.broadcast(Frequent(counts.where(F.col("n") * CONTEXTS >= total).collect(), total, fit, distinct))
     parts = scratch.shuffle_partitions(spark)
-    met = scratch.written(counts_met(requests(texts, frequent, parts), frequent, parts), "pair-counts")
-    cells = met.where(F.col("dst") == CELLS).groupBy("src").agg(F.sum("n").alias("n")).collect()
-    mixture = learned(np.array([r["src"] for r in cells], np.int64), np.array([r["n"] for r in cells], np.float64))
+    counted = scratch.written(batches_counted(counts_met(requests(folded(docs), parts), parts), parts), "counted-batches")
+    # One row of three numbers for each partition, and one for each cell: neither grows with the documents.
+    totals = [pickle.loads(r["data"]) for r in counted.where(F.col("kind") == TOTALS).select("data").collect()]
+    total, fit, distinct = (sum(x) for x in zip(*totals, strict=True)) if totals else (0, 0, 0)
+    cells = counted.where(F.col("kind") == CELLS).groupBy("src").agg(F.sum("n").alias("n")).collect()
+    mixture = learned(np.array([r["src"] for r in cells], np.int64), np.array([r["n"] for r in cells], np.float64), fit, distinct)
     if not total:
         mixture = np.tile([1.0, 0, 0], (BUCKETS, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, about, sums = None, None, None
-
-        def out() -> pa.RecordBatch:
-            ids, folds, sizes = about
-            columns = [pa.array(ids, pa.int64()), pa.array(folds == HELD_OUT), pa.array(sizes.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array([total] * len(ids), pa.int64()), pa.array(sums[1]), pa.array(sums[2])]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-        for batch in batches:
-            for src, dst, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if src != now:
-                    if about:
-                        yield out()
-                    now, about, sums = src, None, np.zeros((3, n))
-                if dst == DOCUMENTS:
-                    about = pickle.loads(data)
-                else:
-                    sums += np.stack(unpacked(data))
-        if about:
-            yield out()
-
-    partial = document_sums(met.where(F.col("dst") != CELLS), frequent, mixture)
-    partial = partial.repartition(scratch.shuffle_partitions(spark), "src").sortWithinPartitions("src", "dst")
-    return partial.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        base = np.log10(total + distinct + 1)
+        for _, _, _, size, data in _read(batches):
+            about, n, parts_ = pickle.loads(data)
+            ids, folds, sizes = pickle.loads(about)
+            (n,) = unpacked(n)
+            sums = np.zeros((3, size))
+            for blob, pairs, documents in parts_:
+                (n12,), (token, context, spread), (doc,) = unpacked(blob), unpacked(pairs), unpacked(documents)
+                n1, n2 = n[context], n[np.cumsum(token)]
+                weight = mixture[bucket(n1)]
+                p = weight[:, 0] / (distinct + 1) + weight[:, 1] * n2 / max(1, total) + weight[:, 2] * n12 / np.maximum(1, n1)
+                for k, x in enumerate((n2 > 0, np.log10(n2 + 1) - base, np.log10(p))):
+                    sums[k] += np.bincount(doc, np.repeat(x, spread), size)
+            columns = [pa.array(ids, pa.int64()), pa.array(folds == HELD_OUT), pa.array(sizes.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array([total] * size, pa.int64()), pa.array(sums[1]), pa.array(sums[2])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    whole = counted.where(F.col("kind") == COUNTED)
+    return whole.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

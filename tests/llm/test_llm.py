@@ -188,17 +188,44 @@ def test_language_model(docs, no_docs):
     assert {x["train_tokens"] for x in got} == {total} and all(x["score"] < 0 for x in got)
     held = [x for x in got if x["held_out"]]
     assert sum(x["score"] for x in held) > sum(x["base_score"] for x in held)
+    score = {x["doc_id"]: x["score"] for x in got}
+    for (i, *_), want_score in zip(rows, brute_force_scores(tokens, fold), strict=True):
+        if [x[0] for x in rows].count(i) == 1:
+            assert math.isclose(score[i], want_score, rel_tol=1e-9)
     assert language_model.scores(no_docs).count() == 0
 
 
+def brute_force_scores(tokens, fold):
+    """The mixture's log10 probability of each text, from counters of all its words and pairs."""
+    import numpy as np
+
+    pairs = [list(zip([None, *ws], ws, strict=False)) for ws in tokens]
+    trains = [f not in (None, 2) for f in fold]
+    fits = [f not in (None, 2, 6) for f in fold]
+    count = lambda xs, on: Counter(x for ws, o in zip(xs, on, strict=True) if o for x in ws)
+    n1, n2, fit1, fit2 = count(tokens, trains), count(pairs, trains), count(tokens, fits), count(pairs, fits)
+    digits = lambda n: n.bit_length()
+    step = lambda x: 1 + round(4 * math.log2(x))
+    cells = Counter()
+    for ps, f in zip(pairs, fold, strict=True):
+        for a, b in ps if f == 6 else ():
+            one = step(fit1[b]) if fit1[b] else 0
+            two = step(fit1[a] / fit2[a, b]) if fit2[a, b] else 0
+            cells[(digits(fit1[a]) * language_model.WIDTH + one) * language_model.WIDTH + two] += 1
+    total, distinct = sum(n1.values()), len(n1)
+    mixture = language_model.learned(np.array(sorted(cells), np.int64), np.array([cells[c] for c in sorted(cells)], float), sum(fit1.values()), distinct)
+    return [sum(math.log10(mixture[digits(n1[a])] @ [1 / (distinct + 1), n1[b] / total, n2[a, b] / max(1, n1[a])]) for a, b in ps) for ps in pairs]
+
+
 def test_mixture_finds_the_better_estimate():
     import numpy as np
 
     width = language_model.WIDTH
     cell = lambda b, one, two: (b * width + one) * width + two
-    high, low = 80, 20
-    learned = language_model.learned(np.array([cell(3, low, high), cell(4, high, 0)]), np.array([100.0, 100.0]))
+    # Of bucket 3 the pairs are likelier (2 ** -2) than the tokens (2 ** 2 of 2 ** 20); of bucket 4 no pair was seen.
+    learned = language_model.learned(np.array([cell(3, 9, 9), cell(4, 57, 0)]), np.array([100.0, 100.0]), 1 << 20, 1 << 16)
     assert learned[3][2] > 0.9 and learned[4][1] > 0.9
+    assert (learned[5:] == learned[4]).all()
     assert np.allclose(learned.sum(1), 1)
 
 
