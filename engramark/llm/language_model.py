@@ -128,54 +128,46 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
-def requests(docs: DataFrame, parts: int) -> DataFrame:
-    """For each batch: its documents, and for each partition the distinct tokens and pairs dealt to it.
+def dealt(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of each 56-bit hash; ascending hashes have ascending partitions."""
+    return ((keys >> np.uint64(24)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
-    A partition's row has, beside the hashes with their training and development counts, what the batch
-    wants back with the answer: the pairs as places in its list of tokens, and the documents of each.
-    """
+
+def contexts(at: np.ndarray, pointer: np.ndarray) -> np.ndarray:
+    """For tokens of texts that each end with END: the token before, END for the first."""
+    before = np.empty_like(at)
+    before[1:] = at[:-1]
+    before[pointer[:-1]] = at[pointer[1:] - 1]
+    return before
+
+
+def pair_keys(name: np.ndarray, at: np.ndarray, pointer: np.ndarray) -> np.ndarray:
+    """A 56-bit hash of each token with the token before; ``at`` are places in ``name``."""
+    with np.errstate(over="ignore"):
+        return bytetext.mix(name[at] * np.uint64(0x9E3779B97F4A7C15) + bytetext.mix(name)[contexts(at, pointer)]) >> np.uint64(8)
+
+
+def requests(docs: DataFrame, parts: int) -> DataFrame:
+    """For each batch: its documents as places in its list of tokens, and for each partition the hashes of distinct tokens and pairs dealt to it, with their training and development counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        src, count = TaskContext.get().partitionId() << 24, np.uint64(parts)
+        src = TaskContext.get().partitionId() << 24
         with np.errstate(over="ignore"):
             for ids, folds, tokens, pointer in token_batches(batches):
-                doc = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(pointer))
+                fold = np.repeat(folds, np.diff(pointer))
+                trains, develops = (fold >= 0) & (fold != HELD_OUT), fold == DEVELOPMENT
                 name, at = np.unique(tokens, return_inverse=True)
-                # The batch's list of tokens is ordered by partition, then hash.
-                deal = (bytetext.mix(name) % count).astype(np.int32)
-                order = np.lexsort((name, deal))
-                name, deal = name[order], deal[order]
-                place = np.empty(len(order), np.int64)
+                key, rank = np.unique(pair_keys(name, at, pointer), return_inverse=True)
+                asked = [(x, dealt(x, parts), *(np.bincount(which, on, len(x)).astype(np.int32) for on in (trains, develops))) for x, which in ((name, at), (key, rank))]
+                # Frequent tokens come first in the batch's list: small numbers pack well.
+                order = np.argsort(-np.bincount(at), kind="stable")
+                place = np.empty(len(order), np.int32)
                 place[order] = np.arange(len(order))
-                at = place[at]
-                before = np.empty_like(at)
-                before[1:] = at[:-1]
-                before[pointer[:-1]] = at[pointer[1:] - 1]  # every text ends with END
-                trains = (folds[doc] >= 0) & (folds[doc] != HELD_OUT)
-                develops = folds[doc] == DEVELOPMENT
-                single = [np.bincount(at, x, len(name)).astype(np.int32) for x in (trains, develops)]
-                # Pairs are ordered by partition, token and token before.
-                code = at * len(name) + before
-                occurs = np.argsort(code, kind="stable")
-                first = np.flatnonzero(np.diff(code[occurs], prepend=-1))
-                token, context = np.divmod(code[occurs][first], len(name))
-                key = bytetext.mix(name[token] * np.uint64(0x9E3779B97F4A7C15) + bytetext.mix(name[context]))
-                to = (key % count).astype(np.int32)
-                spread = np.diff(np.append(first, len(code)))
-                paired = [np.add.reduceat(x[occurs].astype(np.int32), first) for x in (trains, develops)]
-                order = np.argsort(to, kind="stable")
-                begin = np.repeat(first[order] - np.cumsum(spread[order]) + spread[order], spread[order])
-                doc = doc[occurs][begin + np.arange(len(code))]
-                token, context, key, spread, to = token[order], context[order], (key >> np.uint64(8))[order], spread[order].astype(np.int32), to[order]
-                paired = [x[order] for x in paired]
-                rows = [(src, src % parts, DOCUMENTS, len(ids), pickle.dumps((ids, folds, np.diff(pointer))))]
-                tokens_cut, pairs_cut = (np.searchsorted(x, np.arange(parts + 1)) for x in (deal, to))
-                docs_cut = np.concatenate([[0], np.cumsum(spread)])
-                for p in np.union1d(deal, to).tolist():
-                    (a, b), (c, d) = tokens_cut[p : p + 2], pairs_cut[p : p + 2]
-                    asked = packed(np.diff(name[a:b], prepend=np.uint64(0)), *(x[a:b] for x in single)), packed(key[c:d], *(x[c:d] for x in paired))
-                    own = packed(np.diff(token[c:d], prepend=0).astype(np.int32), context[c:d].astype(np.int32), spread[c:d]), packed(doc[docs_cut[c] : docs_cut[d]])
-                    rows.append((src, p, COUNTS, len(ids), pickle.dumps((*asked, own))))
+                rows = [(src, src % parts, DOCUMENTS, len(ids), pickle.dumps((ids, folds, pointer, packed(name[order]), packed(place[at]))))]
+                cuts = [np.searchsorted(to, np.arange(parts + 1)) for _, to, *_ in asked]
+                for part in np.union1d(asked[0][1], asked[1][1]).tolist():
+                    blobs = [packed(np.diff(x[c[part] : c[part + 1]], prepend=np.uint64(0)), *(n[c[part] : c[part + 1]] for n in counts)) for (x, _, *counts), c in zip(asked, cuts, strict=True)]
+                    rows.append((src, part, COUNTS, len(ids), pickle.dumps(blobs)))
                 yield _rows(rows)
                 src += 1
 
@@ -200,13 +192,11 @@ def counts_met(rows: DataFrame, parts: int) -> DataFrame:
     """The requests with the corpus counts of their tokens and pairs in place of the hashes, and the totals of each partition."""
 
     def meet(dst: int, src: list, sizes: list, blobs: list) -> list[tuple]:
-        # What the batches want back stays compressed: only hashes and counts meet.
-        tokens, pairs, own = zip(*map(pickle.loads, blobs), strict=True)
-        singles = [[np.cumsum(k, dtype=np.uint64), n, dev] for k, n, dev in map(unpacked, tokens)]
-        single, n, fit = _met(singles)
-        paired, _, _ = _met([unpacked(x) for x in pairs])
+        single, paired = ([(np.cumsum(keys, dtype=np.uint64), n, dev) for keys, n, dev in map(unpacked, x)] for x in zip(*map(pickle.loads, blobs), strict=True))
+        single, n, fit = _met(single)
+        paired, _, _ = _met(paired)
         totals = pickle.dumps((int(n.sum()), int(fit.sum()), int((n > 0).sum())))
-        return [(-1 - dst, dst, TOTALS, 0, totals), *((s, dst, COUNTS, size, pickle.dumps(x)) for s, size, *x in zip(src, sizes, single, paired, own, strict=True))]
+        return [(-1 - dst, dst, TOTALS, 0, totals), *((s, dst, COUNTS, size, pickle.dumps(x)) for s, size, *x in zip(src, sizes, single, paired, strict=True))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, ([], [], [])
@@ -230,22 +220,17 @@ def batches_counted(met: DataFrame, parts: int) -> DataFrame:
     """Each batch as one row with all its counts, the cells of its development pairs, and the totals."""
 
     def together(src: int, size: int, about: bytes, answers: list[bytes]) -> list[tuple]:
-        single, paired, own = zip(*map(pickle.loads, answers), strict=True)
-        n, fit = (np.concatenate(x) for x in zip(*map(unpacked, single), strict=True))
-        folds = pickle.loads(about)[1]
-        cells, parts_ = [], []
-        for blob, (pairs, documents) in zip(paired, own, strict=True):
-            n12, fit12 = unpacked(blob)
-            token, context, spread = unpacked(pairs)
-            token = np.cumsum(token)
-            (doc,) = unpacked(documents)
-            held = np.flatnonzero(folds[doc] == DEVELOPMENT)
-            pair = np.repeat(np.arange(len(spread)), spread)[held]
-            cells.append(cell(fit[context[pair]], fit[token[pair]], fit12[pair]))
-            parts_.append((packed(n12), pairs, documents))
-        found, times = np.unique(np.concatenate(cells), return_counts=True)
+        (n, fit), (n12, fit12) = ((np.concatenate(x) for x in zip(*map(unpacked, blobs), strict=True)) for blobs in zip(*map(pickle.loads, answers), strict=True))
+        ids, folds, pointer, name, at = pickle.loads(about)
+        (name,), (at,) = unpacked(name), unpacked(at)
+        _, rank = np.unique(pair_keys(name, at, pointer), return_inverse=True)
+        # The answers are in the order of hashes.
+        place = np.argsort(np.argsort(name))
+        n, fit, n12, fit12 = n[place], fit[place], n12[rank], fit12[rank]
+        held = np.flatnonzero(np.repeat(folds, np.diff(pointer)) == DEVELOPMENT)
+        found, times = np.unique(cell(fit[contexts(at, pointer)[held]], fit[at[held]], fit12[held]), return_counts=True)
         out = [(int(c), 0, CELLS, int(w), None) for c, w in zip(found, times, strict=True)]
-        return [*out, (src, 0, COUNTED, size, pickle.dumps((about, packed(n), parts_)))]
+        return [*out, (src, 0, COUNTED, size, pickle.dumps((ids, folds, pointer, packed(n), packed(at), packed(n12))))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, size, about, answers = None, 0, None, []
@@ -288,18 +273,13 @@ def scores(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = np.log10(total + distinct + 1)
         for _, _, _, size, data in _read(batches):
-            about, n, parts_ = pickle.loads(data)
-            ids, folds, sizes = pickle.loads(about)
-            (n,) = unpacked(n)
-            sums = np.zeros((3, size))
-            for blob, pairs, documents in parts_:
-                (n12,), (token, context, spread), (doc,) = unpacked(blob), unpacked(pairs), unpacked(documents)
-                n1, n2 = n[context], n[np.cumsum(token)]
-                weight = mixture[bucket(n1)]
-                p = weight[:, 0] / (distinct + 1) + weight[:, 1] * n2 / max(1, total) + weight[:, 2] * n12 / np.maximum(1, n1)
-                for k, x in enumerate((n2 > 0, np.log10(n2 + 1) - base, np.log10(p))):
-                    sums[k] += np.bincount(doc, np.repeat(x, spread), size)
-            columns = [pa.array(ids, pa.int64()), pa.array(folds == HELD_OUT), pa.array(sizes.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array([total] * size, pa.int64()), pa.array(sums[1]), pa.array(sums[2])]
+            ids, folds, pointer, *blobs = pickle.loads(data)
+            n, at, n12 = (x for blob in blobs for x in unpacked(blob))
+            n1, n2 = n[contexts(at, pointer)], n[at]
+            weight = mixture[bucket(n1)]
+            p = weight[:, 0] / (distinct + 1) + weight[:, 1] * n2 / max(1, total) + weight[:, 2] * n12 / np.maximum(1, n1)
+            sums = [np.add.reduceat(x, pointer[:-1]) for x in ((n2 > 0).astype(np.int64), np.log10(n2 + 1) - base, np.log10(p))]
+            columns = [pa.array(ids, pa.int64()), pa.array(folds == HELD_OUT), pa.array(np.diff(pointer).astype(np.int64)), pa.array(sums[0]), pa.array([total] * size, pa.int64()), pa.array(sums[1]), pa.array(sums[2])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     whole = counted.where(F.col("kind") == COUNTED)
