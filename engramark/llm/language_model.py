@@ -163,7 +163,7 @@ def requests(docs: DataFrame, parts: int) -> DataFrame:
                 order = np.argsort(-np.bincount(at), kind="stable")
                 place = np.empty(len(order), np.int32)
                 place[order] = np.arange(len(order))
-                rows = [(src, src % parts, DOCUMENTS, len(ids), pickle.dumps((ids, folds, pointer, packed(name[order]), packed(place[at]))))]
+                rows = [(src, (src >> 24) % parts, DOCUMENTS, len(ids), pickle.dumps((ids, folds, pointer, packed(name[order]), packed(place[at]))))]
                 cuts = [np.searchsorted(to, np.arange(parts + 1)) for _, to, *_ in asked]
                 for part in np.union1d(asked[0][1], asked[1][1]).tolist():
                     blobs = [packed(np.diff(x[c[part] : c[part + 1]], prepend=np.uint64(0)), *(n[c[part] : c[part + 1]] for n in counts)) for (x, _, *counts), c in zip(asked, cuts, strict=True)]
@@ -213,7 +213,7 @@ def counts_met(rows: DataFrame, parts: int) -> DataFrame:
         if held[0]:
             yield _rows(meet(now, *held))
 
-    return rows.repartition(parts, "dst").sortWithinPartitions("dst", "src").mapInArrow(run, ROWS)
+    return rows.repartitionById(parts, "dst").sortWithinPartitions("dst", "src").mapInArrow(run, ROWS)
 
 
 def batches_counted(met: DataFrame, parts: int) -> DataFrame:
@@ -249,7 +249,8 @@ def batches_counted(met: DataFrame, parts: int) -> DataFrame:
         if answers:
             yield _rows(together(now, size, about, answers))
 
-    return met.repartition(parts, "src").sortWithinPartitions("src", "kind", "dst").mapInArrow(run, ROWS)
+    home = F.expr(f"cast(pmod((src >> 24) + (src & 16777215) * 7919, {parts}) as int)")
+    return met.repartitionById(parts, home).sortWithinPartitions("src", "kind", "dst").mapInArrow(run, ROWS)
 
 
 def scores(docs: DataFrame) -> DataFrame:
