@@ -22,6 +22,14 @@ def tool_gates(spark: SparkSession, d: str) -> DataFrame:
     return gates.gate_rows(x, ("tools",), [gates.at_least("UC-TOOL-1", lift), gates.at_least("UC-TOOL-2", F.col("precision_pct")), gates.at_least("UC-TOOL-3", F.col("recall_pct"))])
 
 
+def prompt_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Gates of each prompt variant against the plain prompt."""
+    x = gates.against(simulation.prompts(spark, d), "prompt", "default")
+    lift = F.col("completion_pct") - F.col("base.completion_pct")
+    spread = F.col("category_variance") - F.col("base.category_variance")
+    return gates.gate_rows(x, ("prompt",), [gates.at_least("UC-PROMPT-1", lift), gates.at_most("UC-PROMPT-2", F.col("mean_cost") / F.col("base.mean_cost")), gates.at_most("UC-PROMPT-4", spread)])
+
+
 def recovery_gates(spark: SparkSession, d: str) -> DataFrame:
     """Gates of each recovery variant against giving up, under each table of chances."""
     x = gates.against(simulation.recovery(spark, d), "recovery", "abort", ("resolve",))
@@ -39,7 +47,7 @@ def keyword_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return found.select("question", "p_partkey", first.alias("r")).where(F.col("r") <= TOP)
 
 
-QUERIES = {f.__name__: f for f in (tool_gates, recovery_gates, keyword_retrieval)}
+QUERIES = {f.__name__: f for f in (tool_gates, prompt_gates, recovery_gates, keyword_retrieval)}
 
 
 def _unpivot(keys: str, columns: dict[str, tuple[str, str]], source: str) -> str:
@@ -52,6 +60,9 @@ _QUESTIONS = ", ".join(f"({k}, '{q}')" for k, q in enumerate(QUESTIONS))
 SQL = {
     "tool_gates": f"WITH r AS ({simulation.SQL['tool_choice']}), x AS (SELECT r.*, 100 * (r.expected - b.expected) AS lift FROM r, r b WHERE b.tools = 'all') "
     + _unpivot("tools", {"UC-TOOL-1": ("lift", ">="), "UC-TOOL-2": ("precision_pct", ">="), "UC-TOOL-3": ("recall_pct", ">=")}, "x"),
+    "prompt_gates": f"""WITH r AS ({simulation.SQL['prompts']}), x AS (
+  SELECT r.prompt, r.completion_pct - b.completion_pct AS lift, r.mean_cost / b.mean_cost AS ratio, r.category_variance - b.category_variance AS spread FROM r, r b WHERE b.prompt = 'default') """
+    + _unpivot("prompt", {"UC-PROMPT-1": ("lift", ">="), "UC-PROMPT-2": ("ratio", "<="), "UC-PROMPT-4": ("spread", "<=")}, "x"),
     "recovery_gates": f"""WITH r AS ({simulation.SQL['recovery']}), x AS (
   SELECT r.resolve, r.recovery, 100.0 * r.done / r.n - 100.0 * b.done / b.n AS lift, (r.mean_cost * r.n / greatest(1, r.done)) / (b.mean_cost * b.n / greatest(1, b.done)) AS ratio
   FROM r JOIN r b ON b.resolve = r.resolve AND b.recovery = 'abort') """
