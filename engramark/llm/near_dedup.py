@@ -6,10 +6,11 @@ signatures, a confirmation on the full sets, and connected components.
 Work is done on one representative of each distinct set. In every bucket the
 members are first compared with its smallest one (a star, not all pairs), and the
 confirmed links are joined into components. Members of one bucket that are still
-in different components, and whose signatures agree, form families, and within a
-family all such pairs are compared, so that no link which banding sees is lost:
-members of one component need no further comparison, as it could only confirm
-what is known.
+in different components, and whose signatures agree, form families: every member
+of such a pair is in one, not one member for each component, as a pair that agrees
+need not be a link while another of the same components is. Within a family all
+such pairs are compared, so that no link which banding sees is lost: members of
+one component need no further comparison, as it could only confirm what is known.
 
 With 32 bands of 4 minima a pair of similarity 0.85 shares no band once in 10**10
 pairs, one of 0.8 once in 2 * 10**7.
@@ -181,19 +182,20 @@ def _links(u: list, v: list) -> pa.Table:
 def crossing(members: DataFrame, threshold: float) -> DataFrame:
     """Links (u, v) that join members of one bucket which are in different components and may be similar: a forest for each pair of blocks, not all pairs.
 
-    members has bucket, rep, component, n_shingles and signature.
+    The forest is one of members, and components are not merged in it: its trees hold
+    both members of each such pair. members has bucket, rep, component, n_shingles and signature.
     """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         rep, root, size, mine = (table.column(c).to_numpy().copy() for c in ("rep", "component", "n_shingles", "mine"))
         sigs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(rep), -1)
-        _, root = np.unique(root, return_inverse=True)
+        _, tree = np.unique(rep, return_inverse=True)
         on, u, v = mine == key[2].as_py(), [], []
         for i in np.flatnonzero(mine == key[1].as_py()):
-            near = _near(i, root, on, size, sigs, threshold)
-            for j in near[np.unique(root[near], return_index=True)[1]]:
+            near = _near(i, root, on & (tree != tree[i]), size, sigs, threshold)
+            for j in near[np.unique(tree[near], return_index=True)[1]]:
                 u.append(rep[i]), v.append(rep[j])
-                root[root == root[j]] = root[i]
+                tree[tree == tree[j]] = tree[i]
         return _links(u, v)
 
     cut = _blocks(members, "bucket", F.lit(1), BLOCK).select("bucket", "low", "high", "mine", "rep", "component", "n_shingles", "signature")

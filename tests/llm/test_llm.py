@@ -339,6 +339,17 @@ def test_near_duplicates_without_a_common_centre(spark):
     assert {x["component_id"] for x in got} == {0}
 
 
+def test_one_link_between_two_clusters_of_a_bucket(spark):
+    """All signatures agree, and of all pairs across the two components only the last is a link: the family has all members, and the link is found."""
+    texts = [f"{'odd' if k % 2 else 'even'}{k} {'p q r' if k % 2 else 's t u'}" for k in range(10)] + ["a b c d e f g", "a b c d e f g h"]
+    rows = [(7, k, k % 2, 7, bytes(4 * 128), x) for k, x in enumerate(texts)]
+    members = spark.createDataFrame(rows, "bucket long, rep long, component long, n_shingles long, signature binary, text string")
+    families = components(near_dedup.crossing(members.drop("text"), 0.85)).withColumnsRenamed({"node": "rep", "component": "family"})
+    assert {x["rep"]: x["family"] for x in families.collect()} == dict.fromkeys(range(12), 0)
+    got = near_dedup.family_links(members.drop("bucket").join(families, "rep"), 1, 85, 100)
+    assert [{x["u"], x["v"]} for x in got.collect()] == [{10, 11}]
+
+
 def test_star_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)]
