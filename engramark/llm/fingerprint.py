@@ -1,12 +1,12 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame functions only.
 
-A text is cut at line and sentence ends; where that gives many pieces, only the
-ends whose digest is a multiple of a power of two are kept, the document's scale,
-so that a document of any length has some tens of paragraphs. Each paragraph
-digest is entered in one cell of each of three tables: a count, and exclusive-ors
-of digests and of their checks. Sketches of two versions subtract cell by cell;
-peeling cells that hold a single digest recovers the digests that differ; where
-that fails, both versions are sketched again with four times the cells.
+A text is cut at line and sentence ends, and a long piece without any by its words.
+Each distinct digest of a piece is entered in one cell of each of three tables: a
+count, and exclusive-ors of digests and of their checks. Pieces are not merged,
+however many a text has: a sketch is as large as the difference asks, not as the text.
+Sketches of two versions subtract cell by cell; peeling cells that hold a single
+digest recovers the digests that differ; where that fails, both versions are sketched
+again with four times the cells.
 """
 
 from __future__ import annotations
@@ -19,25 +19,23 @@ from engramark.llm import scratch
 TABLES = 3
 #: Cells of each table at first and in the retries.
 SIZES = (32, 128, 512, 2048)
-#: Paragraphs that a document has about, at least, where it has that many sentences.
-PARAGRAPHS = 16
 ROUNDS = 24
 ENDS = r"[\\n.!?|]+"
+#: Characters from which on a piece is cut by content, after words whose digest is a multiple of 2**WORD_SCALE; a longer word goes by its characters.
+LONG, WORD_SCALE, LONG_WORD = 400, 4, 64
+#: Cells that are filled from one part of the digests where a table has many.
+GROUP = 16
 
 
 def sentences(text: str) -> Column:
-    """Digests of the pieces of a text column between line and sentence ends."""
-    return F.expr(f"transform(filter(transform(split({text}, '{ENDS}'), x -> trim(x)), x -> x <> ''), x -> xxhash64(x))")
-
-
-def scale(digests: str) -> Column:
-    return F.expr(f"cast(greatest(0, floor(log2(greatest(1, size({digests})) / {PARAGRAPHS}D))) as int)")
-
-
-def paragraphs(digests: str, at: str) -> Column:
-    """Distinct digests of runs of sentences up to one whose digest is a multiple of 2**at, or the last."""
-    step = f"named_struct('done', if(pmod(x, shiftleft(1, {at})) = 0, concat(s.done, array(xxhash64(s.open, x))), s.done), 'open', if(pmod(x, shiftleft(1, {at})) = 0, 0L, xxhash64(s.open, x)))"
-    return F.expr(f"aggregate({digests}, named_struct('done', cast(array() as array<bigint>), 'open', 0L), (s, x) -> {step}, s -> array_distinct(if(s.open = 0L, s.done, concat(s.done, array(s.open)))))")
+    """Distinct digests of the pieces of a text column between line and sentence ends, those of LONG characters or more cut by content."""
+    letters = "element_at(transform(array(split(w, '')), c -> transform(c, (y, i) -> xxhash64(y, get(c, i - 1), get(c, i - 2)))), 1)"
+    words = f"flatten(transform(split(x, '\\\\s+'), w -> if(char_length(w) <= {LONG_WORD}, array(xxhash64(w)), {letters})))"
+    at_end = f"pmod(y, {1 << WORD_SCALE}) = 0"
+    step = f"named_struct('done', if({at_end}, concat(s.done, array(xxhash64(s.open, y))), s.done), 'open', if({at_end}, 0L, xxhash64(s.open, y)))"
+    runs = f"aggregate({words}, named_struct('done', cast(array() as array<bigint>), 'open', 0L), (s, y) -> {step}, s -> if(s.open = 0L, s.done, concat(s.done, array(s.open))))"
+    pieces = f"filter(transform(split({text}, '{ENDS}'), x -> trim(x)), x -> x <> '')"
+    return F.expr(f"array_distinct(flatten(transform({pieces}, x -> if(char_length(x) < {LONG}, array(xxhash64(x)), {runs}))))")
 
 
 def _in_cell(digest: str, shift: str, cell: str, size: int) -> str:
@@ -49,7 +47,12 @@ SHIFTS = "array(0, 16, 32)"
 
 
 def _sketch(digests: str, size: int) -> str:
-    held = f"flatten(transform({SHIFTS}, _t -> transform(sequence(0L, {size - 1}L), _c -> filter({digests}, _k -> {_in_cell('_k', '_t', '_c', size)}))))"
+    if size <= 2 * GROUP:
+        held = f"flatten(transform({SHIFTS}, _t -> transform(sequence(0L, {size - 1}L), _c -> filter({digests}, _k -> {_in_cell('_k', '_t', '_c', size)}))))"
+    else:
+        cells = f"transform(sequence(0L, {GROUP - 1}L), _c -> filter(_q, _k -> {_in_cell('_k', '_t', '_c', GROUP)}))"
+        group = f"filter({digests}, _k -> (shiftrightunsigned(_k, _t) & {size - 1}L) div {GROUP} = _g)"
+        held = f"flatten(flatten(transform({SHIFTS}, _t -> transform(sequence(0L, {size // GROUP - 1}L), _g -> element_at(transform(array({group}), _q -> {cells}), 1)))))"
     return f"transform({held}, _h -> named_struct('n', size(_h), 'k', aggregate(_h, 0L, (_a, _k) -> _a ^ _k), 'h', aggregate(_h, 0L, (_a, _k) -> _a ^ xxhash64(_k))))"
 
 
@@ -67,7 +70,12 @@ def _peeled(difference: str, size: int) -> str:
     single = "filter(s.cells, c -> abs(c.n) = 1 and c.h = xxhash64(c.k))"
     found = f"array_distinct(transform({single}, c -> named_struct('k', c.k, 'n', c.n)))"
     taken = "named_struct('n', c.n - aggregate(q, 0, (a, p) -> a + p.n), 'k', c.k ^ aggregate(q, 0L, (a, p) -> a ^ p.k), 'h', c.h ^ aggregate(q, 0L, (a, p) -> a ^ xxhash64(p.k)))"
-    rest = f"transform(s.cells, (c, j) -> element_at(transform(array(filter(f, p -> {_cell('p.k', 'j', size)})), q -> if(size(q) = 0, c, {taken})), 1))"
+    if size <= 2 * GROUP:
+        rest = f"transform(s.cells, (c, j) -> element_at(transform(array(filter(f, p -> {_cell('p.k', 'j', size)})), q -> if(size(q) = 0, c, {taken})), 1))"
+    else:
+        group = f"filter(f, p -> (shiftrightunsigned(p.k, 16 * (g div {size // GROUP})) & {size - 1}) div {GROUP} = g % {size // GROUP})"
+        cells = f"transform(slice(s.cells, {GROUP} * g + 1, {GROUP}), (c, j) -> element_at(transform(array(filter(w, p -> (shiftrightunsigned(p.k, 16 * (g div {size // GROUP})) & {GROUP - 1}) = j)), q -> if(size(q) = 0, c, {taken})), 1))"
+        rest = f"flatten(transform(sequence(0, {TABLES * size // GROUP - 1}), g -> element_at(transform(array({group}), w -> if(size(w) = 0, slice(s.cells, {GROUP} * g + 1, {GROUP}), {cells})), 1)))"
     step = f"element_at(transform(array({found}), f -> named_struct('cells', {rest}, 'found', concat(s.found, f), 'over', size(f) = 0)), 1)"
     start = f"named_struct('cells', {difference}, 'found', cast(array() as array<struct<k: bigint, n: int>>), 'over', false)"
     return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, i) -> if(s.over, s, {step}), s -> if(exists(s.cells, c -> c.n <> 0 or c.k <> 0L or c.h <> 0L), null, s.found))"
@@ -80,26 +88,27 @@ def _difference(one: str, two: str) -> str:
 def differing(one: str, two: str, first: tuple[str, str] | None = None) -> Column:
     """Digests (k, n) that only one of two arrays of distinct digests has, n being 1 for the first and -1 for the second.
 
-    The sketches are subtracted and peeled, at growing sizes until one gives all;
-    should none, the arrays are compared. ``first`` names sketches of the first size.
+    The sketches are subtracted and peeled, at growing sizes until one gives all, but
+    for retries of fewer cells than differing digests, which can't; should none, the
+    arrays are compared. ``first`` names sketches of the first size.
     """
     smallest = first or (_sketch(one, SIZES[0]), _sketch(two, SIZES[0]))
     tries = [_peeled(_difference(*smallest), SIZES[0])]
-    tries += [_peeled(_difference(_sketch(one, size), _sketch(two, size)), size) for size in SIZES[1:]]
+    tries += [f"if(abs(size({one}) - size({two})) > {TABLES * size}, null, {_peeled(_difference(_sketch(one, size), _sketch(two, size)), size)})" for size in SIZES[1:]]
     plain = f"concat(transform(array_except({one}, {two}), k -> named_struct('k', k, 'n', 1)), transform(array_except({two}, {one}), k -> named_struct('k', k, 'n', -1)))"
     return F.expr(f"coalesce({', '.join([*tries, plain])})")
 
 
 def likeness(one: str, two: str, found: str) -> Column:
-    """Common paragraphs over all, from the sizes and the recovered difference; 1 for two documents without any."""
+    """Common pieces over all, from the sizes and the recovered difference; 1 for two documents without any."""
     total, off = f"(size({one}) + size({two}))", f"size({found})"
     return F.expr(f"if({total} = 0, 1D, cast({total} - {off} as double) / ({total} + {off}))")
 
 
-def printed(at: str, cells: str) -> Column:
-    """A sketch as a short string: its scale, and the SHA-256 of its cells."""
+def printed(cells: str) -> Column:
+    """A sketch as a short string: its size, and the SHA-256 of its cells."""
     row = "concat_ws(':', c.n, c.k, c.h)"
-    return F.expr(f"concat('iblt', {SIZES[0]}, '-', {at}, '-', sha2(cast(array_join(transform({cells}, c -> {row}), ' ') as binary), 256))")
+    return F.expr(f"concat('iblt', {SIZES[0]}, '-', sha2(cast(array_join(transform({cells}, c -> {row}), ' ') as binary), 256))")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -130,13 +139,10 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 def compared(pairs: DataFrame) -> DataFrame:
     """Fingerprints and likenesses of text to edited and to next_text; all columns of ``pairs`` stay."""
-    x = pairs.withColumn("h0", sentences("text")).withColumn("h1", sentences("edited")).withColumn("h2", sentences("next_text"))
-    x = x.withColumn("s0", scale("h0")).withColumn("s1", scale("h1")).withColumn("e", F.greatest("s0", scale("h1"))).withColumn("n", F.greatest("s0", scale("h2")))
-    x = x.withColumn("p0", paragraphs("h0", "s0")).withColumn("p1", paragraphs("h1", "s1"))
-    x = x.withColumn("e0", paragraphs("h0", "e")).withColumn("e1", paragraphs("h1", "e")).withColumn("n0", paragraphs("h0", "n")).withColumn("n2", paragraphs("h2", "n"))
-    x = x.withColumn("e_found", differing("e0", "e1")).withColumn("n_found", differing("n0", "n2"))
-    x = x.withColumn("fingerprint", printed("s0", _sketch("p0", SIZES[0]))).withColumn("edited_fingerprint", printed("s1", _sketch("p1", SIZES[0])))
-    x = x.withColumn("near_edited", likeness("e0", "e1", "e_found")).withColumn("near_next", likeness("n0", "n2", "n_found"))
+    x = pairs.withColumn("p0", sentences("text")).withColumn("p1", sentences("edited")).withColumn("p2", sentences("next_text"))
+    x = x.withColumn("e_found", differing("p0", "p1")).withColumn("n_found", differing("p0", "p2"))
+    x = x.withColumn("fingerprint", printed(_sketch("p0", SIZES[0]))).withColumn("edited_fingerprint", printed(_sketch("p1", SIZES[0])))
+    x = x.withColumn("near_edited", likeness("p0", "p1", "e_found")).withColumn("near_next", likeness("p0", "p2", "n_found"))
     return x.select(*pairs.columns, "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.col("e_found").alias("edited_difference"), F.col("n_found").alias("next_difference"))
 
 

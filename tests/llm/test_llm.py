@@ -404,6 +404,22 @@ def test_next_documents_and_fingerprints(spark, docs, no_docs):
     assert fingerprint.with_next(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).first()["next_text"] == "a b"
 
 
+def test_texts_that_share_sentences_are_alike(spark):
+    """Many lines of few distinct sentences, beside a text of many, and long pieces without ends."""
+    r = random.Random(3)
+    lines = [f"line {k} of the few" for k in range(8)]
+    repeated = "\n".join(r.choice(lines) for _ in range(600))
+    many = "\n".join(f"sentence {r.random()}" for _ in range(900))
+    endless = " ".join(r.choice(VOCABULARY).strip(".") + str(r.randrange(99)) for _ in range(800))
+    unspaced = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000))
+    rows = [(repeated, repeated[: len(repeated) // 2] + "\nan end"), (repeated, repeated[:3000] + "\n" + many), (many, repeated[:3000] + "\n" + many), (endless, endless[:2000] + " other words"), (unspaced, unspaced[:1500] + "0")]
+    pairs = spark.createDataFrame([(k, a, b, a) for k, (a, b) in enumerate(rows)], "doc_id long, text string, edited string, next_text string")
+    got = {x["doc_id"]: x for x in fingerprint.compared(pairs).collect()}
+    assert got[0]["near_edited"] == pytest.approx(8 / 10, abs=0.1) and 0 < got[1]["near_edited"] < 0.1
+    assert got[2]["near_edited"] > 0.8 and got[3]["near_edited"] > 0.15 and got[4]["near_edited"] > 0.15
+    assert all(x["near_next"] == 1 for x in got.values())
+
+
 def test_pipeline_against_its_parts(spark, tmp_path):
     import corpus_pipeline
 
