@@ -138,10 +138,10 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame) -> DataFrame:
-    """Fingerprints and likenesses of text to edited and to next_text; all columns of ``pairs`` stay."""
+    """Fingerprints, which are the cells of sketches of the first size, and likenesses of text to edited and to next_text; all columns of ``pairs`` stay."""
     x = pairs.withColumn("p0", sentences("text")).withColumn("p1", sentences("edited")).withColumn("p2", sentences("next_text"))
     x = x.withColumn("e_found", differing("p0", "p1")).withColumn("n_found", differing("p0", "p2"))
-    x = x.withColumn("fingerprint", printed(_sketch("p0", SIZES[0]))).withColumn("edited_fingerprint", printed(_sketch("p1", SIZES[0])))
+    x = x.withColumn("fingerprint", sketch("p0")).withColumn("edited_fingerprint", sketch("p1"))
     x = x.withColumn("near_edited", likeness("p0", "p1", "e_found")).withColumn("near_next", likeness("p0", "p2", "n_found"))
     return x.select(*pairs.columns, "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.col("e_found").alias("edited_difference"), F.col("n_found").alias("next_difference"))
 
@@ -152,7 +152,8 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.expr("cast(char_length(text) div 2 as int)")
     edited = F.concat(F.expr("left(text, cast(char_length(text) - char_length(text) div 2 as int))"), F.left("next_text", half))
     out = compared(docs.withColumn("edited", edited))
-    return out.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    prints = (printed(c).alias(c) for c in ("fingerprint", "edited_fingerprint"))
+    return out.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *prints, "near_edited", "near_next")
 
 
 QUERIES = {"op10_fingerprint": op10_fingerprint}

@@ -420,6 +420,15 @@ def test_texts_that_share_sentences_are_alike(spark):
     assert all(x["near_next"] == 1 for x in got.values())
 
 
+def test_fingerprints_subtract(spark):
+    """The fingerprints of two versions alone give the pieces that differ."""
+    lines = [f"line {k}" for k in range(300)]
+    pairs = spark.createDataFrame([("\n".join(lines), "\n".join([*lines[:-2], "another", "and one more"]), "")], "text string, edited string, next_text string")
+    stored = fingerprint.compared(pairs).select("fingerprint", "edited_fingerprint", "edited_difference")
+    got = stored.withColumn("found", F.expr(fingerprint._peeled(fingerprint._difference("fingerprint", "edited_fingerprint"), fingerprint.SIZES[0]))).first()
+    assert len(got["found"]) == 4 and {*got["found"]} == {*got["edited_difference"]}
+
+
 def test_pipeline_against_its_parts(spark, tmp_path):
     import corpus_pipeline
 
