@@ -43,8 +43,8 @@ def let(name: str, value: str, body: str) -> str:
 def words(text: str) -> str:
     """Digests of a text's words, in order."""
     letters = let("_c", "split(_w, '')", "transform(_c, (_y, _i) -> xxhash64(_y, get(_c, _i - 1), get(_c, _i - 2)))")
-    split = f"filter(split({text}, '\\\\s+'), _w -> _w <> '')"
-    return let("_s", split, f"if(exists(_s, _w -> char_length(_w) > {LONG_WORD}), flatten(transform(_s, _w -> if(char_length(_w) > {LONG_WORD}, {letters}, array(xxhash64(_w))))), transform(_s, _w -> xxhash64(_w)))")
+    split = f"array_remove(split({text}, '\\\\s+'), '')"
+    return let("_s", split, f"if({text} rlike '\\\\S{{{LONG_WORD + 1}}}', flatten(transform(_s, _w -> if(char_length(_w) > {LONG_WORD}, {letters}, array(xxhash64(_w))))), transform(_s, _w -> xxhash64(_w)))")
 
 
 def _paragraphs(digests: str, ends: str) -> str:
