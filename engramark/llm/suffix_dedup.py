@@ -3,14 +3,15 @@
 A string of ``length`` bytes that starts in two places has an anchor, a position
 chosen by its bytes alone, at the same distance in both (anchors.py). Successive
 window starts of one anchor are a segment. Spark counts anchors by hash and
-segments by content: a segment whose bytes stand elsewhere too is removed whole.
+segments by a cryptographic digest of their bytes: one that stands elsewhere too is
+removed whole, and of equal ones a single one is sorted.
 The distinct segments of one anchor hash are compared by sorting the suffixes that
 start at their anchors, and the reversed prefixes before them, deep-shallow: for
 every group of suffixes with a common prefix, the neighbours in the order of
 prefixes give the longest match on the left.
 
-A hash with more than GROUP distinct segments does not go to one task: its windows
-are counted one by one, by their digests, in Spark.
+The segments of a hash that has more than GROUP of them are split by their next
+anchors, so that no task sorts many.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engramark.llm import bytetext, scratch
@@ -28,8 +29,10 @@ from engramark.llm.anchors import GRAM, anchors
 from engramark.llm.suffix_sort import common_prefix, deep_shallow_order
 
 LENGTH = 400
-#: Distinct segments of one anchor hash, of about 600 bytes each, that one task compares.
-GROUP = 8192
+#: Bytes that passages of over 50 words have at least.
+PASSAGE = 250
+#: Distinct segments of one hash, of less than twice LENGTH bytes each, that one task sorts.
+GROUP = 2048
 
 Segment = tuple[bytes, int]
 
@@ -42,12 +45,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def segments(texts: DataFrame, length: int) -> DataFrame:
-    """hash, content, key, doc_id, start, size, anchor: every segment, with a 128-bit digest of its bytes and the anchor's distance from its start."""
+    """hash, content, key, doc_id, start, size, anchor: every segment of texts (key, doc_id, base, text), with a digest of its bytes and the anchor's distance from its start; a text's first byte is at ``base``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        digest = xxhash.xxh3_128_digest
         with np.errstate(over="ignore"):
             for rows, data, offs in bytetext.pieces(batches):
                 first, last, anchor, hashes = anchors(data, offs, length)
@@ -55,9 +55,15 @@ def segments(texts: DataFrame, length: int) -> DataFrame:
                 contents = [digest(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
                 doc = np.searchsorted(offs, first, "right") - 1
                 names = [pa.array(hashes.view(np.int64)), pa.array(contents, pa.binary()), rows.column(0).take(pa.array(doc)), rows.column(1).take(pa.array(doc))]
-                yield pa.RecordBatch.from_arrays([*names, pa.array(first - offs[doc]), pa.array((last - first + length).astype(np.int32)), pa.array((anchor - first).astype(np.int32))], ["hash", "content", "key", "doc_id", "start", "size", "anchor"])
+                start = first - offs[doc] + rows.column(2).to_numpy()[doc]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(start), pa.array((last - first + length).astype(np.int32)), pa.array((anchor - first).astype(np.int32))], ["hash", "content", "key", "doc_id", "start", "size", "anchor"])
+
+    return texts.select("key", "doc_id", "base", "text").mapInArrow(run, "hash long, content binary, key long, doc_id long, start long, size int, anchor int")
+
 
-    return texts.select("key", "doc_id", "text").mapInArrow(run, "hash long, content binary, key long, doc_id long, start long, size int, anchor int")
+def digest(data: bytes) -> bytes:
+    """A cryptographic digest: segments with equal ones have equal bytes."""
+    return hashlib.blake2b(data, digest_size=20).digest()
 
 
 def matches(group: list[Segment], length: int) -> list[list[tuple[int, int]]]:
@@ -128,28 +134,82 @@ def compared(fetched: DataFrame, length: int) -> DataFrame:
     return sorted_.mapInArrow(run, "key long, doc_id long, start long, end long")
 
 
-def counted(fetched: DataFrame, length: int) -> DataFrame:
-    """The same for hashes of too many segments: windows that stand in two of them, by counting their digests."""
+def next_anchors(content: bytes, taken: list[int], length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first, last, anchor, hash): runs of successive windows of a segment with the same next anchor, the position with the least hash that isn't ``taken``; -1 where all are."""
+    data = np.frombuffer(content, np.uint8)
+    up, down = bytetext.powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    hashes = bytetext.mix((total[GRAM:] - total[:-GRAM]) * down[: len(data) - GRAM + 1])
+    low = hashes >> np.uint64(24) << np.uint64(24) | np.arange(len(hashes), dtype=np.uint64)
+    low[taken] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    least = np.lib.stride_tricks.sliding_window_view(low, length - GRAM + 1).min(1)
+    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(least)], strict=True):
+        at = int(least[a]) & 0xFFFFFF
+        yield (a, b - 1, at, int(hashes[at])) if at < len(hashes) else (a, b - 1, -1, 0)
+
+
+def split(fetched: DataFrame, length: int) -> DataFrame:
+    """The windows of segments cut at a further anchor: hash now stands for all anchors and their distances, so that equal windows still meet.
+
+    With as many anchors as a window has positions, its hash stands for all of its
+    bytes: a group can be split until its segments are few or equal.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                rows: list[tuple] = []
+                for hash_, n, key, doc_id, start, anchor, taken, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    for a, b, at, h in next_anchors(content, [anchor, *taken], length):
+                        part = content[a : b + length]
+                        mixed = bytetext.mix(np.array([(hash_ * 0x9E3779B97F4A7C15 + h * 0xC2B2AE3D27D4EB4F + (at - anchor if at >= 0 else 0)) % (1 << 64)], np.uint64))
+                        rows.append((int(mixed.view(np.int64)[0]), digest(part), n, key, doc_id, start + a, anchor - a, [x - a for x in (*taken, at) if x >= 0], part))
+                columns = list(zip(*rows, strict=True)) or [()] * 9
+                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["hash", "content", "n", "key", "doc_id", "start", "anchor", "taken", "bytes"])
 
-        for batch in batches:
-            for hash_, n, key, doc_id, start, anchor, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                view, ends = memoryview(content), range(len(content) - length + 1)
-                fixed = [pa.array([x] * len(ends), pa.int64()) for x in (hash_, n, key, doc_id)]
-                yield pa.RecordBatch.from_arrays([*fixed, pa.array([start + k for k in ends], pa.int64()), pa.array([anchor - k for k in ends], pa.int64()), pa.array([xxhash.xxh3_128_digest(view[k : k + length]) for k in ends], pa.binary())], ["hash", "n", "key", "doc_id", "start", "distance", "window"])
+    return fetched.select("hash", "n", "key", "doc_id", "start", "anchor", "taken", "bytes").mapInArrow(run, "hash long, content binary, n long, key long, doc_id long, start long, anchor int, taken array<int>, bytes binary")
 
-    windows = fetched.select("hash", "n", "key", "doc_id", "start", "anchor", "bytes").mapInArrow(run, "hash long, n long, key long, doc_id long, start long, distance long, window binary")
-    windows = scratch.written(windows, "windows")
-    by = ["hash", "distance", "window"]
-    repeated = windows.groupBy(*by).agg(F.count("*").alias("times")).where("times > 1").drop("times")
-    return windows.where("n = 1").join(repeated, by, "left_semi").select("key", "doc_id", "start", (F.col("start") + length).alias("end"))
 
+def sorted_ranges(fetched: DataFrame, length: int, group: int) -> DataFrame:
+    """key, doc_id, start, end of the ranges in the single segments (n = 1) of each hash that match another of that hash.
 
-def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """key, doc_id, start, end: byte ranges, maybe overlapping, whose union is every byte of a string of ``length`` bytes that starts twice or more."""
-    all_ = scratch.written(segments(texts, length), "segments")
+    Hashes with more than ``group`` distinct segments are split by further anchors,
+    as often as it takes; each group that is left is sorted in one task.
+    """
+    found, now = None, fetched
+    while True:
+        few = compared(now.where(F.col("kinds") <= group), length)
+        found = few if found is None else found.unionByName(few)
+        hot = now.where(F.col("kinds") > group)
+        if hot.isEmpty():
+            return found
+        parts = scratch.written(split(hot, length), "split-segments")
+        # Equal parts of different segments are repeated; one of them goes on.
+        same = parts.groupBy("hash", "content").agg(F.count("*").alias("rows"), F.sum("n").alias("all"), F.min(F.struct("key", "doc_id", "start")).alias("place"))
+        same = scratch.written(same, "split-distinct")
+        whole = parts.where("n = 1").join(same.where("rows > 1").select("hash", "content"), ["hash", "content"], "left_semi")
+        found = found.unionByName(whole.select("key", "doc_id", "start", (F.col("start") + F.octet_length("bytes")).alias("end")))
+        kinds = same.groupBy("hash").agg(F.count("*").cast("long").alias("kinds"), F.min("all").alias("least")).where("kinds > 1 and least = 1").drop("least")
+        one = same.join(kinds, "hash").select("hash", "content", "all", "kinds", "place.*")
+        place = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("hash", "content", "key", "doc_id", "start")]
+        joined = one.alias("a").join(parts.alias("b"), place)
+        now = scratch.written(joined.select("a.hash", F.col("a.all").alias("n"), "a.kinds", "a.key", "a.doc_id", "a.start", "b.anchor", "b.taken", "b.bytes"), "split-bytes")
+
+
+def repeated_ranges(texts: DataFrame, length: int = LENGTH, within: DataFrame | None = None, group: int = GROUP) -> DataFrame:
+    """key, doc_id, start, end: byte ranges, maybe overlapping, whose union is every byte of a string of ``length`` bytes that starts twice or more.
+
+    ``within`` are spans (key, doc_id, start, end) known to hold all such strings; default: the whole texts.
+    """
+    if within is None:
+        searched = texts.select("key", "doc_id", F.lit(0).cast("long").alias("base"), "text")
+    else:
+        raw = F.expr("substring(encode(text, 'UTF-8'), cast(start as int) + 1, cast(end - start as int))")
+        searched = _with_text(texts, within.where(F.col("end") - F.col("start") >= length), ["start", "end"]).select("key", "doc_id", F.col("start").alias("base"), raw.alias("text"))
+    all_ = scratch.written(segments(searched, length), "segments")
     several = scratch.written(all_.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash"), "shared-hashes")
     shared = scratch.written(all_.join(several, "hash", "left_semi"), "shared-segments")
     place = F.struct("key", "doc_id", "start", "size", "anchor")
@@ -160,34 +220,49 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     kinds = distinct.groupBy("hash").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").drop("least")
     mixed = distinct.join(kinds, "hash").select("hash", "n", "kinds", "place.*")
-    wanted = mixed.groupBy("key", "doc_id").agg(F.collect_list(F.struct("hash", "n", "kinds", "start", "size", "anchor")).alias("wanted"))
-    same = F.col("t.key").eqNullSafe(F.col("w.key")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
-    held = texts.select("key", "doc_id", "text").alias("t").join(wanted.alias("w"), same).select("t.key", "t.doc_id", F.encode("text", "UTF-8").alias("raw"), F.explode("wanted").alias("x"))
-    fetched = held.select("x.hash", "x.n", "x.kinds", "key", "doc_id", "x.start", "x.anchor", F.expr("substring(raw, cast(x.start as int) + 1, x.size)").alias("bytes"))
+    content = F.expr("substring(encode(text, 'UTF-8'), cast(start as int) + 1, size)").alias("bytes")
+    fetched = _with_text(texts, mixed, ["hash", "n", "kinds", "start", "size", "anchor"]).select("hash", "n", "kinds", "key", "doc_id", "start", "anchor", F.expr("cast(array() as array<int>)").alias("taken"), content)
     fetched = scratch.written(fetched, "segment-bytes")
-    few = compared(fetched.where(F.col("kinds") <= GROUP), length)
-    many = counted(fetched.where(F.col("kinds") > GROUP), length)
-    return whole.unionByName(few).unionByName(many)
+    return whole.unionByName(sorted_ranges(fetched, length, group))
+
+
+def _with_text(texts: DataFrame, places: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of ``places`` with key, doc_id and the text of each row of ``texts`` that they name."""
+    wanted = places.groupBy("key", "doc_id").agg(F.collect_list(F.struct(*columns)).alias("wanted"))
+    same = F.col("t.key").eqNullSafe(F.col("w.key")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
+    return texts.select("key", "doc_id", "text").alias("t").join(wanted.alias("w"), same).select("t.key", "t.doc_id", "text", F.explode("wanted").alias("x")).select("key", "doc_id", "text", "x.*")
 
 
-def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def merged(ranges: DataFrame) -> DataFrame:
+    """key, doc_id, start, end: the maximal runs of bytes that ranges cover; ranges that touch are one run."""
+    order = Window.partitionBy("key", "doc_id").orderBy("start", "end")
+    far = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = ranges.withColumn("opens", F.when(far >= F.col("start"), 0).otherwise(1))
+    runs = opens.withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("key", "doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+
+
+def with_spans(docs: DataFrame, length: int = LENGTH, passage: int | None = None) -> DataFrame:
     """row (all columns of ``docs``), doc_id, text and spans, the merged byte runs [start, end) to remove from the text's UTF-8.
 
+    With ``passage``, at most ``length``, also passages: the runs that strings of so
+    many bytes give; longer strings are then only looked for in them.
+
     A null text is empty; texts of fewer than ``length`` bytes have no spans; a null
     doc_id is a document like any other; repeated rows repeat their strings, so all
     of them lose theirs; an empty table gives no rows; other columns stay in row.
     """
-    texts = keyed(docs)
-    ranges = repeated_ranges(texts, length)
-    spans = ranges.groupBy("key", "doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("ranges"))
-    merged = F.aggregate(
-        "ranges",
-        F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)"),
-        lambda done, r: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= r["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], r["end"]).alias("end"))))).otherwise(F.concat(done, F.array(r))),
-    )
-    spans = spans.select("key", "doc_id", merged.alias("spans"))
-    same = F.col("t.key").eqNullSafe(F.col("s.key")) & F.col("t.doc_id").eqNullSafe(F.col("s.doc_id"))
-    return texts.alias("t").join(spans.alias("s"), same, "left").select("row", "t.doc_id", "text", F.coalesce("spans", F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")).alias("spans"))
+    spark, texts = docs.sparkSession, keyed(docs)
+    none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
+    result = texts
+    kinds = {"spans": length} if passage is None else {"passages": passage, "spans": length}
+    known = None
+    for name, size in kinds.items():
+        known = scratch.settled(spark, name, lambda size=size, known=known: merged(repeated_ranges(texts, size, known)))
+        lists = known.groupBy("key", "doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(name))
+        same = F.col("t.key").eqNullSafe(F.col("s.key")) & F.col("t.doc_id").eqNullSafe(F.col("s.doc_id"))
+        result = result.alias("t").join(lists.alias("s"), same, "left").select("t.*", F.coalesce(name, none).alias(name))
+    return result.drop("key")
 
 
 def kept_bytes(raw: bytes, spans: list[dict]) -> bytes:
@@ -227,18 +302,20 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of LENGTH bytes, and as n_passage_bytes what repeated passages of PASSAGE bytes and more cover."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[], [], [], []]
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            columns: list[list] = [[], [], [], [], []]
+            for text, spans, passages in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 raw = text.encode()
-                removed = sum(s["end"] - s["start"] for s in spans)
-                for column, value in zip(columns, (len(raw), removed, len(spans), hashlib.sha256(kept_bytes(raw, spans)).hexdigest()), strict=True):
+                removed, covered = (sum(s["end"] - s["start"] for s in x) for x in (spans, passages))
+                for column, value in zip(columns, (len(raw), removed, len(spans), hashlib.sha256(kept_bytes(raw, spans)).hexdigest(), covered), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in columns)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string() if k == 3 else pa.int64()) for k, c in enumerate(columns))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"])
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return with_spans(docs).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs, LENGTH, PASSAGE).select("doc_id", "text", "spans", "passages").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long")
 
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}

@@ -82,11 +82,33 @@ def test_suffix_dedup(spark, docs, length):
     assert cut.where("text is null").count() == 2
 
 
-def test_suffix_dedup_of_a_frequent_hash(docs, monkeypatch):
-    want = suffix_dedup.with_spans(docs, 400).select("doc_id", "spans").collect()
-    monkeypatch.setattr(suffix_dedup, "GROUP", 1)
-    got = suffix_dedup.with_spans(docs, 400).select("doc_id", "spans").collect()
-    assert sorted(map(str, got)) == sorted(map(str, want))
+def test_suffix_dedup_of_a_frequent_hash(spark, docs):
+    """One line in many texts, so that its anchors are in many segments, which are split."""
+    r = random.Random(2)
+    line = "".join(r.choice("abcdefgh ") for _ in range(150))
+    texts = [prose(r, 40) + line + prose(r, 40) for _ in range(30)]
+    texts += [t[200:700] for t in texts[:12]]
+    keyed = suffix_dedup.keyed(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"))
+    want, got = ({(x["key"], x["start"], x["end"]) for x in suffix_dedup.merged(suffix_dedup.repeated_ranges(keyed, 250, group=g)).collect()} for g in (1 << 20, 8))
+    assert got == want and len(want) > 20
+
+
+def test_next_anchors_of_equal_windows():
+    r = random.Random(9)
+    shared = bytes(r.randrange(256) for _ in range(500))
+    found = []
+    for left in (b"x" * 30, b"yz" * 60):
+        whole = left + shared
+        at = [(len(left) + k, h, p - len(left)) for a, b, p, h in suffix_dedup.next_anchors(whole, [len(left) + 250], 400) for k in range(a - len(left), b + 1 - len(left)) if k >= 0]
+        found.append({k - len(left): (h, p) for k, h, p in at})
+    assert found[0] == found[1] and len(found[0]) == 101
+
+
+def test_passages_and_spans_together(docs):
+    both = {str(x["doc_id"]) + str(x["text"]): x for x in suffix_dedup.with_spans(docs, 400, 100).collect()}
+    for length, name in ((400, "spans"), (100, "passages")):
+        for x in suffix_dedup.with_spans(docs, length).collect():
+            assert both[str(x["doc_id"]) + str(x["text"])][name] == x["spans"]
 
 
 def test_warc(spark, tmp_path):
