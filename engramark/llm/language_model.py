@@ -29,8 +29,9 @@ from engramark.llm import bytetext, scratch
 FOLDS, HELD_OUT, DEVELOPMENT = 7, 2, 6
 #: Contexts are mixed alike if their counts have the same number of binary digits.
 BUCKETS = 48
-#: Bytes of text in a batch.
+#: Bytes of text in a batch, and for each partition in which counts meet.
 BATCH = 16 << 20
+PART_BYTES = 16 << 20
 #: The token that ends a text, and stands before its first word.
 END = np.uint64(0x0123456789ABCDEF)
 #: Steps per doubling and number of steps in which estimates are counted for the weights.
@@ -261,7 +262,9 @@ def scores(docs: DataFrame) -> DataFrame:
     unknown. An empty table gives no rows; columns but doc_id and text are not read.
     """
     spark = docs.sparkSession
-    parts = scratch.shuffle_partitions(spark)
+    # A task's memory is that of the tokens dealt to one partition, so their number grows with the texts.
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    parts = max(scratch.shuffle_partitions(spark), -(-size // PART_BYTES))
     counted = scratch.written(batches_counted(counts_met(requests(folded(docs), parts), parts), parts), "counted-batches")
     # One row of three numbers for each partition, and one for each cell: neither grows with the documents.
     totals = [pickle.loads(r["data"]) for r in counted.where(F.col("kind") == TOTALS).select("data").collect()]

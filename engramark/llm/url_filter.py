@@ -1,9 +1,9 @@
 """URL filter: rules, and for the rest a ratio of two character language models.
 
-The URLs that a rule allows and those that it blocks are the two training sets.
-Each gives a smoothed variable-order Markov model: the contexts kept are those
-frequent enough in the set, of up to ORDER characters, and a character's
-probability is interpolated from the longest kept context down to none. A URL is
+The URLs that a rule allows and those that it blocks are the two training sets, of
+which each gives a smoothed variable-order Markov model of a bounded sample: a
+character's probability is interpolated from the longest context of up to ORDER
+characters that was seen down to none. A URL is
 allowed if the difference of its length-normalised log-likelihoods is above a
 threshold calibrated on labelled URLs that trained neither model.
 """
@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ORDER = 5
-#: A string of characters is kept in a model if it is at least one in so many; this bounds a model to ORDER + 1 times the number.
-KEPT = 50_000
+#: Bounds of the fit: different URLs for each verdict, and characters of one. Every string of up to ORDER + 1 of their characters is kept.
+FIT_URLS = 10_000
+FIT_LENGTH = 2000
 #: One labelled URL in so many calibrates; the others train.
 CALIBRATE = 5
 #: Characters that unseen ones share the last of the probability with.
@@ -78,7 +79,7 @@ def gram_counts(urls: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 class Model:
-    """Probabilities of characters after contexts, by Witten-Bell interpolation over the kept contexts."""
+    """Probabilities of characters after contexts, by Witten-Bell interpolation over the contexts that were seen."""
 
     def __init__(self, grams: dict[str, int], order: int = ORDER) -> None:
         self.order, self.grams, self.memo = order, grams, {}
@@ -105,15 +106,13 @@ class Model:
 
 
 def fit(labelled: DataFrame) -> dict[str, dict[str, int]]:
-    """The kept strings of the models allow and block, from all URLs (verdict, s, n); bounded by KEPT."""
-    counts = gram_counts(labelled)
-    totals = {r["verdict"]: r["t"] for r in counts.where(F.char_length("gram") == 1).groupBy("verdict").agg(F.sum("n").alias("t")).collect()}
-    least = F.lit(1)
-    for verdict, total in totals.items():
-        least = F.when(F.col("verdict") == verdict, F.lit(-(-total // KEPT))).otherwise(least)
-    models: dict[str, dict[str, int]] = {"allow": {}, "block": {}}
-    for r in counts.where(F.col("n") >= least).toLocalIterator():
-        models[r["verdict"]][r["gram"]] = r["n"]
+    """The strings of the models allow and block and their counts, from (verdict, s): of each the FIT_URLS with the smallest hashes, each once."""
+    models: dict[str, dict[str, int]] = {}
+    for verdict in ("allow", "block"):
+        short = labelled.where((F.col("verdict") == verdict) & (F.char_length("s") <= FIT_LENGTH)).select("s").distinct()
+        sample = short.orderBy(F.xxhash64("s"), "s").limit(FIT_URLS)
+        counts = gram_counts(sample.select(F.lit(verdict).alias("verdict"), "s", F.lit(1).alias("n")))
+        models[verdict] = {r["gram"]: r["n"] for r in counts.toLocalIterator()}
     return models
 
 

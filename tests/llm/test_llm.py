@@ -198,6 +198,41 @@ def test_url_models_tell_two_kinds_apart(spark):
     assert right >= 36
 
 
+def test_url_verdicts_against_brute_force(spark):
+    """Probabilities from plain counts, the threshold by trying all, verdicts from both; repeated rows and a clashing column change nothing."""
+    r = random.Random(16)
+    word = lambda xs: "".join(r.choice(xs) for _ in range(r.randrange(2, 9)))
+    urls = [f"http://{word('abcde')}.{'net' if k % 2 else 'org'}/{word('uvwx') if k % 2 else 'fr/' + word('umno')}" for k in range(300)] + [f"http://x.info/{word('uvwmno')}" for _ in range(60)]
+    pages = spark.createDataFrame([(k, u, "clash") for k, u in [*enumerate(urls), (0, urls[0]), (900, None), (901, "no scheme")]], "page_id long, url string, s string")
+    got = url_filter.judged(pages).collect()
+    by = {x["page_id"]: x for x in got}
+    s_of = {k: "\x02" + re.sub("[0-9]", "0", (u or "").lower().split("://", 1)[-1]) + "\x03" for k, u in [*enumerate(urls), (900, None), (901, "no scheme")]}
+    fold = {x["s"]: x["f"] for x in spark.createDataFrame([(x,) for x in set(s_of.values())], "s string").select("s", F.expr(f"pmod(xxhash64(s), {url_filter.CALIBRATE})").alias("f")).collect()}
+    known = {(x["verdict"], s_of[k]) for k, x in by.items() if x["rule"]}
+    counts = {v: Counter(s[i - k : i + 1] for w, s in known if w == v and fold[s] for i in range(1, len(s)) for k in range(min(url_filter.ORDER, i) + 1)) for v in ("allow", "block")}
+
+    def p(c, gram):
+        context = gram[:-1]
+        lower = p(c, gram[1:]) if context else 1 / url_filter.ALPHABET
+        after = [n for g, n in c.items() if len(g) == len(gram) and g[:-1] == context]
+        return (c[gram] + len(after) * lower) / (sum(after) + len(after)) if after else lower
+
+    def mean(v, s):
+        return sum(math.log(p(counts[v], s[max(0, i - url_filter.ORDER) : i + 1])) for i in range(1, len(s))) / (len(s) - 1)
+
+    ratio = {s: mean("allow", s) - mean("block", s) for s in set(s_of.values())}
+    trial = Counter((v, s) for v, s in known if not fold[s])
+    right = lambda t: sum(sum(ratio[s] >= t if v == "allow" else ratio[s] < t for w, s in trial if w == v) / sum(w == v for w, _ in trial) for v in ("allow", "block"))
+    best = max(right(k * url_filter.BIN) for k in range(-300, 300))
+    open_ = {k: x for k, x in by.items() if not x["rule"]}
+    assert all(x["ratio"] == pytest.approx(ratio[s_of[k]], abs=1e-9) for k, x in open_.items()) and len(open_) >= 60
+    allowed, blocked = ([ratio[s_of[k]] for k, x in open_.items() if x["verdict"] == v] for v in ("allow", "block"))
+    assert max(blocked, default=-99) < min(allowed, default=99)
+    given = [k * url_filter.BIN for k in range(-300, 300) if max(blocked, default=-99) < k * url_filter.BIN <= min(allowed, default=99)]
+    assert any(right(t) == best for t in given)
+    assert len(got) == len(urls) + 3 and sum(x["page_id"] == 0 for x in got) == 2
+
+
 def test_language_model(docs, no_docs):
     rows = documents()
     tokens = [[*(w for w in SPACE_WORDS.findall((t or "").encode().lower())), None] for _, t, *_ in rows]
@@ -277,13 +312,32 @@ def test_language(spark, no_docs):
     rows = [(k, " ".join(r.choice(words[lang]) for _ in range(40)), lang) for k in range(240) for lang in [("en", "de", "es")[k % 3]]]
     rows += [(900, None, "en"), (901, "123 !!", "en"), (902, "", "de"), (None, "the house", "en"), (903, "the water", None), (3, rows[3][1], "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("x"))
-    taught = language.learn(df.where("doc_id % 2 = 0"))
-    assert set(taught) == set(words)
+    taught = [*language.learn(df.where("doc_id % 2 = 0"))]
+    assert [set(x) for x in taught] == [set(words)]
     got = {x["doc_id"]: x for x in language.identify(df.drop("lang_pred"), taught, ["doc_id", "lang"]).collect()}
     assert sum(got[k]["lang_pred"] == got[k]["lang"] for k in range(1, 240, 2) if k != 3) == 119
     assert [got[k]["lang_pred"] for k in (900, 901, 902)] == ["und"] * 3 and got[900]["score"] == 0
     assert all(0 <= x["score"] <= 1 for x in got.values())
     assert language.identify(no_docs, language.learn(no_docs), ["doc_id"]).count() == 0
+    # The sizes, smallest first, and rounds of a language each, as in one round; of equal dictionaries the first wins.
+    for x in got.values():
+        if x["lang_pred"] != "und":
+            raw = language.letters(dict((i, t) for i, t, _ in rows)[x["doc_id"]])
+            size = {k: sum(len(compressor(d)(raw[a : a + language.CHUNK])) for a in range(0, len(raw), language.CHUNK)) for k, d in taught[0].items()}
+            first, second = sorted(size.values())[:2]
+            assert size[x["lang_pred"]] == first and x["score"] == pytest.approx(1 - first / second)
+    apart = language.identify(df.drop("lang_pred"), [{k: d} for k, d in taught[0].items()], ["doc_id", "lang"])
+    assert sorted(map(str, apart.collect())) == sorted(map(str, language.identify(df.drop("lang_pred"), taught, ["doc_id", "lang"]).collect()))
+    tied = language.identify(df.where("doc_id = 0"), [{"b": b"the house", "a": b"the house"}], ["doc_id"]).first()
+    assert (tied["lang_pred"], tied["score"], tied["rejected"]) == ("b", 0.0, True)
+
+
+def compressor(dictionary):
+    import zstandard
+
+    content = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    content.precompute_compress(level=language.LEVEL)
+    return zstandard.ZstdCompressor(dict_data=content, write_content_size=False, write_checksum=False).compress
 
 
 def test_fm_index():
