@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +21,11 @@ from engramark.llm import scratch
 
 #: Payloads of fewer bytes are always stored, as a revisit would be as long.
 MIN_SHARED_BYTES = 100
-RECORDS_PER_FILE = 2000
+#: Bytes of records after which a file ends.
+FILE_BYTES = 64 << 20
+#: Bytes of a file that are inflated at once, and of payloads in a batch.
+CHUNK = 256 << 10
+BATCH = 8 << 20
 #: Fixed value of the format.
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -68,74 +72,121 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_SHARED_BYTES
         block,
         F.lit("\r\n\r"),  # the writer of lines adds the last \n
     )
-    planned(pages, min_bytes).select(record.alias("value")).write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
-
-
-def parsed(raw: bytes) -> Iterator[tuple[bytes, dict[str, str], bytes]]:
-    """(exact header bytes, headers by lower-case name, block) of each record of an archive's bytes; lengths alone say where a record ends."""
-    at = 0
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at) + 4
-        lines = raw[at : end - 4].decode().split("\r\n")
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = 0
+        for batch in batches:
+            sizes = [len(x.as_buffer() or b"") for x in batch.column(0)]
+            files = []
+            for size in sizes:
+                files.append(held // FILE_BYTES)
+                held += size
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.int64())], ["value", "file"])
+
+    records = planned(pages, min_bytes).select(record.alias("value")).mapInArrow(numbered, "value string, file long")
+    records.write.partitionBy("file").option("compression", "gzip").option("lineSep", "\n").text(path)
+
+
+def inflated(raw: bytes) -> Iterator[bytes]:
+    """The content of a gzip file, of one member or of many after each other, in pieces."""
+    view, member = memoryview(raw), None
+    for at in range(0, len(view), CHUNK):
+        rest = bytes(view[at : at + CHUNK])
+        while rest:
+            member = member or zlib.decompressobj(31)
+            if piece := member.decompress(rest):
+                yield piece
+            rest = member.unused_data
+            if member.eof:
+                member = None
+    if member:
+        raise ValueError("a gzip file ends within a member")
+
+
+def parsed(pieces: Iterable[bytes]) -> Iterator[tuple[bytes, dict[str, str], bytes]]:
+    """(exact header bytes, headers by lower-case name, block) of each record of an archive's content; lengths alone say where a record ends."""
+    more, held = iter(pieces), bytearray()
+
+    def fill(size: int) -> bool:
+        while len(held) < size:
+            piece = next(more, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while fill(1):
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(held) - 3)
+            if not fill(len(held) + 1):
+                raise ValueError("the archive ends within a header")
+        header = bytes(held[: end + 4])
+        lines = header[:-4].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError(f"no record where one should start: {lines[0][:40]!r}")
         fields = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:])}
-        stop = end + int(fields["content-length"])
-        if raw[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end where its length says")
-        yield raw[at:end], fields, raw[end:stop]
-        at = stop + 4
+        stop = end + 4 + int(fields["content-length"])
+        if not fill(stop + 4) or held[stop : stop + 4] != b"\r\n\r\n":
+            raise ValueError(f"record {fields.get('warc-record-id')} does not end where its length says")
+        yield header, fields, bytes(held[end + 4 : stop])
+        del held[: stop + 4]
 
 
-def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """One row per record: page_id, record_type, refers_to, header, http_header, payload_digest, payload_bytes, payload.
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """One row per record: page_id, record_type, refers_to, header, http_header, payload_digest, payload.
 
-    payload and payload_bytes are null for revisits; payload is null for all records
-    unless ``payloads``. A stored payload whose digest is not the header's raises.
+    Files may have a gzip member for all records or for each. payload is null for
+    revisits. A stored payload whose digest is not the header's raises.
     """
 
     def number(urn: str | None) -> int | None:
         digits = urn.removeprefix("<urn:page:").removesuffix(">") if urn else ""
         return int(digits) if digits else None
 
+    names = ["page_id", "record_type", "refers_to", "header", "http_header", "payload_digest", "payload"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "record_type", "refers_to", "header", "http_header", "payload_digest", "payload_bytes", "payload"]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.binary()]
+        rows, held = [], 0
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for header, fields, block in parsed(zlib.decompress(content.as_py(), 31)):
+                for header, fields, block in parsed(inflated(content.as_py())):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     digest = fields["warc-payload-digest"].removeprefix("sha256:")
                     stored = fields["warc-type"] == "response"
                     if stored and hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"payload of {fields['warc-record-id']} does not have its digest")
-                    rows.append((number(fields["warc-record-id"]), fields["warc-type"], number(fields.get("warc-refers-to")), header, http + b"\r\n\r\n", digest, len(payload) if stored else None, payload if stored and payloads else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows.append((number(fields["warc-record-id"]), fields["warc-type"], number(fields.get("warc-refers-to")), header, http + b"\r\n\r\n", digest, payload if stored else None))
+                    held += len(block)
+                    if held >= BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).where("length > 20").select("content")
-    return files.mapInArrow(run, "page_id long, record_type string, refers_to long, header binary, http_header binary, payload_digest string, payload_bytes long, payload binary")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).where("length > 20").select("content")
+    return files.mapInArrow(run, "page_id long, record_type string, refers_to long, header binary, http_header binary, payload_digest string, payload binary")
 
 
 def payload_store(records: DataFrame) -> DataFrame:
-    """payload_digest, payload_bytes, payload: one row per distinct stored payload."""
-    return records.where("record_type = 'response'").groupBy("payload_digest").agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload").alias("payload"))
+    """payload_digest, payload: one row for each distinct stored payload that a revisit needs."""
+    needed = records.where("record_type <> 'response'").select("payload_digest").distinct()
+    return records.where("record_type = 'response'").join(needed, "payload_digest", "left_semi").groupBy("payload_digest").agg(F.first("payload").alias("payload"))
 
 
 def rebuilt(records: DataFrame) -> DataFrame:
-    """page_id, header, http_header and payload of every record, the payload from the store by digest."""
-    store = payload_store(records).select("payload_digest", "payload")
-    return records.drop("payload", "payload_bytes").join(store, "payload_digest").select("page_id", "record_type", "header", "http_header", "payload")
+    """page_id, record_type, refers_to, header, http_header and payload of every record: a response's own, a revisit's from the store by digest."""
+    columns = ["page_id", "record_type", "refers_to", "header", "http_header", "payload"]
+    again = records.where("record_type <> 'response'").drop("payload").join(payload_store(records), "payload_digest", "left")
+    return records.where("record_type = 'response'").select(columns).unionByName(again.select(columns))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and digests are those of the rebuilt records' payloads."""
     path = scratch.new_path(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    records = scratch.written(read_archive(spark, path, payloads=False).drop("header", "http_header", "payload"), "warc-records")
-    store = records.where("payload_bytes is not null").groupBy("payload_digest").agg(F.first("payload_bytes").alias("payload_bytes"))
-    kept = records.where("record_type = 'response'")
-    again = records.where("record_type <> 'response'").drop("payload_bytes").join(store, "payload_digest")
-    return kept.unionByName(again).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = scratch.written(read_archive(spark, path), "warc-records")
+    return rebuilt(records).select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
 
 
 QUERIES = {"op2_warc": op2_warc}

@@ -130,7 +130,38 @@ def test_warc(spark, tmp_path):
 
 def test_warc_record_that_lies_about_its_length():
     with pytest.raises(ValueError):
-        list(warc.parsed(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabcd\r\n\r\n"))
+        list(warc.parsed([b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabcd\r\n\r\n"]))
+
+
+def test_warc_files_of_many_members(spark, tmp_path, monkeypatch):
+    """A gzip member for each record, cut anywhere, and a long payload; a file that ends early is an error."""
+    import gzip
+
+    def record(k, payload):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+        return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nWARC-Payload-Digest: sha256:%s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k, hashlib.sha256(payload).hexdigest().encode(), len(block), block)
+
+    payloads = [b"one", b"", b"\r\n\r\nWARC/1.1\r\n", random.Random(1).randbytes(3 << 20), b"last"]
+    raw = b"".join(gzip.compress(record(k, p)) for k, p in enumerate(payloads))
+    (tmp_path / "x.warc.gz").write_bytes(raw)
+    got = warc.read_archive(spark, f"file://{tmp_path}").collect()
+    assert {x["page_id"]: bytes(x["payload"]) for x in got} == dict(enumerate(payloads))
+    for chunk in (1, 7, 1000):
+        monkeypatch.setattr(warc, "CHUNK", chunk)
+        small = gzip.compress(record(0, b"one")) + gzip.compress(record(1, b"two" * 9))
+        assert [b[-3:] for _, _, b in warc.parsed(warc.inflated(small))] == [b"one", b"two"]
+    with pytest.raises(ValueError):
+        list(warc.parsed(warc.inflated(small[:-9])))
+
+
+def test_warc_files_are_bounded_and_other_columns_ignored(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 2000)
+    rows = [(k, f"u{k}", f"page {k % 7} " * 30, "x", 1) for k in range(40)] + [(40, "u", "long " * 50_000, "x", 1), (3, "u3", "page 3 " * 30, "x", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, payload_digest int").coalesce(1)
+    warc.write_archive(df, f"file://{tmp_path}/a")
+    records = warc.read_archive(spark, f"file://{tmp_path}/a")
+    assert len(list((tmp_path / "a").rglob("*.gz"))) > 3
+    assert Counter((x["page_id"], bytes(x["payload"]).decode()) for x in warc.rebuilt(records).collect()) == Counter((i, t) for i, _, t, *_ in rows)
 
 
 def test_packing(docs, no_docs):
