@@ -337,6 +337,45 @@ def test_html_host_path_wins(spark):
     assert got[9] == "real text of the page, long enough."
 
 
+HTML = "page_id long, url string, html string, winner string, text int"
+
+
+def extracted(spark, pages):
+    return {x["page_id"]: x["text"] for x in html_extract.extract(spark.createDataFrame([(k, u, h, "clash", 1) for k, u, h in pages], HTML)).collect()}
+
+
+def test_html_class_words_are_weighed(spark):
+    """A title in a post-header, an article in an element that may be shared, lead and sections beside the body; links only; columns named as internal ones."""
+    article = "<p>" + "The text of the article goes on. " * 9 + "</p>"
+    pages = [
+        (1, "http://a/1", f"<body><div class='post-header'><h1>title</h1></div><div class='share-enabled content'>{article}</div><p>short tail</p></body>"),
+        (2, "http://b/1", f"<body><article><h1>title</h1><p>lead</p><div class=body>{article * 3}</div><div class=more><p>second section</p></div></article></body>"),
+        (3, "http://c/1", "<body><div><a href=x>one</a> <a href=y>two</a></div></body>"),
+        (4, "http://d/1", f"<body><h1>title</h1><div class='x'>{article}</div><div class='comment-list'><div class='comment-content'>{article[:90]}</p></div></div><span class='share-buttons'>tell others</span></body>"),
+    ]
+    got = extracted(spark, pages)
+    body = article[3:-4].strip()
+    assert got[1] == f"title\n\n{body}\n\nshort tail"
+    assert got[2] == f"title\n\nlead\n\n{chr(10).join([body + chr(10)] * 3).strip()}\n\nsecond section"
+    assert got[3] == "" and got[4] == f"title\n\n{body}"
+    assert html_extract.extract(spark.createDataFrame([], HTML)).count() == 0
+
+
+def test_html_hosts_vote_on_what_repeats(spark):
+    """Text without a telling class that is the same on all pages of a host is set aside there; on one page it can't be told apart."""
+    r = random.Random(4)
+    strip = "<div class='strip'>Read us every day and tell all your friends.</div>"
+    page = lambda: f"<body>{strip}<div class='b'><p>{prose(r, 60)}</p></div></body>"
+    pages = [(k, "http://h/", page()) for k in range(5)] + [(9, "http://alone/", page()), (10, "http://h/", pages_of(strip, 200_000))]
+    got = extracted(spark, [*pages, pages[0]])
+    assert all("friends" not in got[k] for k in (0, 1, 2, 3, 4, 10)) and "friends" in got[9]
+    assert len(got[10]) > 1_000_000
+
+
+def pages_of(strip, n):
+    return f"<body>{strip}<div class='b'><p>" + "longer " * n + "</p></div></body>"
+
+
 def test_language(spark, no_docs):
     r = random.Random(3)
     words = {"en": ["the", "and", "house", "water", "thing", "which"], "de": ["der", "und", "haus", "wasser", "ding", "welche"], "es": ["el", "y", "casa", "agua", "cosa", "cual"]}
