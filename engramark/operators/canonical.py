@@ -102,11 +102,20 @@ def consolidated(labels: DataFrame, jaccard: float = 0.5, min_overlap: int = 2,
 
 
 def noise(forms: DataFrame, rate: float, seed: int = 7) -> DataFrame:
-    """Changes the share ``rate`` of rows with the least draws: another source, another spelling, or a shorter input."""
-    draw, mode = text.uniform(seed, F.col("seq")), text.uniform(seed + 1, F.col("seq"))
+    """Changes round(n rate) rows, those with the least draws: another source, another spelling, or a shorter input.
+
+    The draw at that rank is found by an aggregate over draws' counts, not by ordering all rows in one place.
+    """
+    drawn = forms.withColumn("_draw", text.uniform(seed, F.col("seq"))).withColumn("_bin", F.floor(F.col("_draw") * 4096))
+    bins = drawn.groupBy("_bin").agg(F.count("*").alias("_n"))
+    total = Window.orderBy("_bin")
+    bins = bins.withColumn("_before", F.sum("_n").over(total) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
+    rank = F.row_number().over(Window.partitionBy("_bin").orderBy("_draw", "seq")) + F.col("_before")
+    x = drawn.join(F.broadcast(bins), "_bin").withColumn("_on", rank <= F.bround(F.col("_all") * rate))
+    mode = text.uniform(seed + 1, F.col("seq"))
     changed = F.when(mode < 1 / 3, F.col("input")).when(mode < 2 / 3, F.upper("input")).otherwise(F.expr("left(input, greatest(1, length(input) - 1))"))
-    source = F.when((draw < rate) & (mode < 1 / 3), F.concat("source_id", F.lit("-swapped"))).otherwise(F.col("source_id"))
-    return forms.withColumn("noisy_input", F.when(draw < rate, changed).otherwise(F.col("input"))).withColumn("noisy_source", source)
+    source = F.when(F.col("_on") & (mode < 1 / 3), F.concat("source_id", F.lit("-swapped"))).otherwise(F.col("source_id"))
+    return x.withColumn("noisy_input", F.when(F.col("_on"), changed).otherwise(F.col("input"))).withColumn("noisy_source", source).drop("_draw", "_bin", "_n", "_before", "_all", "_on")
 
 
 def replicated(forms: DataFrame, copies: int) -> DataFrame:

@@ -10,6 +10,10 @@ LIMITS = {
     "UC-TOOL-1": -5.0, "UC-TOOL-2": 30.0, "UC-TOOL-3": 90.0,
     "UC-PROMPT-1": 5.0, "UC-PROMPT-2": 1.5, "UC-PROMPT-4": 100.0,
     "UC-REC-1": 5.0, "UC-REC-2": 2.0,
+    "UC-TOOL-4": 1.5, "UC-PROMPT-3": 2.5, "UC-REC-3": 3.0, "UC-REC-4": 5.0,
+    "UC-POLICY-1": 5.0, "UC-POLICY-2": 2.0, "UC-POLICY-3": 12.0, "UC-POLICY-4": 3.0,
+    "UC-GC-1": 0.0, "UC-GC-2": 0.95, "UC-GC-3": 1.0, "UC-GC-4": 10.0, "UC-GC-5": 80.0, "UC-GC-RETRIEVAL": 80.0,
+    "UC-4.4": 1.0, "UC-4.6": 100.0,
     "null-share": 0.70, "baseline-days": 14, "f1-floor": 75.0,
 }
 
@@ -18,12 +22,104 @@ def at_least(gate: str, value: Column) -> Column:
     return _row(gate, value, value >= LIMITS[gate])
 
 
-def at_most(gate: str, value: Column) -> Column:
-    return _row(gate, value, value <= LIMITS[gate])
+def at_most(gate: str, value: Column, places: int = 3) -> Column:
+    return _row(gate, value, value <= LIMITS[gate], places)
 
 
-def _row(gate: str, value: Column, passes: Column) -> Column:
-    return F.struct(F.lit(gate).alias("gate"), F.round(value, 3).alias("value"), F.lit(float(LIMITS[gate])).alias("threshold"), F.when(passes, "PASS").otherwise("FAIL").alias("status"))
+def below(gate: str, value: Column) -> Column:
+    return _row(gate, value, value < LIMITS[gate])
+
+
+def shown(value: Column, places: int) -> Column:
+    """Rounded half to even, as values are shown."""
+    return F.bround(value.cast("double"), places)
+
+
+def _row(gate: str, value: Column, passes: Column, places: int = 3, applies: Column | None = None) -> Column:
+    status = F.when(passes, "PASS").otherwise("FAIL")
+    status = status if applies is None else F.when(applies, status).otherwise("NA")
+    return F.struct(F.lit(gate).alias("gate"), shown(value, places).alias("value"), F.lit(float(LIMITS[gate])).alias("threshold"), status.alias("status"))
+
+
+def ratio_to(value: Column, base: Column) -> Column:
+    """value against base, 1 where the base is 0."""
+    return F.when(base > 0, value / base).otherwise(1.0)
+
+
+def lifecycle_gates(reduction_pct: Column, recall: Column, false_pct: Column, p99_ms: Column, recovered: Column, targets: Column) -> list[Column]:
+    """UC-GC-1 to 5; without targets the last does not apply."""
+    rate = F.when(targets > 0, 100.0 * recovered / targets).otherwise(0.0)
+    return [
+        at_least("UC-GC-1", reduction_pct), _row("UC-GC-2", recall, recall >= LIMITS["UC-GC-2"], 4), at_most("UC-GC-3", false_pct), at_most("UC-GC-4", p99_ms, 4),
+        _row("UC-GC-5", rate, rate >= LIMITS["UC-GC-5"], 3, targets > 0),
+    ]
+
+
+def retrieval_gate(f1_before: Column, f1_after: Column) -> Column:
+    """UC-GC-RETRIEVAL: the part of F1 that a sweep preserves; it does not apply where F1 was 0."""
+    kept = F.when(f1_before > 0, 100.0 * f1_after / f1_before).otherwise(0.0)
+    return _row("UC-GC-RETRIEVAL", kept, kept >= LIMITS["UC-GC-RETRIEVAL"], 2, f1_before > 0)
+
+
+def policy_gates(completion: Column, cost_each: Column, most_steps: Column, p99: Column, base: dict[str, Column]) -> list[Column]:
+    return [at_least("UC-POLICY-1", completion - base["completion"]), at_most("UC-POLICY-2", ratio_to(cost_each, base["cost_each"])), at_most("UC-POLICY-3", most_steps), at_most("UC-POLICY-4", ratio_to(p99, base["p99"]))]
+
+
+def pipeline_decision(tests: DataFrame, tier: str, *by: str) -> DataFrame:
+    """decision and reasons over rows (type, outcome): none passes; else the fast tier blocks and the nightly one opens a regression."""
+    unclear = F.lit(tier == "fast") & F.bool_or(F.col("outcome") == "INCONCLUSIVE")
+    worse = F.bool_or(F.col("outcome") == "REGRESSION")
+    killed = F.bool_or((F.col("type") == "guardrail_kill_switch") & (F.col("outcome") == "FAIL"))
+    reasons = F.array_compact(F.array(F.when(unclear, "inconclusive"), F.when(worse, "regression"), F.when(killed, "kill switch")))
+    x = tests.groupBy(*by).agg(reasons.alias("reasons"))
+    blocked = "BLOCK_PR" if tier == "fast" else "SOFT_REGRESSION_OPENED"
+    return x.withColumn("decision", F.when(F.size("reasons") > 0, blocked).otherwise("PASS_AND_MERGE"))
+
+
+# Order of verdicts.
+VERDICTS = ("FUND-NOW", "FUND-Q+1", "DEFER", "INSUFFICIENT-DATA", "DO-NOT-BUILD")
+#: Half width of an interval that was not given, as a part of the lift.
+DEFAULT_INTERVAL = 0.15
+
+
+def build_verdicts(lifts: DataFrame) -> DataFrame:
+    """lifts (variant, lift, low, high, weeks, note) with low and high filled in, per_week and verdict, best first.
+
+    A verdict rests on the lower end of the interval; an interaction note may defer or forbid.
+    """
+    lift, note = F.col("lift"), F.lower(F.coalesce("note", F.lit("")))
+    x = lifts.withColumn("low", F.coalesce("low", lift - F.abs(lift) * DEFAULT_INTERVAL)).withColumn("high", F.coalesce("high", lift + F.abs(lift) * DEFAULT_INTERVAL))
+    low, weeks = F.col("low"), F.col("weeks")
+    either = lambda words: F.contains(note, F.lit(words[0])) | F.contains(note, F.lit(words[1]))
+    verdict = (
+        F.when(lift <= 0, "DO-NOT-BUILD").when(weeks.isNull(), "INSUFFICIENT-DATA").when(either(("do not deploy", "cross-dim still loses")), "DO-NOT-BUILD")
+        .when(F.contains(note, F.lit("superseded by")) | either(("conditional", "fails uc")), "DEFER")
+        .when((low >= 5) & (weeks <= 2), "FUND-NOW").when((low >= 10) & (weeks <= 5), "FUND-Q+1").otherwise("DEFER")
+    )
+    per_week = F.when(weeks > 0, F.greatest(F.lit(0.0), low) / weeks)
+    rank = F.array_position(F.array(*map(F.lit, VERDICTS)), F.col("verdict"))
+    return x.withColumn("per_week", per_week).withColumn("verdict", verdict).orderBy(rank, F.desc(F.coalesce("per_week", F.lit(0.0))), "variant")
+
+
+def dimension_of(variant: Column) -> Column:
+    """The dimension that a variant's name belongs to: the first rule that fits."""
+    rules = {
+        "memory (canonicalization)": (("embed-proxy",), "b-raw-identity"), "memory (lifecycle)": (("gc-", "b-raw-no-gc"), None), "prompt": (("prompt-",), "b-default-prompt"),
+        "tools": (("tool-",), "b-allow-all-tools"), "execution policy": (("policy-", "single-shot"), None), "recovery": (("recovery-", "abort-on-failure"), None),
+    }
+    found = F.lit("unknown")
+    for name, (parts, whole) in reversed(rules.items()):
+        on = F.lit(False) if whole is None else variant == whole
+        for part in parts:
+            on = on | F.contains(variant, F.lit(part))
+        found = F.when(on, name).otherwise(found)
+    return found
+
+
+def sweep_ranking(results: DataFrame) -> DataFrame:
+    """results (variant, reduction_pct, preservation_pct) by most reduction, then most preserved, with a verdict."""
+    kept = F.col("preservation_pct")
+    return results.withColumn("verdict", F.when(kept >= 95, "EXCELLENT").when(kept >= 80, "ACCEPTABLE").otherwise("POOR")).orderBy(F.desc("reduction_pct"), F.desc("preservation_pct"), "variant")
 
 
 def against(results: DataFrame, variant: str, baseline: str, by: tuple[str, ...] = ()) -> DataFrame:

@@ -39,7 +39,7 @@ def substituted(df: DataFrame, column: str, aliases: dict[str, str], bounded: bo
 
 def spans(text: str, allowed: tuple[str, ...] = ()) -> list[dict]:
     """Names in a text: listed ones before capitalised runs before acronyms; of overlapping ones the first stays, at one start the more important, then the longer."""
-    found = [(m.start(), -2, -len(a), m.end()) for a in allowed for m in re.finditer(re.escape(a), text)]
+    found = [(m.start(), -2, -len(a), m.end()) for a in allowed if a for m in re.finditer(rf"\b{re.escape(a)}\b", text)]
     found += [(m.start(), -1, m.start() - m.end(), m.end()) for m in TITLE.finditer(text)]
     found += [(m.start(), 0, m.start() - m.end(), m.end()) for m in ACRONYM.finditer(text)]
     kept, last = [], 0
@@ -66,3 +66,61 @@ def single_entity(text: Column, aliases: dict[str, tuple[str, ...]]) -> Column:
     low = F.lower(text)
     hits = F.array_compact(F.array(*(F.when(low.rlike("|".join(rf"\b{re.escape(a)}\b" for a in xs)), F.lit(c)) for c, xs in aliases.items())))
     return F.when(F.size(hits) == 1, F.element_at(hits, 1))
+
+
+def replaced_once(text: Column, aliases: dict[str, str]) -> Column:
+    """The text with the first place of each alias, longest alias first, replaced; a later alias may match what an earlier one put in."""
+    for alias in sorted(aliases, key=lambda a: (-len(a), a)):
+        at = F.locate(alias, text)
+        text = F.when(at > 0, F.concat(F.left(text, at - 1), F.lit(aliases[alias]), F.substring(text, at + len(alias), F.lit(1 << 30)))).otherwise(text)
+    return text
+
+
+def alias_map(forms: DataFrame) -> DataFrame:
+    """alias, canonical of rows (seq, alias, canonical): of an alias given twice the last stands."""
+    return forms.groupBy("alias").agg(F.max_by("canonical", "seq").alias("canonical"))
+
+
+def looked_up(forms: DataFrame, aliases: DataFrame, name: str) -> DataFrame:
+    """forms with canonical, that of the alias in column ``name`` or the name itself."""
+    return forms.join(aliases.withColumnRenamed("alias", name), name, "left").withColumn("canonical", F.coalesce("canonical", name))
+
+
+def apart(text: Column, names: tuple[str, ...]) -> Column:
+    """The names found between boundary characters, which a match takes up: of two that share one, the second is missed."""
+    either = "|".join(re.escape(a) for a in sorted(names, key=lambda a: (-len(a), a)))
+    return F.regexp_extract_all(text, F.lit(rf"(?:^|[^A-Za-z0-9_])({either})(?:$|[^A-Za-z0-9_])"), F.lit(1))
+
+
+# Longer mentions that refer back all the same, and the length up to which all do.
+REFERRING = ("the company", "the firm", "the business", "both companies", "all three", "they", "them", "their", "it", "its")
+SHORT_MENTION = 4
+
+
+def resolved(text: str, clusters: str) -> Column:
+    """The text with the referring mentions of each cluster (arrays of start, end) replaced by its longest mention, the first of equals."""
+
+    def of_cluster(cluster: Column) -> Column:
+        said = F.transform(cluster, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.substring(F.col(text), m["start"] + 1, m["end"] - m["start"]).alias("said")))
+        best = F.aggregate(said, F.lit(""), lambda b, m: F.when(F.length(m["said"]) > F.length(b), m["said"]).otherwise(b))
+        refers = lambda m: (F.length(m["said"]) <= SHORT_MENTION) | F.lower(m["said"]).isin(*REFERRING)
+        return F.transform(F.filter(said, lambda m: refers(m) & (m["said"] != best)), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), best.alias("canonical")))
+
+    found = F.reverse(F.array_sort(F.flatten(F.transform(clusters, of_cluster))))
+    return F.aggregate(found, F.col(text), lambda s, m: F.concat(F.left(s, m["start"]), m["canonical"], F.substring(s, m["end"] + 1, F.lit(1 << 30))))
+
+
+def message_contents(df: DataFrame, column: str, change) -> DataFrame:
+    """df with ``change`` applied to a message column: to a string, to the content field of a struct, and of each struct of an array; any other type stays as it is."""
+    kind = df.schema[column].dataType
+
+    def in_struct(x: Column, fields: T.StructType) -> Column:
+        return F.struct(*((change(x[f]) if f == "content" and fields[f].dataType == T.StringType() else x[f]).alias(f) for f in fields.names))
+
+    if isinstance(kind, T.StringType):
+        return df.withColumn(column, change(F.col(column)))
+    if isinstance(kind, T.StructType):
+        return df.withColumn(column, F.when(F.col(column).isNotNull(), in_struct(F.col(column), kind)))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+        return df.withColumn(column, F.transform(column, lambda x: F.when(x.isNotNull(), in_struct(x, kind.elementType))))
+    return df

@@ -57,7 +57,7 @@ def paired_bootstrap(diffs: DataFrame, resamples: int, seed: int, alpha: float =
     draws = diffs.sparkSession.range(resamples).withColumnRenamed("id", "rep")
     slots = draws.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))))
     drawn = slots.withColumn("k", F.floor(text.uniform(seed, F.col("rep"), F.col("slot")) * n))
-    means = drawn.join(F.broadcast(diffs) if n < 100_000 else diffs, "k").groupBy("rep").agg(F.avg("diff").alias("m"))
+    means = drawn.join(diffs, "k").groupBy("rep").agg(F.avg("diff").alias("m"))
     x = means.agg(F.array_sort(F.collect_list("m")).alias("ms"), F.avg((F.col("m") <= 0).cast("double")).alias("p1"))
     lo, hi = int(alpha / 2 * resamples), int((1 - alpha / 2) * resamples) - 1
     p2 = 2 * F.least(F.col("p1"), 1 - F.col("p1"))
@@ -94,3 +94,91 @@ def set_scores(found: Column, truth: Column) -> dict[str, Column]:
     p = F.when(F.size(found) == 0, 0.0).otherwise(hit / F.size(found))
     r = F.when(F.size(truth) == 0, 1.0).otherwise(hit / F.size(truth))
     return {"precision": p, "recall": r, "f1": F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)}
+
+
+def percentile_of_counts(counts: DataFrame, value: str, n: str, q: float, *by: str) -> DataFrame:
+    """by, percentile: the sorted value at int(q N), the last at most, from how often each value occurs: no list of all values is made."""
+    up_to = F.sum(n).over(Window.partitionBy(*by).orderBy(value))
+    total = F.sum(n).over(Window.partitionBy(*by))
+    x = counts.groupBy(*by, value).agg(F.sum(n).alias(n)).withColumn("_up_to", up_to).withColumn("_total", total)
+    at = F.least(F.col("_total") - 1, F.floor(F.col("_total") * q))
+    return x.where(F.col("_up_to") > at).groupBy(*by).agg(F.min(value).alias("percentile"))
+
+
+def rate_interval(outcomes: DataFrame, done: str, resamples: int, seed: int, *by: str, alpha: float = 0.05) -> DataFrame:
+    """by, rate, lo, hi: percentile interval of a success rate by resampling; a resample's successes are the draws below the rate, summed for each without making n x resamples rows at once in one task."""
+    base = outcomes.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col(done).cast("double")).alias("rate"))
+    slots = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    hit = text.uniform(seed, F.col("rep"), F.col("slot")) < F.col("rate")
+    means = slots.groupBy(*by, "rep").agg(F.avg(hit.cast("double")).alias("m"))
+    lo, hi = int(alpha / 2 * resamples), int((1 - alpha / 2) * resamples) - 1
+    ends = means.groupBy(*by).agg(F.array_sort(F.collect_list("m")).alias("ms"))
+    return base.join(ends, [*by]).select(*by, "rate", F.element_at("ms", lo + 1).alias("lo"), F.element_at("ms", max(lo, hi) + 1).alias("hi"))
+
+
+def metric_bootstrap(items: DataFrame, metric: Column, resamples: int, seed: int, alpha: float = 0.05) -> DataFrame:
+    """lo, hi of a metric, an aggregate of items (k from 0, ...), over resamples of whole items. Not for metrics of pairs, as a resample repeats items."""
+    n = items.count()
+    slots = items.sparkSession.range(resamples).withColumnRenamed("id", "rep").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))))
+    drawn = slots.withColumn("k", F.floor(text.uniform(seed, F.col("rep"), F.col("slot")) * n))
+    x = drawn.join(items, "k").groupBy("rep").agg(metric.alias("m")).agg(F.array_sort(F.collect_list("m")).alias("ms"))
+    lo, hi = int(alpha / 2 * resamples), int((1 - alpha / 2) * resamples) - 1
+    return x.select(F.element_at("ms", lo + 1).alias("lo"), F.element_at("ms", max(lo, hi) + 1).alias("hi"))
+
+
+def either_empty(found: Column, truth: Column) -> dict[str, Column]:
+    """Precision, recall and f1 of sets: 1 where both are empty, 0 where one is."""
+    hit, a, b = F.size(F.array_intersect(found, truth)), F.size(found), F.size(truth)
+    both, none = (a == 0) & (b == 0), (a == 0) | (b == 0)
+    ratio = lambda n: F.when(both, 1.0).when(none, 0.0).otherwise(hit / n)
+    p, r = ratio(a), ratio(b)
+    return {"precision": p, "recall": r, "f1": F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)}
+
+
+def top_k_retrieval(rows: DataFrame, k: int) -> DataFrame:
+    """canonical, precision, recall, f1 of rows (canonical, rank from 1, relevant): the first k answers of each against all relevant ones."""
+    x = rows.groupBy("canonical").agg(F.count_if((F.col("rank") <= k) & F.col("relevant")).alias("hit"), F.count_if(F.col("rank") <= k).alias("found"), F.count_if("relevant").alias("truth"))
+    p, r = (F.when(F.col(c) > 0, F.col("hit") / F.col(c)).otherwise(0.0) for c in ("found", "truth"))
+    return x.select("canonical", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
+
+
+def reduction(labels: DataFrame, *by: str) -> DataFrame:
+    """by, n, accuracy, forms, labels, reduction_pct: how often the label is the oracle, and how many forms became how many labels."""
+    forms, kinds = F.countDistinct("input"), F.countDistinct("label")
+    return labels.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("oracle")).cast("double")).alias("accuracy"), forms.alias("forms"), kinds.alias("labels"), (100.0 * (forms - kinds) / forms).alias("reduction_pct"))
+
+
+def adjusted_rand(labels: DataFrame, *by: str) -> DataFrame:
+    """by, ari: agreement of label and oracle beyond chance, from contingency counts; 1 where both are all apart or all together."""
+    cells = labels.groupBy(*by, "label", "oracle").agg(F.count("*").alias("n"))
+    pairs = lambda n: n * (n - 1) / 2
+    cell = cells.groupBy(*by).agg(F.sum(pairs(F.col("n"))).alias("both"), pairs(F.sum("n")).alias("every"))
+    for c in ("label", "oracle"):
+        one = cells.groupBy(*by, c).agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(pairs(F.col("n"))).alias(f"of_{c}"))
+        cell = cell.join(one, [*by]) if by else cell.crossJoin(one)
+    expected = F.when(F.col("every") > 0, F.col("of_label") * F.col("of_oracle") / F.col("every")).otherwise(0.0)
+    most = (F.col("of_label") + F.col("of_oracle")) / 2
+    return cell.select(*by, F.when(most == expected, 1.0).otherwise((F.col("both") - expected) / (most - expected)).alias("ari"))
+
+
+def overlap_with_first(ranked: DataFrame, top: int = 10) -> DataFrame:
+    """How many of the ``top`` rows by rate (rate, lo, hi) have an interval that meets that of the first."""
+    best = ranked.orderBy(F.desc("rate"), *(c for c in ranked.columns if c not in ("rate", "lo", "hi"))).limit(top)
+    first = best.agg(F.max_by("lo", "rate").alias("f_lo"), F.max_by("hi", "rate").alias("f_hi"))
+    return best.crossJoin(F.broadcast(first)).agg(F.count_if((F.col("hi") >= F.col("f_lo")) & (F.col("lo") <= F.col("f_hi"))).alias("overlapping"), F.count("*").alias("n"))
+
+
+def separation(scores: DataFrame) -> DataFrame:
+    """positive_median, negative_median and overlap of scores (score, positive): the share of pairs whose negative is at least the positive, from ranks, not from pairs."""
+    order = Window.orderBy("score")
+    below = F.sum(F.when(F.col("positive"), F.col("c")).otherwise(0)).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    counts = scores.groupBy("score", "positive").agg(F.count("*").alias("c")).withColumn("below", below)
+    x = counts.agg(F.sum(F.when(~F.col("positive"), F.col("c") * F.col("below"))).alias("hits"), F.sum(F.when(F.col("positive"), F.col("c"))).alias("np"), F.sum(F.when(~F.col("positive"), F.col("c"))).alias("nn"))
+    m = scores.agg(F.median(F.when(F.col("positive"), F.col("score"))).alias("positive_median"), F.median(F.when(~F.col("positive"), F.col("score"))).alias("negative_median"))
+    return m.crossJoin(x).select("positive_median", "negative_median", (F.col("hits") / (F.col("np") * F.col("nn"))).alias("overlap"))
+
+
+def false_merges(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """n, merged, rate_pct over pairs that should stay apart: how many got one label."""
+    same = F.col(a) == F.col(b)
+    return pairs.agg(F.count("*").alias("n"), F.count_if(same).alias("merged"), F.round(100.0 * F.avg(same.cast("double")), 4).alias("rate_pct"))

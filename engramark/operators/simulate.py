@@ -36,7 +36,8 @@ RESOLVE = {
     "large-model": {"retry": (0.75, 0.55, 0.35, 0.12), "fallback": (0.45, 0.65, 0.85, 0.20)},
     "hostile": {"retry": (0.20, 0.15, 0.10, 0.03), "fallback": (0.20, 0.30, 0.40, 0.30)},
 }
-# Costs.
+# Steps at most, and costs.
+MOST_STEPS = 12
 ACTION_COST = {"retry": 1.0, "fallback": 2.5}
 TOKENS_PER_TOOL, OUTPUT_TOKENS, RETRY_TOKENS, FALLBACK_TOKENS = 100.0, 50.0, 200.0, 500.0
 # Tools by category, words that point to a category, and categories used together.
@@ -58,6 +59,16 @@ KEYWORDS = {
     "external_api": ("look up", "current", "value", "datum", "fetch"),
     "system": ("inspect", "system", "resource", "process"),
 }
+# More words for the variant that also shows neighbours and helpers.
+MORE_KEYWORDS = {
+    "search": ("find", "search", "look up", "lookup", "information", "topic", "discover", "locate", "research", "browse", "query"),
+    "data": ("process", "dataset", "metric", "data", "query", "report", "analyze", "aggregate", "summarize", "table", "record", "statistics", "csv", "json", "structured"),
+    "files": ("file", "files", "reorganize", "project", "directory", "folder", "path", "save", "load", "read", "write", "list", "filesystem"),
+    "communication": ("notify", "team", "event", "message", "send", "alert", "email", "slack", "chat", "post", "broadcast", "tell", "inform", "share"),
+    "computation": ("compute", "calculate", "quantity", "math", "solve", "matrix", "regression", "convert", "sum", "total", "value", "estimate", "result"),
+    "external_api": ("look up", "current", "value", "datum", "fetch", "weather", "stock", "price", "rate", "translate", "external", "api", "service", "now"),
+    "system": ("inspect", "system", "resource", "process", "exec", "shell", "memory", "disk", "git", "status", "info", "diagnostic", "health"),
+}
 NEIGHBOURS = {"search": ("data",), "data": ("search", "computation"), "files": ("system",), "computation": ("data",), "external_api": ("search",), "system": ("files",)}
 
 
@@ -100,11 +111,11 @@ def action_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "resolve string, recovery string, kind string, attempt int, action string, p double, cost double")
 
 
-def categories_in(goal: Column) -> Column:
+def categories_in(goal: Column, words: dict[str, tuple[str, ...]] = KEYWORDS) -> Column:
     """Categories whose words stand in a goal."""
     text = F.lower(goal)
     hits = [F.when(F.expr("false"), F.lit(None).cast("string"))]
-    for category, keywords in KEYWORDS.items():
+    for category, keywords in words.items():
         on = F.lit(False)
         for k in keywords:
             on = on | F.contains(text, F.lit(k))
@@ -112,21 +123,28 @@ def categories_in(goal: Column) -> Column:
     return F.array_compact(F.array(*hits))
 
 
-def exposed_tools(goal: Column, seed: str = "42") -> dict[str, Column]:
-    """Tools that each variant shows for a goal: all, a hashed ten, those of its categories, and those with neighbours."""
+def exposed_tools(found: Column, wide: Column, helpers: Column | None = None, seed: str = "42") -> dict[str, Column]:
+    """Tools that each variant shows: all, a hashed ten, those of the categories ``found``, and those of ``wide`` (found by more words) with neighbours and the task's helpers."""
     universe = sorted(t for ts in TOOLS.values() for t in ts)
     import hashlib
 
     budget = sorted(universe, key=lambda t: (hashlib.sha256(f"{seed}:{t}".encode()).hexdigest()[:16], t))[:10]
     of = F.create_map(*(x for c, ts in TOOLS.items() for x in (F.lit(c), F.array(*map(F.lit, ts)))))
     near = F.create_map(*(x for c in TOOLS for x in (F.lit(c), F.array(*map(F.lit, (c, *NEIGHBOURS.get(c, ())))))))
+    every = F.array(*map(F.lit, universe))
 
-    def tools(categories: Column, fallback: int) -> Column:
+    def tools(categories: Column, fallback: int, more: Column | None = None) -> Column:
         found = F.flatten(F.transform(categories, lambda c: of[c]))
+        found = found if more is None else F.concat(found, F.array_intersect(F.coalesce(more, F.expr("cast(array() as array<string>)")), every))
         return F.when(F.size(found) > 0, F.array_sort(F.array_distinct(found))).otherwise(F.array(*map(F.lit, universe[:fallback])))
 
-    found = categories_in(goal)
-    return {"all": F.array(*map(F.lit, universe)), "budget": F.array(*map(F.lit, sorted(budget))), "intent": tools(found, 10), "intent_plus": tools(F.array_distinct(F.flatten(F.transform(found, lambda c: near[c]))), 15)}
+    with_near = F.array_distinct(F.flatten(F.transform(wide, lambda c: near[c])))
+    return {"all": every, "budget": F.array(*map(F.lit, sorted(budget))), "intent": tools(found, 10), "intent_plus": tools(with_near, 15, helpers)}
+
+
+def call_allowed(tool: Column, seen: Column) -> Column:
+    """The veto hook of tool variants: none of them refuses a call."""
+    return F.lit(True) | tool.isNull() | seen.isNull()
 
 
 def pareto(df: DataFrame, gain: str, cost: str) -> DataFrame:

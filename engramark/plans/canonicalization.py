@@ -213,8 +213,9 @@ SELECT a.variant, count(*) FILTER (a.ok AND NOT b.ok) AS only_variant, count(*)
     "drift": f"WITH RECURSIVE {_CLUSTERS_SQL} SELECT l.source_id, round(avg(CASE WHEN f.merged <> l.source_id || '::' || l.label THEN 1.0 ELSE 0.0 END), 6) AS drift FROM local l JOIN final f ON f.source_id = l.source_id AND f.label = l.label GROUP BY l.source_id",
     "noise": f"""
 WITH {SURFACE_SQL}, u AS (SELECT *, {_U.format("'7:' || seq")} AS d, {_U.format("'8:' || seq")} AS m FROM surface)
-SELECT seq, CASE WHEN d >= 0.2 OR m < 1.0 / 3 THEN input WHEN m < 2.0 / 3 THEN upper(input) ELSE left(input, greatest(1, length(input) - 1)) END AS noisy_input,
-  CASE WHEN d < 0.2 AND m < 1.0 / 3 THEN source_id || '-swapped' ELSE source_id END AS noisy_source FROM u""",
+SELECT seq, CASE WHEN NOT hit OR m < 1.0 / 3 THEN input WHEN m < 2.0 / 3 THEN upper(input) ELSE left(input, greatest(1, length(input) - 1)) END AS noisy_input,
+  CASE WHEN hit AND m < 1.0 / 3 THEN source_id || '-swapped' ELSE source_id END AS noisy_source
+FROM (SELECT *, row_number() OVER (ORDER BY d, seq) <= round_even(count(*) OVER () * 0.2, 0) AS hit FROM u)""",
     "scale_up": f"""
 WITH {SURFACE_SQL}, c AS (SELECT range AS copy, CASE WHEN range = 0 THEN '' ELSE '_v' || (range - 1) END AS s FROM range(4))
 SELECT copy, count(*) AS n, count(DISTINCT oracle || s) AS oracles, min(input || s) AS least FROM surface, c GROUP BY copy""",

@@ -19,7 +19,7 @@ def tool_gates(spark: SparkSession, d: str) -> DataFrame:
     """Gates of each tool variant against all tools, by expected completion."""
     x = gates.against(simulation.tool_choice(spark, d), "tools", "all")
     lift = 100 * (F.col("expected") - F.col("base.expected"))
-    return gates.gate_rows(x, ("tools",), [gates.at_least("UC-TOOL-1", lift), gates.at_least("UC-TOOL-2", F.col("precision_pct")), gates.at_least("UC-TOOL-3", F.col("recall_pct"))])
+    return gates.gate_rows(x, ("tools",), [gates.at_least("UC-TOOL-1", lift), gates.at_least("UC-TOOL-2", F.col("precision_pct")), gates.at_least("UC-TOOL-3", F.col("recall_pct")), gates.at_most("UC-TOOL-4", gates.ratio_to(F.col("p99"), F.col("base.p99")))])
 
 
 def prompt_gates(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +27,14 @@ def prompt_gates(spark: SparkSession, d: str) -> DataFrame:
     x = gates.against(simulation.prompts(spark, d), "prompt", "default")
     lift = F.col("completion_pct") - F.col("base.completion_pct")
     spread = F.col("category_variance") - F.col("base.category_variance")
-    return gates.gate_rows(x, ("prompt",), [gates.at_least("UC-PROMPT-1", lift), gates.at_most("UC-PROMPT-2", F.col("mean_cost") / F.col("base.mean_cost")), gates.at_most("UC-PROMPT-4", spread)])
+    return gates.gate_rows(x, ("prompt",), [gates.at_least("UC-PROMPT-1", lift), gates.at_most("UC-PROMPT-2", F.col("mean_cost") / F.col("base.mean_cost")), gates.at_most("UC-PROMPT-3", gates.ratio_to(F.col("p99"), F.col("base.p99"))), gates.at_most("UC-PROMPT-4", spread)])
+
+
+def policy_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Gates of each policy against a single shot."""
+    x = gates.against(simulation.policy_runs(spark, d), "policy", "single_shot")
+    base = {"completion": F.col("base.completion_pct"), "cost_each": F.col("base.cost_each"), "p99": F.col("base.p99")}
+    return gates.gate_rows(x, ("policy",), gates.policy_gates(F.col("completion_pct"), F.col("cost_each"), F.col("most_steps"), F.col("p99"), base))
 
 
 def recovery_gates(spark: SparkSession, d: str) -> DataFrame:
@@ -47,22 +54,25 @@ def keyword_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return found.select("question", "p_partkey", first.alias("r")).where(F.col("r") <= TOP)
 
 
-QUERIES = {f.__name__: f for f in (tool_gates, prompt_gates, recovery_gates, keyword_retrieval)}
+QUERIES = {f.__name__: f for f in (tool_gates, prompt_gates, policy_gates, recovery_gates, keyword_retrieval)}
 
 
 def _unpivot(keys: str, columns: dict[str, tuple[str, str]], source: str) -> str:
-    one = "SELECT {keys}, '{g}' AS gate, round({v}, 3) AS value, CAST({t} AS DOUBLE) AS threshold, CASE WHEN {v} {op} {t} THEN 'PASS' ELSE 'FAIL' END AS status FROM {source}"
+    one = "SELECT {keys}, '{g}' AS gate, round_even(CAST({v} AS DOUBLE), 3) AS value, CAST({t} AS DOUBLE) AS threshold, CASE WHEN {v} {op} {t} THEN 'PASS' ELSE 'FAIL' END AS status FROM {source}"
     return " UNION ALL ".join(one.format(keys=keys, g=g, v=v, op=op, t=gates.LIMITS[g], source=source) for g, (v, op) in columns.items())
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _QUESTIONS = ", ".join(f"({k}, '{q}')" for k, q in enumerate(QUESTIONS))
 SQL = {
-    "tool_gates": f"WITH r AS ({simulation.SQL['tool_choice']}), x AS (SELECT r.*, 100 * (r.expected - b.expected) AS lift FROM r, r b WHERE b.tools = 'all') "
-    + _unpivot("tools", {"UC-TOOL-1": ("lift", ">="), "UC-TOOL-2": ("precision_pct", ">="), "UC-TOOL-3": ("recall_pct", ">=")}, "x"),
+    "tool_gates": f"WITH r AS ({simulation.SQL['tool_choice']}), x AS (SELECT r.*, 100 * (r.expected - b.expected) AS lift, r.p99 / b.p99 AS slow FROM r, r b WHERE b.tools = 'all') "
+    + _unpivot("tools", {"UC-TOOL-1": ("lift", ">="), "UC-TOOL-2": ("precision_pct", ">="), "UC-TOOL-3": ("recall_pct", ">="), "UC-TOOL-4": ("slow", "<=")}, "x"),
     "prompt_gates": f"""WITH r AS ({simulation.SQL['prompts']}), x AS (
-  SELECT r.prompt, r.completion_pct - b.completion_pct AS lift, r.mean_cost / b.mean_cost AS ratio, r.category_variance - b.category_variance AS spread FROM r, r b WHERE b.prompt = 'default') """
-    + _unpivot("prompt", {"UC-PROMPT-1": ("lift", ">="), "UC-PROMPT-2": ("ratio", "<="), "UC-PROMPT-4": ("spread", "<=")}, "x"),
+  SELECT r.prompt, r.completion_pct - b.completion_pct AS lift, r.mean_cost / b.mean_cost AS ratio, r.category_variance - b.category_variance AS spread, r.p99 / b.p99 AS slow FROM r, r b WHERE b.prompt = 'default') """
+    + _unpivot("prompt", {"UC-PROMPT-1": ("lift", ">="), "UC-PROMPT-2": ("ratio", "<="), "UC-PROMPT-3": ("slow", "<="), "UC-PROMPT-4": ("spread", "<=")}, "x"),
+    "policy_gates": f"""WITH r AS ({simulation.SQL['policy_runs']}), x AS (
+  SELECT r.policy, r.completion_pct - b.completion_pct AS lift, r.cost_each / b.cost_each AS ratio, r.most_steps AS most, r.p99 / b.p99 AS slow FROM r, r b WHERE b.policy = 'single_shot') """
+    + _unpivot("policy", {"UC-POLICY-1": ("lift", ">="), "UC-POLICY-2": ("ratio", "<="), "UC-POLICY-3": ("most", "<="), "UC-POLICY-4": ("slow", "<=")}, "x"),
     "recovery_gates": f"""WITH r AS ({simulation.SQL['recovery']}), x AS (
   SELECT r.resolve, r.recovery, 100.0 * r.done / r.n - 100.0 * b.done / b.n AS lift, (r.mean_cost * r.n / greatest(1, r.done)) / (b.mean_cost * b.n / greatest(1, b.done)) AS ratio
   FROM r JOIN r b ON b.resolve = r.resolve AND b.recovery = 'abort') """
