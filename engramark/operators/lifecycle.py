@@ -14,8 +14,9 @@ DAY = 86400.0
 def node_state(edges: DataFrame) -> DataFrame:
     """One row per node of an edge log (fact, entity, at, removed, queried): kind, added_at, degrees, last access, query count.
 
-    An add raises the degree by one; removals lower it only where they take the
-    edge's count to zero, and then by one.
+    The log has no order of its own: an add raises the degree by one, and removals, which
+    come after the adds, lower it only where they take the edge's count to zero, and
+    then by one. For events in any order there is replay.applied().
     """
     e = edges.groupBy("fact", "entity").agg(F.count("*").alias("n"), F.count_if("removed").alias("r"), F.min("at").alias("at"), F.count_if("queried").alias("q"), F.max(F.when(F.col("queried"), F.col("at"))).alias("last"), F.max(F.when(F.col("removed"), F.col("at"))).alias("gone"))
     degree = F.col("n") - F.when(F.col("r") >= F.col("n"), 1).otherwise(0)
@@ -48,7 +49,6 @@ def rules(t: float, fact_age: float = DAY, entity_age: float = 7 * DAY, old: flo
         "conservative_entity": unlinked | idle_entity, "tenant_pin": unlinked & tenant_free, "comprehensive": (unlinked | idle_entity) & tenant_free,
         "tuned": tuned, "comprehensive_tuned": tuned & tenant_free,
         "temporal_validity": F.coalesce(expired, never), "activation_decay": inactive, "supersession": replaced,
-        "bundle": tenant_free & (F.coalesce(expired, never) | inactive | replaced),
     }
 
 

@@ -130,7 +130,7 @@ v AS (
     {{'variant': 'no_gc', 'c': false}}, {{'variant': 'ref_count', 'c': orphan}}, {{'variant': 'ref_count_utility', 'c': orphan OR worn}}, {{'variant': 'fact_only', 'c': unl}},
     {{'variant': 'conservative_entity', 'c': unl OR ide}}, {{'variant': 'tenant_pin', 'c': unl AND tf}}, {{'variant': 'comprehensive', 'c': (unl OR ide) AND tf}},
     {{'variant': 'tuned', 'c': unl OR (ide AND NOT busy)}}, {{'variant': 'comprehensive_tuned', 'c': (unl OR (ide AND NOT busy)) AND tf}},
-    {{'variant': 'temporal_validity', 'c': ex}}, {{'variant': 'activation_decay', 'c': ina}}, {{'variant': 'supersession', 'c': rep}}, {{'variant': 'bundle', 'c': tf AND (ex OR ina OR rep)}}]) AS z FROM b),
+    {{'variant': 'temporal_validity', 'c': ex}}, {{'variant': 'activation_decay', 'c': ina}}, {{'variant': 'supersession', 'c': rep}}]) AS z FROM b),
 counted AS (SELECT kind, count(*) AS nodes, z.variant AS variant, count(*) FILTER (z.c) AS collected FROM v GROUP BY kind, z.variant)"""
 _LOG = """ed AS (SELECT l_orderkey AS fact, l_partkey AS entity, CAST(epoch(l_shipdate) AS DOUBLE) AS moment, l_linenumber FROM lineitem),
 lg AS (SELECT *, row_number() OVER (ORDER BY ts, op, fact, l_linenumber, entity) AS i FROM (SELECT fact, entity, moment AS ts, 1 AS op, l_linenumber FROM ed UNION ALL SELECT fact, entity, moment + 3888000, -1, l_linenumber FROM ed))"""
