@@ -27,6 +27,25 @@ def token_bucket(token: Column | str) -> Column:
     return F.conv(F.right(F.sha2(F.col(token) if isinstance(token, str) else token, 256), F.lit(3)), 16, 10).cast("int")
 
 
+def token_sign(token: Column | str) -> Column:
+    """1 or -1: the ninth-last bit of a token's SHA-256."""
+    digit = F.substring(F.sha2(F.col(token) if isinstance(token, str) else token, 256), 62, 1)
+    return F.when(F.conv(digit, 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
+
+
+def weighted_cosine(one: Column, two: Column, weights: tuple[float, float] = (2.0, 1.0)) -> Column:
+    """Cosine of two joined vectors from the cosines of their parts, both of which are there."""
+    a, b = (w * w for w in weights)
+    return (a * one + b * two) / (a + b)
+
+
+def normalized(vector: Column | str) -> Column:
+    """A vector over its length; one of zeros stays as it is."""
+    v = F.col(vector) if isinstance(vector, str) else vector
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+
+
 def words(x: Column | str) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(F.translate(x, "_-", "  ")), r"\s+", " ")), " ")
 

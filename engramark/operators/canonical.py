@@ -25,64 +25,98 @@ def first_writer(forms: DataFrame, *scope: str) -> DataFrame:
     return first.join(leader, [*scope, "tokens"]).drop("tokens")
 
 
-def leader_clusters(forms: DataFrame, threshold: float = 0.7, guarded: bool = True) -> DataFrame:
-    """Sequential clustering by token cosine, one source at a time: each new input takes the label of the nearest earlier label, the first of equals, if it is near enough and the two may merge, and else becomes one.
+DIM = 4096
 
-    Only each source's distinct inputs go to Python, in order of first occurrence.
-    """
-    import re
 
+def leader_clusters(forms: DataFrame, threshold: float = 0.7, guarded: bool = True, weights: tuple[float, float] = (1.0, 0.0), index: str = "linear") -> DataFrame:
+    """Sequential clustering, one source at a time: each new input takes the label of the nearest earlier label, the first of equals, if it is near enough and the two may merge, and else becomes one.
+
+    Nearness is the cosine of hashed token counts, of a given column ``vector``, or of
+    both joined with ``weights``. ``index`` hashed looks only at labels that share a
+    token or one of eight signs of the vector's planes; linear at all. Only each
+    source's distinct inputs go to Python, in order of first occurrence; each depends
+    on all before, so that a source is one task's, whose memory its labels bound.
+    """
     import pandas as pd
 
-    distinct = forms.groupBy("source_id", "input").agg(F.min("seq").alias("seq"))
+    with_vector = weights[1] > 0
+    columns = [F.min("seq").alias("seq"), *([F.min_by("vector", "seq").alias("vector")] if with_vector else [])]
+    distinct = forms.groupBy("source_id", "input").agg(*columns)
+    distinct = distinct.withColumn("tokens", text.tokens("input")).withColumn("words", text.words("input")).withColumn("digits", F.regexp_extract_all("input", F.lit(r"(\d+)"), F.lit(1)))
+    distinct = distinct.withColumn("buckets", F.transform("tokens", text.token_bucket)).withColumn("signs", F.transform("tokens", text.token_sign))
+    trailing = set(text.TRAILING_WORDS)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from collections import Counter
-
-        split = [re.compile("([A-Z]+)([A-Z][a-z])"), re.compile("([a-z0-9])([A-Z])")]
-        extra = set(text.TRAILING_WORDS)
+        import numpy as np
 
-        def bag(x: str) -> Counter:
-            for p in split:
-                x = p.sub(r"\1 \2", x)
-            return Counter(x.replace("_", " ").replace("-", " ").lower().split())
-
-        def may_merge(a: str, b: str) -> bool:
-            if re.findall(r"\d+", a) != re.findall(r"\d+", b):
+        def may_merge(a: int, b: int) -> bool:
+            if rows["digits"][a] != rows["digits"][b]:
                 return False
-            x, y = sorted((a.replace("_", " ").replace("-", " ").lower().split(), b.replace("_", " ").replace("-", " ").lower().split()), key=len)
-            return not (len(y) == len(x) + 1 and y[:-1] == x and y[-1] in extra)
-
-        by_token: dict[str, list[int]] = {}
-        labels: list[str] = []
-        bags: list[tuple[Counter, float]] = []
+            x, y = sorted((rows["words"][a], rows["words"][b]), key=len)
+            return not (len(y) == len(x) + 1 and y[:-1] == x and y[-1] in trailing)
+
+        pdf = pdf.sort_values("seq", ignore_index=True)
+        rows = {c: [list(x) for x in pdf[c]] for c in ("words", "digits", "buckets", "signs")}
+        by_bucket: dict[int, list[tuple[int, float]]] = {}
+        by_plane: dict[tuple[int, int], list[int]] = {}
+        leaders: list[int] = []
         out = []
-        for name in pdf.sort_values("seq")["input"]:
-            b = bag(name)
-            norm = sum(v * v for v in b.values()) ** 0.5
-            dots: Counter = Counter()
-            for t, v in b.items():
-                for k in by_token.get(t, ()):
-                    dots[k] += v * bags[k][0][t]
-            best, near = None, -1.0
-            for k in sorted(dots):
-                cos = dots[k] / (norm * bags[k][1])
-                if cos > near + 1e-12:
-                    best, near = k, cos
-            if best is not None and near >= threshold - 1e-12 and (not guarded or may_merge(name, labels[best])):
-                out.append(labels[best])
-                continue
-            for t in b:
-                by_token.setdefault(t, []).append(len(labels))
-            labels.append(name)
-            bags.append((b, norm))
-            out.append(name)
-        return pd.DataFrame({"source_id": pdf.sort_values("seq")["source_id"], "input": pdf.sort_values("seq")["input"], "label": out})
+        vectors = np.stack([np.asarray(v, float) for v in pdf["vector"]]) if with_vector else None
+        if with_vector:
+            length = np.sqrt((vectors**2).sum(1, keepdims=True))
+            vectors = np.divide(vectors, length, out=vectors, where=length > 0)
+            sides = (vectors @ np.random.default_rng(1).normal(size=(vectors.shape[1], 32)) > 0).reshape(len(vectors), 8, 4) @ (1 << np.arange(4))
+        for k in range(len(pdf)):
+            bag: dict[int, float] = {}
+            for bucket, sign in zip(rows["buckets"][k], rows["signs"][k], strict=True):
+                bag[bucket] = bag.get(bucket, 0.0) + sign
+            norm = sum(v * v for v in bag.values()) ** 0.5
+            bag = {b: v / norm for b, v in bag.items()} if norm else {}
+            own = [weights[0] ** 2 * bool(bag), weights[1] ** 2 * bool(with_vector and length[k] > 0)]
+            cosines = np.zeros(len(leaders))
+            for bucket, v in bag.items():
+                for j, w in by_bucket.get(bucket, ()):
+                    cosines[j] += v * w
+            cosines *= weights[0] ** 2
+            if with_vector and leaders:
+                if index == "hashed":
+                    near = sorted({j for t in range(8) for j in by_plane.get((t, int(sides[k][t])), ())} | set(np.flatnonzero(cosines).tolist()))
+                else:
+                    near = range(len(leaders))
+                if len(near):
+                    cosines[near] += weights[1] ** 2 * (vectors[[leaders[j] for j in near]] @ vectors[k])
+            if leaders:
+                cosines /= np.sqrt(np.array([n for *_, n in norms])) * sum(own) ** 0.5 + (sum(own) == 0)
+                best = int(np.flatnonzero(cosines > cosines.max() - 1e-12)[0])
+                if cosines[best] >= threshold - 1e-12 and (not guarded or may_merge(k, leaders[best])):
+                    out.append(pdf["input"][leaders[best]])
+                    continue
+            else:
+                norms: list[tuple[float]] = []
+            for bucket, v in bag.items():
+                by_bucket.setdefault(bucket, []).append((len(leaders), v))
+            if with_vector:
+                for t in range(8):
+                    by_plane.setdefault((t, int(sides[k][t])), []).append(len(leaders))
+            leaders.append(k)
+            norms.append((sum(own) or 1.0,))
+            out.append(pdf["input"][k])
+        return pd.DataFrame({"source_id": pdf["source_id"], "input": pdf["input"], "label": out})
 
     found = distinct.groupBy("source_id").applyInPandas(run, "source_id string, input string, label string")
     return forms.join(found, ["source_id", "input"])
 
 
+def pre_seeded(forms: DataFrame, known: DataFrame, **settings) -> DataFrame:
+    """forms with labels from the map ``known`` (alias, canonical), and those it lacks clustered after its canonicals, which come first."""
+    mapped = forms.join(F.broadcast(known) if known.isLocal() else known, forms["input"] == known["alias"], "left")
+    rest = mapped.where("canonical is null").drop("alias", "canonical")
+    seeds = known.select("canonical").distinct().crossJoin(rest.select("source_id").distinct())
+    seeds = seeds.select(F.lit(-1).cast("long").alias("seq"), "source_id", F.col("canonical").alias("input"))
+    found = leader_clusters(rest.select("seq", "source_id", "input").unionByName(seeds), **settings).where("seq >= 0").select("seq", "source_id", "input", "label")
+    return found.unionByName(mapped.where("canonical is not null").select("seq", "source_id", "input", F.col("canonical").alias("label")))
+
+
 def consolidated(labels: DataFrame, jaccard: float = 0.5, min_overlap: int = 2, min_aliases: int = 2) -> DataFrame:
     """source_id, label, merged: labels of different sources that share enough aliases become one class, named by its least (source, label).
 
