@@ -1,15 +1,17 @@
 """Benchmark decontamination with an FM-index for each shard of the training documents.
 
 Words are ASCII digits, lower-cased letters and everything beyond ASCII. A phrase
-is a window of ten words of a benchmark item, or a whole shorter item. A shard's
-words become symbols; a word that no phrase holds separates, and so do document
-ends; runs too short for any phrase are left out, as nothing can be found there.
-Phrases are searched backwards through wavelet-tree ranks, located by sampled
-suffix positions, and their spans merged.
+is a window of ten words of a benchmark item, or a whole shorter item. All words of
+a shard become symbols, and document ends separate. Phrases are searched backwards
+through wavelet-tree ranks, located by sampled suffix positions, and their spans
+merged. The benchmark is searched for block by block, in a pass over the documents
+each: neither a task nor the driver holds more than one.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,78 +19,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramark.llm import bytetext
+from engramark.llm import bytetext, scratch
 from engramark.llm.fm_index import FMIndex
 
 WINDOW = 10
-#: Bytes of documents in a shard, and of benchmark texts in a broadcast block.
-SHARD_BYTES = 16 << 20
+#: Bytes of documents in a shard, and of benchmark texts in a block.
+SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 4 << 20
 
 
+class Shard:
+    """The index of all words of a shard's documents; words of document d are pointer[d] to pointer[d + 1]."""
+
+    def __init__(self, hashes: np.ndarray, pointer: np.ndarray) -> None:
+        self.vocabulary, symbol = np.unique(hashes, return_inverse=True)
+        # A separator follows each document.
+        text = np.insert(symbol.astype(np.int64) + 1, pointer[1:], 0)
+        self.starts, self.ends = pointer[:-1], np.arange(len(pointer) - 1) + pointer[1:]
+        self.index = FMIndex(text, len(self.vocabulary))
+
+    def symbols(self, hashes: np.ndarray) -> np.ndarray:
+        """1 and up for words of the shard, 0 for others."""
+        if not len(self.vocabulary):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == hashes, at + 1, 0)
+
+    def find(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, phrase) of every occurrence in the shard."""
+        matrix = self.symbols(phrases.matrix.reshape(-1)).reshape(phrases.matrix.shape)
+        inside = np.arange(matrix.shape[1]) >= matrix.shape[1] - phrases.lengths[:, None]
+        known = np.flatnonzero(((matrix > 0) | ~inside).all(1))
+        low, high = self.index.ranges(matrix[known], phrases.lengths[known])
+        times = high - low
+        rows = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
+        place = self.index.locate(rows)
+        # Positions count the separators before them.
+        return place - np.searchsorted(self.ends, place), np.repeat(known, times)
+
+
 class Phrases:
-    """The distinct phrases of a block of benchmark items, as symbols."""
+    """The distinct phrases of a block of benchmark items, as hashes of words, right-aligned in a matrix."""
 
     def __init__(self, items: list[tuple[str, str]], window: int) -> None:
-        data = np.frombuffer("".join(t for _, t in items).encode(), np.uint8)
-        offs = np.concatenate([[0], np.cumsum([len(t.encode()) for _, t in items])]).astype(np.int64)
+        raws = [t.encode() for _, t in items]
+        data = np.frombuffer(b"".join(raws), np.uint8)
+        offs = np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64)
         hashes, _, _, pointer = bytetext.words(data, offs, bytetext.ALNUM)
-        self.vocabulary, symbol = np.unique(hashes, return_inverse=True)
         self.names = [name for name, _ in items]
-        of_item: dict[tuple, set[int]] = {}
+        of_item: dict[bytes, set[int]] = {}
         for k, (a, b) in enumerate(zip(pointer[:-1], pointer[1:], strict=True)):
             for s in range(a, max(a, b - window) + 1) if b > a else ():
-                of_item.setdefault(tuple(symbol[s : min(b, s + window)] + 1), set()).add(k)
-        self.lengths = np.array([len(p) for p in of_item], np.int64)
-        self.matrix = np.zeros((len(of_item), window), np.int64)
+                of_item.setdefault(hashes[s : min(b, s + window)].tobytes(), set()).add(k)
+        self.lengths = np.array([len(p) // 8 for p in of_item], np.int64)
+        self.matrix = np.zeros((len(of_item), window), np.uint64)
         for row, phrase in zip(self.matrix, of_item, strict=True):
-            row[window - len(phrase) :] = phrase
+            row[window - len(phrase) // 8 :] = np.frombuffer(phrase, np.uint64)
         self.item_pointer = np.concatenate([[0], np.cumsum([len(x) for x in of_item.values()])]).astype(np.int64)
         self.items = np.array([k for x in of_item.values() for k in sorted(x)], np.int64)
 
-    def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        """1 and up for words of the vocabulary, 0 for others."""
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at + 1, 0)
 
-    def find(self, hashes: np.ndarray, pointer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, length, phrase) of every occurrence in a shard; words of document d are pointer[d] to pointer[d + 1]."""
-        symbol = self.symbols(hashes)
-        # Runs of known words, cut at document ends.
-        breaks = np.zeros(len(symbol) + 1, bool)
-        breaks[pointer] = True
-        known = symbol > 0
-        starts = np.flatnonzero(known & (breaks[:-1] | ~np.concatenate([[False], known[:-1]])))
-        ends = np.flatnonzero(known & (breaks[1:] | ~np.concatenate([known[1:], [False]]))) + 1
-        long = ends - starts >= self.lengths.min()
-        starts, sizes = starts[long], (ends - starts)[long]
-        if not len(starts):
-            return (np.zeros(0, np.int64),) * 3
-        # Each run is followed by a separator.
-        place = np.concatenate([[0], np.cumsum(sizes + 1)])
-        word = np.arange(place[-1]) + np.repeat(starts - place[:-1], sizes + 1)
-        text = symbol[np.minimum(word, len(symbol) - 1)]
-        text[place[1:] - 1] = 0
-        index = FMIndex(text, len(self.vocabulary))
-        low, high = index.ranges(self.matrix, self.lengths)
-        phrase = np.repeat(np.arange(len(low)), high - low)
-        rows = np.arange(len(phrase)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
-        return word[index.locate(rows)], self.lengths[phrase], phrase
-
-
-def benchmark_blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """Items with an id and a text, in blocks of about ``most`` bytes."""
+def benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
+    """Items with an id and a text, in blocks of about BLOCK_BYTES."""
     block, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null").toLocalIterator():
         block.append((r["i"], r["t"]))
         size += len(r["t"].encode())
-        if size >= most:
+        if size >= BLOCK_BYTES:
             yield block
             block, size = [], 0
     if block:
         yield block
 
 
+SPANS = "array<struct<first: long, end: long>>"
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, spans and items for every row of ``docs``.
 
@@ -98,21 +104,50 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     items with the same id count once. Repeated rows give repeated results, an
     empty table none; other columns are not read.
     """
-    context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(b) for b in benchmark_blocks(benchmark)]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    blocks = benchmark_blocks(benchmark)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return searched(texts, first, window).drop("key")
+    # Each pass is written before the next block is read; rows equal in both columns have equal results.
+    found = [scratch.written(searched(texts, b, window).dropDuplicates(["doc_id", "key"]), "contamination") for b in itertools.chain([first, second], blocks)]
+    every = functools.reduce(DataFrame.union, found)
+    together = every.groupBy("doc_id", "key").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [merged(x) for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spans, batch.column(3).type), batch.column(4)], batch.schema.names)
+
+    together = together.mapInArrow(run, together.schema)
+    mine = texts.select("doc_id", F.xxhash64("text").alias("key")).alias("a")
+    return mine.join(together.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key"))).select("a.doc_id", "n_words", "spans", "items")
+
+
+def merged(spans: list[dict]) -> list[dict]:
+    """Sorted spans with those that overlap or touch made one."""
+    out: list[dict] = []
+    for s in spans:
+        if out and s["first"] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], s["end"])
+        else:
+            out.append(dict(s))
+    return out
+
+
+def searched(texts: DataFrame, block: list[tuple[str, str]], window: int) -> DataFrame:
+    """doc_id, key (the text's hash), n_words, spans and items of one block of the benchmark."""
+    given = texts.sparkSession.sparkContext.broadcast(block)
 
-    def judge(doc_ids: list, hashes: np.ndarray, pointer: np.ndarray, phrases: list[Phrases]) -> pa.RecordBatch:
+    def judge(doc_ids: list, keys: list, hashes: np.ndarray, pointer: np.ndarray, phrases: Phrases) -> pa.RecordBatch:
         cover = np.zeros(len(hashes) + 1, np.int64)
         items: list[set[str]] = [set() for _ in doc_ids]
-        for p in phrases:
-            if not len(p.lengths):
-                continue
-            first, length, phrase = p.find(hashes, pointer)
-            np.add.at(cover, first, 1)
-            np.add.at(cover, first + length, -1)
-            doc = np.searchsorted(pointer, first, "right") - 1
-            for d, q in np.unique(np.stack([doc, phrase]), axis=1).T:
-                items[d].update(p.names[k] for k in p.items[p.item_pointer[q] : p.item_pointer[q + 1]])
+        first, phrase = Shard(hashes, pointer).find(phrases) if len(phrases.lengths) else (np.zeros(0, np.int64),) * 2
+        np.add.at(cover, first, 1)
+        np.add.at(cover, first + phrases.lengths[phrase], -1)
+        doc = np.searchsorted(pointer, first, "right") - 1
+        for d, q in np.unique(np.stack([doc, phrase]), axis=1).T:
+            items[d].update(phrases.names[k] for k in phrases.items[phrases.item_pointer[q] : phrases.item_pointer[q + 1]])
         hit = np.cumsum(cover[:-1]) > 0
         cut = np.zeros(len(hit) + 1, bool)
         cut[pointer] = True
@@ -121,24 +156,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         spans = np.searchsorted(starts, pointer)
         base = np.repeat(pointer[:-1], np.diff(spans))
         pairs = pa.StructArray.from_arrays([pa.array(starts - base), pa.array(ends - base)], ["first", "end"])
-        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(np.diff(pointer)), bytetext.list_column(pairs, spans), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
+        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(np.diff(pointer)), bytetext.list_column(pairs, spans), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["doc_id", "key", "n_words", "spans", "items"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = [Phrases(b.value, window) for b in blocks]
-        ids, hashes, pointers, words, size = [], [], [np.zeros(1, np.int64)], 0, 0
+        phrases = Phrases(given.value, window)
+        ids, keys, hashes, pointers, words, size = [], [], [], [np.zeros(1, np.int64)], 0, 0
         for rows, data, offs in bytetext.pieces(batches):
             found, _, _, pointer = bytetext.words(data, offs, bytetext.ALNUM)
             ids += rows.column(0).to_pylist()
+            keys += rows.column(1).to_pylist()
             hashes.append(found), pointers.append(pointer[1:] + words)
             words, size = words + len(found), size + len(data)
             if size >= SHARD_BYTES:
-                yield judge(ids, np.concatenate(hashes), np.concatenate(pointers), phrases)
-                ids, hashes, pointers, words, size = [], [], [np.zeros(1, np.int64)], 0, 0
+                yield judge(ids, keys, np.concatenate(hashes), np.concatenate(pointers), phrases)
+                ids, keys, hashes, pointers, words, size = [], [], [], [np.zeros(1, np.int64)], 0, 0
         if ids:
-            yield judge(ids, np.concatenate(hashes), np.concatenate(pointers), phrases)
+            yield judge(ids, keys, np.concatenate(hashes), np.concatenate(pointers), phrases)
 
-    with_text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_text.mapInArrow(run, "doc_id long, n_words long, spans array<struct<first: long, end: long>>, items array<string>")
+    return texts.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id long, key long, n_words long, spans {SPANS}, items array<string>")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,21 +8,36 @@ SAMPLE = 8
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes of ``text`` in order; each 0 is an end, smaller than all symbols and than any later 0, so comparisons stop there."""
-    ends = text == 0
-    rank = np.where(ends, np.cumsum(ends) - 1, text + ends.sum())
-    _, rank = np.unique(rank, return_inverse=True)
-    n, step = len(text), 1
-    order = np.argsort(rank, kind="stable")
-    while n and rank[order[-1]] < n - 1:
-        after = np.zeros(n, np.int64)
-        after[:-step] = rank[step:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        fresh = np.zeros(n, np.int64)
-        fresh[1:] = np.cumsum(key[order[1:]] != key[order[:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
+    """Suffixes of ``text`` in order; each 0 is an end, smaller than all symbols and than any later 0, so comparisons stop there.
+
+    Prefix doubling: after each round only the suffixes whose place is still shared are sorted again.
+    """
+    n, ends = len(text), text == 0
+    if not n:
+        return np.zeros(0, np.int64)
+    first = np.where(ends, np.cumsum(ends) - 1, text + int(ends.sum())).astype(np.int64)
+    order = np.argsort(first, kind="stable")
+    rank, step = np.empty(n + 1, np.int64), 1
+    rank[n] = -1
+    ordered = first[order]
+    start = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    size = np.diff(np.append(start, n))
+    # The rank of a suffix is the place of the first one of its group.
+    rank[order] = np.repeat(start, size)
+    open_ = np.flatnonzero(np.repeat(size > 1, size))
+    while len(open_):
+        suffixes = order[open_]
+        group = rank[suffixes]
+        key = group * (n + 1) + rank[np.minimum(suffixes + step, n)] + 1
+        by_key = np.argsort(key, kind="stable")
+        suffixes, key, group = suffixes[by_key], key[by_key], group[by_key]
+        # Groups lie at their places in ascending order, so that the sorted ones go back to the same places.
+        order[open_] = suffixes
+        start = np.append(True, key[1:] != key[:-1])
+        at = np.flatnonzero(start)
+        size = np.diff(np.append(at, len(key)))
+        rank[suffixes] = np.repeat(open_[at], size)
+        open_ = open_[np.repeat(size > 1, size)]
         step *= 2
     return order
 
@@ -51,7 +66,7 @@ class WaveletTree:
     def __init__(self, symbols: np.ndarray, most: int) -> None:
         self.levels: list[tuple[int, Bits, int]] = []
         for shift in range(max(1, most.bit_length()) - 1, -1, -1):
-            bits = (symbols >> shift & 1).astype(bool)
+            bits = (symbols >> np.int32(shift) & np.int32(1)).astype(bool)
             self.levels.append((shift, Bits(bits), int(len(bits) - bits.sum())))
             symbols = np.concatenate([symbols[~bits], symbols[bits]])
         self.n = len(symbols)
@@ -86,7 +101,7 @@ class FMIndex:
         order = suffix_array(text)
         self.n = len(text)
         before = text[order - 1]
-        self.tree = WaveletTree(before, most)
+        self.tree = WaveletTree(before.astype(np.int32), most)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=most + 1))])
         sampled = (order % SAMPLE == 0) | (before == 0)
         self.marks, self.positions = Bits(sampled), order[sampled]

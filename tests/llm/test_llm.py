@@ -427,7 +427,7 @@ def test_fm_index():
             assert sorted(index.locate(np.arange(a, b))) == want
 
 
-def test_decontamination(spark, docs, no_docs):
+def test_decontamination(spark, docs, no_docs, monkeypatch):
     word = re.compile(rb"[0-9a-z\x80-\xff]+")
     rows = documents()
     items = [(1, " ".join(rows[33][1].split()[12:40])), (2, "two WORDS"), (30, rows[2][1]), (4, None), (5, "..."), (None, "word"), (7, "never seen anywhere at all"), (2, "two WORDS")]
@@ -447,6 +447,10 @@ def test_decontamination(spark, docs, no_docs):
     got = decontaminate.contamination(docs, bench).collect()
     assert sorted((-1 if x["doc_id"] is None else x["doc_id"], x["n_words"], sum(s["end"] - s["first"] for s in x["spans"]), x["items"]) for x in got) == sorted(want)
     assert decontaminate.contamination(no_docs, bench).count() == 0
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40)
+    assert len(list(decontaminate.benchmark_blocks(bench))) > 2
+    blocked = decontaminate.contamination(docs, bench).collect()
+    assert sorted(map(str, blocked)) == sorted(map(str, got))
     assert decontaminate.contamination(docs, bench.limit(0)).where("size(items) > 0").count() == 0
 
 
