@@ -1,9 +1,11 @@
 """Best-fit packing of token sequences by linear grouping.
 
 Large lengths are split into groups of equal cardinality and rounded up to the
-longest of their group; few-size configurations are optimised over the rounded
-lengths; actual documents take the places (a place of a rounded length holds any
-document of its group), and the small ones are best-fitted into what is left.
+longest of their group; configurations of the few rounded lengths are optimised by a
+linear programme, whose columns a knapsack finds, and what its whole parts leave is
+filled up; actual documents take the places (a place of a rounded length holds any
+document of its group), and the small ones are best-fitted into what is left. A plan
+that only fills up, over more groups, is made too, and the one of fewer sequences taken.
 Only the histogram of lengths, at most ``capacity`` numbers whatever the corpus,
 reaches the driver; places are handed back to documents by their rank within
 their length, in parallel.
@@ -26,7 +28,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Lengths above this part of the capacity are large: they are grouped and get configurations.
 LARGE_PART = 16
-GROUPS = 512
+#: Groups of the linear programme, and of the plan that only fills up.
+FEW, GROUPS = 96, 512
 #: Marks the one special token of the vocabulary, which the tokenizer recognises inside texts.
 SPECIAL = "<|endoftext|>"
 
@@ -157,7 +160,64 @@ def fullest(left: dict[int, int], first: int, capacity: int) -> list[int]:
     return chosen
 
 
-def plan_places(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large_part: int = LARGE_PART) -> np.ndarray:
+def fractional(counts: dict[int, int], capacity: int) -> list[tuple[np.ndarray, float]]:
+    """Configurations (how many of each length, longest first) and how often to take them: the least total that holds all ``counts``, in parts.
+
+    Column generation: the prices of lengths in the present basis make a knapsack, whose
+    best filling enters while it is worth more than a sequence.
+    """
+    sizes = np.array(sorted(counts, reverse=True))
+    demand = np.array([counts[x] for x in sizes.tolist()], float)
+    basis = np.diag(capacity // sizes).astype(float)
+    times = demand / basis.diagonal()
+    for _ in range(40 * len(sizes)):
+        prices = np.linalg.solve(basis.T, np.ones(len(sizes)))
+        worth, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+        for room in range(int(sizes[-1]), capacity + 1):
+            k = int(np.searchsorted(-sizes, -room))  # the first size that fits
+            gain = worth[room - sizes[k:]] + prices[k:]
+            best = int(gain.argmax())
+            worth[room], last[room] = (gain[best], k + best) if gain[best] > worth[room - 1] else (worth[room - 1], -1)
+        if worth[capacity] <= 1 + 1e-9:
+            break
+        column, room = np.zeros(len(sizes)), capacity
+        while room > 0:
+            if last[room] < 0:
+                room -= 1
+            else:
+                column[last[room]] += 1
+                room -= int(sizes[last[room]])
+        step = np.linalg.solve(basis, column)
+        ratio = np.where(step > 1e-9, times / np.where(step > 1e-9, step, 1), np.inf)
+        leaves = int(ratio.argmin())
+        times = np.maximum(0, times - ratio[leaves] * step)
+        times[leaves] = ratio[leaves]
+        basis[:, leaves] = column
+    return [(basis[:, k].astype(int), float(times[k])) for k in range(len(sizes))]
+
+
+def optimised(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """(lengths, times) as configurations() gives them: the whole parts of the best fractional ones, and the rest filled up."""
+    if not counts:
+        return []
+    left, found = dict(counts), []
+    sizes = sorted(counts, reverse=True)
+    for column, times in sorted(fractional(counts, capacity), key=lambda c: -c[1]):
+        whole = min([int(times + 1e-6), *(left[x] // int(n) for x, n in zip(sizes, column, strict=True) if n)])
+        if whole > 0 and column.any():
+            found.append(([x for x, n in zip(sizes, column, strict=True) for _ in range(int(n))], whole))
+            for x, n in zip(sizes, column, strict=True):
+                left[x] -= int(n) * whole
+    return found + configurations({x: n for x, n in left.items() if n}, capacity)
+
+
+def plan_places(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, few: int = FEW, large_part: int = LARGE_PART) -> np.ndarray:
+    """The plan of fewer sequences, of the optimised configurations of few groups and of those that only fill up."""
+    plans = [_places(counts, capacity, few, large_part, optimised), _places(counts, capacity, groups, large_part, configurations)]
+    return min(plans, key=lambda p: int((p[:, 2] + p[:, 3]).max(initial=0)))
+
+
+def _places(counts: dict[int, int], capacity: int, groups: int, large_part: int, configured) -> np.ndarray:
     """Rows (length, first rank, times, first sequence, offset): the documents of a length, in rank order, take these places.
 
     Every document gets one place; a row gives ``times`` documents the same offset
@@ -175,7 +235,7 @@ def plan_places(counts: dict[int, int], capacity: int = CAPACITY, groups: int =
     places: list[tuple[int, int, int, int, int]] = []
     rooms: dict[int, list[tuple[int, int]]] = {}  # room -> runs of sequences (first, times)
     sequence = 0
-    for lengths, times in configurations(totals, capacity):
+    for lengths, times in configured(totals, capacity):
         done = 0
         while done < times:
             # As many sequences as the current actual lengths of all places last.

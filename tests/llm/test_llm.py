@@ -208,6 +208,45 @@ def test_packing_plan_is_near_the_bound():
     assert len(used) <= 1.01 * sum(x * n for x, n in counts.items()) / 1024 + 1
 
 
+def least_sequences(pieces, capacity):
+    """The least number of sequences, by trying every place of every piece."""
+    pieces = sorted(pieces, reverse=True)
+    best = len(pieces)
+
+    def put(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(pieces):
+            best = len(rooms)
+            return
+        for room in sorted({r for r in rooms if r >= pieces[k]}):
+            at = rooms.index(room)
+            put(k + 1, [*rooms[:at], room - pieces[k], *rooms[at + 1 :]])
+        put(k + 1, [*rooms, capacity - pieces[k]])
+
+    put(0, [])
+    return best
+
+
+def test_packing_plan_against_the_optimum():
+    r = random.Random(11)
+    extra = 0
+    for _ in range(60):
+        pieces = [r.choice((r.randrange(5, 60), r.choice((20, 33, 34, 50)))) for _ in range(r.randrange(1, 10))]
+        places = packing.plan_places(dict(Counter(pieces)), 60)
+        used, best = int((places[:, 2] + places[:, 3]).max()), least_sequences(pieces, 60)
+        assert best <= used <= best + 1
+        extra += used - best
+    assert extra <= 3
+
+
+def test_fractional_configurations_are_the_best():
+    assert sum(t for _, t in packing.fractional({51: 10, 49: 10}, 100)) == pytest.approx(10)
+    assert sum(t for _, t in packing.fractional({60: 10, 41: 10}, 100)) == pytest.approx(15)
+    assert sum(t for _, t in packing.fractional({34: 30, 33: 60}, 100)) == pytest.approx(30)
+
+
 def test_url_rules(spark):
     urls = ["http://A.example.NET/en/1", "https://example.net/de/", "http://x.example.com/de/1?q", "http://y.org/fr/2#z", "http://org/fr/", "http://notnet/x", "http://fr.org", "http://a.net?x/", "nothing", "", None, "a://b://c.net/", "http://badexample.net.com/en/"]
     want = ["example.net/en/", "net/", "example.com/de/", "org/fr/", "org/fr/", None, None, None, None, None, None, None, None]
