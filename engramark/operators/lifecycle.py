@@ -77,12 +77,10 @@ def numbered(log: DataFrame, ts: str, *ties: str) -> DataFrame:
     return day.withColumn("w", within).join(before.drop("c"), "day").withColumn("i", F.col("w") + F.col("offset")).drop("w", "offset")
 
 
-def fact_sweeps(log: DataFrame, every: int, min_age: float) -> DataFrame:
-    """fact, added_at, tick, collected_at: the sweep that collects each fact without edges, exact for rules that read only a fact's own edges.
+def idle_spans(log: DataFrame) -> DataFrame:
+    """fact, added_at, i_from, next_i: the stretches of the log in which a fact has no edge; next_i is null for the last.
 
-    log has fact, entity, ts, op (1 add, -1 remove) and i. Sweeps run after every
-    ``every`` events and after the last. A fact is collected at the first sweep inside
-    a stretch without edges at which it is old enough; facts that none collects have nulls.
+    log has fact, entity, ts, op (1 add, -1 remove) and i.
     """
     edge = Window.partitionBy("fact", "entity").orderBy("i")
     s = F.sum("op").over(edge)
@@ -90,24 +88,33 @@ def fact_sweeps(log: DataFrame, every: int, min_age: float) -> DataFrame:
     change = F.when(F.col("op") == 1, 1).when((F.col("op") == -1) & (F.col("count") == 0), -1).otherwise(0)
     own = Window.partitionBy("fact").orderBy("i")
     x = clamped.withColumn("degree", F.sum(change).over(own)).withColumn("next_i", F.lead("i").over(own)).withColumn("added_at", F.min("ts").over(Window.partitionBy("fact")))
-    ends = log.agg(F.max("i").alias("last_i"), F.max("ts").alias("last_ts"))
-    ticks = log.where(F.col("i") % every == 0).select(F.col("i").alias("tick"), F.col("ts").alias("tick_ts"), "day")
-    final = log.join(F.broadcast(ends), F.col("i") == F.col("last_i")).select(F.col("i").alias("tick"), F.col("ts").alias("tick_ts"), "day")
-    ticks = ticks.union(final).distinct()
-    # The first sweep at which each fact is old enough: on the day it turns so, or on the next day that has one.
-    by_day = ticks.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("tick_ts", "tick"))).alias("ticks"))
-    facts = x.groupBy("fact").agg(F.first("added_at").alias("added_at")).withColumn("ripe", F.col("added_at") + min_age).withColumn("day", F.floor(F.col("ripe") / DAY))
-    days = facts.select("day").distinct().join(by_day.select("day", F.element_at("ticks", 1)["tick"].alias("first_tick")), "day", "full")
-    later = days.withColumn("next_tick", F.min("first_tick").over(Window.orderBy("day").rowsBetween(1, Window.unboundedFollowing))).select("day", "next_tick")
-    ripe = facts.join(later, "day").join(by_day, "day", "left")
-    same = F.array_min(F.transform(F.filter(F.coalesce("ticks", F.expr("cast(array() as array<struct<tick_ts: double, tick: bigint>>)")), lambda z: z["tick_ts"] >= F.col("ripe")), lambda z: z["tick"]))
-    ripe = ripe.select("fact", "added_at", F.coalesce(same, "next_tick").alias("ripe_tick"))
-    spans = x.where("degree = 0").select("fact", F.col("i").alias("i_from"), "next_i")
-    aligned = spans.join(ripe, "fact").join(F.broadcast(ends))
+    return x.where("degree = 0").select("fact", "added_at", F.col("i").alias("i_from"), "next_i")
+
+
+def fact_sweeps(log: DataFrame, every: int, min_age: float, spans: DataFrame | None = None) -> DataFrame:
+    """fact, added_at, tick, collected_at: the sweep that collects each fact without edges, exact for rules that read only a fact's own edges.
+
+    Sweeps run after every ``every`` events and after the last. A fact is collected at
+    the first sweep inside a stretch without edges at which it is old enough; facts
+    that none collects have nulls. ``spans`` are idle_spans(log), which don't depend on the sweeps.
+    """
+    spans = idle_spans(log) if spans is None else spans
+    ends = log.agg(F.max("i").alias("last_i"))
+    ticks = log.join(F.broadcast(ends)).where((F.col("i") % every == 0) | (F.col("i") == F.col("last_i"))).select(F.col("i").alias("tick"), F.col("ts").alias("tick_ts"), F.col("day").alias("tick_day"))
+    facts = log.groupBy("fact").agg(F.min("ts").alias("added_at"))
+    # The first sweep at which a fact is old enough: facts and sweeps lie in one order of time, day by day, and the days' first sweeps carry over.
+    ripe = facts.select("fact", "added_at", (F.col("added_at") + min_age).alias("t"), F.lit(None).cast("long").alias("tick")).withColumn("day", F.floor(F.col("t") / DAY))
+    line = ripe.unionByName(ticks.select(F.lit(None).cast("long").alias("fact"), F.lit(None).cast("double").alias("added_at"), F.col("tick_ts").alias("t"), "tick", F.col("tick_day").alias("day")))
+    by_day = line.groupBy("day").agg(F.min("tick").alias("first_tick"))
+    by_day = by_day.withColumn("next_tick", F.min("first_tick").over(Window.orderBy("day").rowsBetween(1, Window.unboundedFollowing))).drop("first_tick")
+    # At equal times the facts come first, as a sweep of that time sees them.
+    later = Window.partitionBy("day").orderBy("t", F.col("tick").isNotNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ripe = line.withColumn("today", F.min("tick").over(later)).where("tick is null").join(F.broadcast(by_day), "day").select("fact", "added_at", F.coalesce("today", "next_tick").alias("ripe_tick"))
+    aligned = spans.drop("added_at").join(ripe, "fact").join(F.broadcast(ends))
     tick = F.greatest(F.least(F.ceil(F.col("i_from") / every) * every, F.col("last_i")), F.col("ripe_tick"))
     found = aligned.withColumn("tick", tick).where(F.col("ripe_tick").isNotNull() & (F.col("next_i").isNull() | (F.col("tick") < F.col("next_i"))))
     first = found.groupBy("fact").agg(F.min("tick").alias("tick"))
-    return facts.select("fact", "added_at").join(first, "fact", "left").join(ticks.select("tick", F.col("tick_ts").alias("collected_at")), "tick", "left").select("fact", "added_at", "tick", "collected_at")
+    return facts.join(first, "fact", "left").join(ticks.select("tick", F.col("tick_ts").alias("collected_at")), "tick", "left").select("fact", "added_at", "tick", "collected_at")
 
 
 def tombstone_hit(query: Column, collected: Column, ttl: float = 7 * DAY) -> Column:

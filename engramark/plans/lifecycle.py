@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramark.operators import lifecycle
+from engramark.operators.graph import reliable
 from engramark.operators.lifecycle import DAY
 from engramark.sources.workloads import graph_edges, table
 
@@ -76,16 +77,17 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fact_sweeps(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.fact_sweeps(_log(spark, d), 500, MIN_AGE)
+    return lifecycle.fact_sweeps(reliable(_log(spark, d)), 500, MIN_AGE)
 
 
 def cadence_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Facts collected, mean wait and tombstone recovery at several sweep cadences; each fact is queried some days after it turned old enough."""
-    log = _log(spark, d)
+    log = reliable(_log(spark, d))
+    spans = reliable(lifecycle.idle_spans(log))
     query = F.col("added_at") + MIN_AGE + (F.col("fact") % 14) * DAY
     rows = []
     for every in CADENCES:
-        x = lifecycle.fact_sweeps(log, every, MIN_AGE).withColumn("hit", lifecycle.tombstone_hit(query, F.col("collected_at")))
+        x = lifecycle.fact_sweeps(log, every, MIN_AGE, spans).withColumn("hit", lifecycle.tombstone_hit(query, F.col("collected_at")))
         rows.append(x.agg(F.lit(every).alias("cadence"), F.count("*").alias("facts"), F.count("tick").alias("collected"), F.round(F.avg(F.col("collected_at") - F.col("added_at")) / DAY, 4).alias("mean_days"), F.round(100 * F.avg(F.col("hit").cast("double")), 4).alias("recovery_pct")))
     return reduce(DataFrame.unionByName, rows)
 
