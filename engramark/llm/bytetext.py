@@ -55,7 +55,7 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Batches cut between rows so that their texts have about ``most`` bytes: (rows, bytes, offsets). A longer text stands alone."""
     for batch in batches:
         data, offs = column_bytes(batch.column(batch.schema.get_field_index(text)))

@@ -24,7 +24,7 @@ from engramark.llm.fm_index import FMIndex
 
 WINDOW = 10
 #: Bytes of documents in a shard, and of benchmark texts in a block.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 4 << 20
 
 
