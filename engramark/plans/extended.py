@@ -276,7 +276,7 @@ SELECT median(s) FILTER (ok) AS positive_median, median(s) FILTER (NOT ok) AS ne
     "rates": f"""WITH b AS (SELECT c_nationkey, count(*) AS n, avg(CASE WHEN c_acctbal < 0 THEN 1.0 ELSE 0.0 END) AS rate FROM customer GROUP BY 1),
 m AS (SELECT c_nationkey, r.range AS rep, avg(CASE WHEN {_U.format("'5:' || r.range || ':' || t.range")} < rate THEN 1.0 ELSE 0.0 END) AS m FROM b, range(200) r, range((SELECT max(n) FROM b)) t WHERE t.range < n GROUP BY 1, 2),
 s AS (SELECT c_nationkey, list_sort(list(m)) AS ms FROM m GROUP BY 1) SELECT c_nationkey, round(rate, 6) AS rate, round(ms[6], 6) AS lo, round(ms[195], 6) AS hi FROM b JOIN s USING (c_nationkey)""",
-    "verdicts": "SELECT * FROM (VALUES ('tool-a', 'tools', 6.0, 4.0, 'FUND-NOW'), ('prompt-b', 'prompt', 11.9, 2.975, 'FUND-Q+1'), ('policy-c', 'execution policy', -1.0, 0.0, 'DEFER'), ('recovery-d', 'recovery', 17.0, 17.0, 'DO-NOT-BUILD'), ('embed-proxy-e', 'memory (canonicalization)', 7.65, NULL, 'INSUFFICIENT-DATA'), ('gc-f', 'memory (lifecycle)', 7.65, 7.65, 'DEFER'), ('b-raw-identity', 'memory (canonicalization)', 0.0, NULL, 'DO-NOT-BUILD'), ('x', 'unknown', 25.5, 2.8333, 'DEFER')) v(variant, dimension, low, per_week, verdict)",
+    "verdicts": "SELECT variant, dimension, CAST(low AS DOUBLE) AS low, CAST(per_week AS DOUBLE) AS per_week, verdict FROM (VALUES ('tool-a', 'tools', 6.0, 4.0, 'FUND-NOW'), ('prompt-b', 'prompt', 11.9, 2.975, 'FUND-Q+1'), ('policy-c', 'execution policy', -1.0, 0.0, 'DEFER'), ('recovery-d', 'recovery', 17.0, 17.0, 'DO-NOT-BUILD'), ('embed-proxy-e', 'memory (canonicalization)', 7.65, NULL, 'INSUFFICIENT-DATA'), ('gc-f', 'memory (lifecycle)', 7.65, 7.65, 'DEFER'), ('b-raw-identity', 'memory (canonicalization)', 0.0, NULL, 'DO-NOT-BUILD'), ('x', 'unknown', 25.5, 2.8333, 'DEFER')) v(variant, dimension, low, per_week, verdict)",
     "decisions": """WITH t AS (SELECT c_nationkey, c_custkey % 97 = 0 AS kill, CASE WHEN c_custkey % 97 = 0 AND c_custkey % 2 = 0 THEN 'FAIL' WHEN c_acctbal < -990 THEN 'REGRESSION' WHEN c_custkey % 211 = 0 THEN 'INCONCLUSIVE' ELSE 'SUPERIOR' END AS o FROM customer),
 g AS (SELECT c_nationkey, bool_or(o = 'INCONCLUSIVE') AS a, bool_or(o = 'REGRESSION') AS b, bool_or(kill AND o = 'FAIL') AS c FROM t GROUP BY 1)
 SELECT c_nationkey, CASE WHEN a OR b OR c THEN 'BLOCK_PR' ELSE 'PASS_AND_MERGE' END AS decision, concat_ws(', ', CASE WHEN a THEN 'inconclusive' END, CASE WHEN b THEN 'regression' END, CASE WHEN c THEN 'kill switch' END) AS reasons FROM g""",
@@ -287,7 +287,7 @@ SELECT event_type, 'UC-4.4' AS gate, round_even(share, 3) AS value, CAST(1 AS DO
 UNION ALL SELECT event_type, 'UC-4.6', round_even(p99, 3), 100, CASE WHEN p99 < 100 THEN 'PASS' ELSE 'FAIL' END FROM e""",
     "rendered_prompts": "SELECT p_partkey, " + ", ".join(f"sha256('{a}' || p_name || '{b}') AS {v}".replace("\n", "' || chr(10) || '") if "'" not in a + b else f"sha256('{a.replace(chr(39), chr(39) * 2)}' || p_name || '{b.replace(chr(39), chr(39) * 2)}') AS {v}".replace("\n", "' || chr(10) || '") for v, (a, b) in templates.TEMPLATES.items()) + ", p_type AS answer FROM part",
     "replaced_names": """SELECT p_partkey, CASE WHEN p_name = 'small ring' THEN 'band s' ELSE replace(replace(p_name, 'ring', 'band'), 'small', 'tiny') END AS replaced,
-  CASE split_part(p_name, ' ', 2) WHEN 'ring' THEN 'circle' WHEN 'bolt' THEN 'screw' ELSE split_part(p_name, ' ', 2) END AS canonical, len(regexp_extract_all(p_name || ' ' || p_name, '(?:^|[^A-Za-z0-9_])(small|ring)(?:$|[^A-Za-z0-9_])')) AS found FROM part""",
+  CASE split_part(p_name, ' ', 2) WHEN 'ring' THEN 'circle' WHEN 'bolt' THEN 'screw' ELSE split_part(p_name, ' ', 2) END AS canonical, CAST(len(regexp_extract_all(p_name || ' ' || p_name, '(?:^|[^A-Za-z0-9_])(small|ring)(?:$|[^A-Za-z0-9_])')) AS INT) AS found FROM part""",
     "chunked_fingerprint": f"""WITH {SURFACE_SQL}, c AS (SELECT source_id, seq // 100 AS k, sha256(string_agg(input || chr(31) || oracle || chr(30), '' ORDER BY seq)) AS d FROM surface GROUP BY 1, 2)
 SELECT source_id, sha256(string_agg(d, '' ORDER BY k)) AS sha256 FROM c GROUP BY 1""",
 }

@@ -221,12 +221,12 @@ FROM task t JOIN {_POLICY} ON p.task_class = t.task_class AND p.difficulty = t.d
     "tool_choice": f"""
 WITH {_TASKS}, {_SHOWN}
 SELECT tools, round(100 * sum(hit) / sum(n), 4) AS precision_pct, round(100 * sum(hit) / sum(k), 4) AS recall_pct, round(avg(500 + 100.0 * n), 4) AS mean_cost, round(avg(CASE WHEN hit = k THEN greatest(0.0, 0.95 - 0.005 * (n - k)) ^ k ELSE 0 END), 6) AS expected,
-  round(list_sort(list(1 + 0.05 * n))[CAST(least(count(*) - 1, floor(count(*) * 0.99)) AS BIGINT) + 1], 4) AS p99 FROM sz GROUP BY tools""",
+  round(CAST(list_sort(list(1 + 0.05 * n))[CAST(least(count(*) - 1, floor(count(*) * 0.99)) AS BIGINT) + 1] AS DOUBLE), 4) AS p99 FROM sz GROUP BY tools""",
     "policy_runs": f"""
 WITH {_TASKS}, x AS (SELECT policy, least(steps, 12) AS steps, {_U.format("'policy:' || policy || ':' || task_id")} < p AS ok FROM task t JOIN {_POLICY} ON p.task_class = t.task_class AND p.difficulty = t.difficulty)
 SELECT policy, count(*) AS n, round(100.0 * count(*) FILTER (ok) / count(*), 4) AS completion_pct, round(sum(steps) / greatest(1, count(*) FILTER (ok)), 6) AS cost_each, max(steps) AS most_steps,
   list_sort(list(steps))[CAST(least(count(*) - 1, floor(count(*) * 0.99)) AS BIGINT) + 1] AS p99 FROM x GROUP BY policy""",
-    "failures_by_kind": f"WITH {_TASKS} SELECT coalesce(failure, 'none') AS kind, count(*) AS n, CASE WHEN failure IS NULL THEN 1.0 ELSE 0.0 END AS completed FROM task GROUP BY failure",
+    "failures_by_kind": f"WITH {_TASKS} SELECT coalesce(failure, 'none') AS kind, count(*) AS n, CAST(CASE WHEN failure IS NULL THEN 1.0 ELSE 0.0 END AS DOUBLE) AS completed FROM task GROUP BY failure",
     "cross_against_base": f"""WITH {_MATRIX}, b AS (SELECT completion_pct AS base FROM matrix WHERE prompt = 'default' AND tools = 'all' AND recovery = 'abort')
 SELECT count(*) FILTER (completion_pct > base) AS beat, count(*) FILTER (completion_pct < base) AS lose, count(*) FILTER (completion_pct = base) AS equal FROM matrix, b""",
     "cross_best": f"""WITH {_MATRIX} SELECT * FROM (SELECT 'best' AS list, prompt, tools, recovery, completion_pct FROM matrix ORDER BY completion_pct DESC, prompt, tools, recovery LIMIT 10)
