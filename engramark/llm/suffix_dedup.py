@@ -66,8 +66,11 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=20).digest()
 
 
-def matches(group: list[Segment], length: int) -> list[list[tuple[int, int]]]:
-    """For each segment (bytes, anchor), the ranges of its bytes that a window equal to one of another segment, at the same distance from the anchor, covers."""
+def matches(group: list[Segment], length: int) -> list[tuple[int, int] | None]:
+    """For each segment (bytes, anchor), the range of its bytes that windows equal to ones of other segments, at the same distance from the anchor, cover; None where there are none.
+
+    It is one range, as all such windows hold the anchor.
+    """
     right = [s[a:] for s, a in group]
     left = [s[a - 1 :: -1] if a else b"" for s, a in group]
     order = deep_shallow_order(right, GRAM)
@@ -76,20 +79,16 @@ def matches(group: list[Segment], length: int) -> list[list[tuple[int, int]]]:
     rank = [0] * len(group)
     for k, i in enumerate(deep_shallow_order(left)):
         rank[i] = k
-    found: list[list[tuple[int, int]]] = [[] for _ in group]
+    before, after = [0] * len(group), [0] * len(group)
     for begin, end, depth in intervals(lcp):
         if depth + longest < length:
             continue
         members = sorted(order[begin : end + 1], key=rank.__getitem__)
-        before = -1
-        for i, j in zip(members, members[1:], strict=False):
-            shared = common_prefix(left[i], left[j])
-            if max(before, shared) + depth >= length:
-                found[i].append((group[i][1] - max(before, shared), group[i][1] + depth))
-            before = shared
-        if before + depth >= length:
-            found[members[-1]].append((group[members[-1]][1] - before, group[members[-1]][1] + depth))
-    return found
+        shared = [0, *(common_prefix(left[i], left[j]) for i, j in zip(members, members[1:], strict=False)), 0]
+        for i, low, high in zip(members, shared, shared[1:], strict=False):
+            if (most := max(low, high)) + depth >= length:
+                before[i], after[i] = max(before[i], most), max(after[i], depth)
+    return [(a - low, a + high) if high else None for (_, a), low, high in zip(group, before, after, strict=True)]
 
 
 def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
@@ -112,9 +111,9 @@ def compared(fetched: DataFrame, length: int) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             columns: list[list] = [[], [], [], []]
-            for (key, doc_id, start, n), ranges in zip(rows, matches(group, length) if len(group) > 1 else [[]] * len(group), strict=True):
-                for a, b in ranges if n == 1 else ():
-                    for column, value in zip(columns, (key, doc_id, start + a, start + b), strict=True):
+            for (key, doc_id, start, n), found in zip(rows, matches(group, length) if len(group) > 1 else [None] * len(group), strict=True):
+                if n == 1 and found:
+                    for column, value in zip(columns, (key, doc_id, start + found[0], start + found[1]), strict=True):
                         column.append(value)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "doc_id", "start", "end"])
 
