@@ -182,3 +182,23 @@ def false_merges(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """n, merged, rate_pct over pairs that should stay apart: how many got one label."""
     same = F.col(a) == F.col(b)
     return pairs.agg(F.count("*").alias("n"), F.count_if(same).alias("merged"), F.round(100.0 * F.avg(same.cast("double")), 4).alias("rate_pct"))
+
+
+def proxy_ladder(outputs: DataFrame, resamples: int = 1000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """What a proxy changes for each model, of rows (model, k from 0, proxy, output, right, canonical): every item once without and once with it.
+
+    model, n, accuracy, canonical rate and distinct outputs of both, differences, and
+    lo, hi and p1 of the accuracy's from resamples of items, the same for all models.
+    """
+    with_, without = F.col("proxy"), ~F.col("proxy")
+    rate = lambda on, c: F.avg(F.when(on, F.col(c).cast("double")))
+    rates = {f"{name}_{side}": rate(on, c) for name, c in (("accuracy", "right"), ("canonical", "canonical")) for side, on in (("off", without), ("on", with_))}
+    unique = {f"unique_{side}": F.countDistinct(F.when(on, F.col("output"))) for side, on in (("off", without), ("on", with_))}
+    base = outputs.groupBy("model").agg(F.countDistinct("k").alias("n"), *(c.alias(n) for n, c in (rates | unique).items()))
+    diffs = outputs.groupBy("model", "k").agg(F.sum(F.col("right").cast("int") * F.when(with_, 1).otherwise(-1)).alias("diff"))
+    slots = base.select("model", "n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    drawn = slots.withColumn("k", F.floor(text.uniform(seed, F.col("rep"), F.col("slot")) * F.col("n"))).join(diffs, ["model", "k"])
+    means = drawn.groupBy("model", "rep").agg(F.avg("diff").alias("m")).groupBy("model").agg(F.array_sort(F.collect_list("m")).alias("ms"), F.avg((F.col("m") <= 0).cast("double")).alias("p1"))
+    lo, hi = int(alpha / 2 * resamples), int((1 - alpha / 2) * resamples) - 1
+    changes = [(F.col(f"{name}_on") - F.col(f"{name}_off")).alias(f"{name}_diff") for name in ("accuracy", "canonical")]
+    return base.join(means, "model").select("model", "n", *rates, *changes, *unique, F.element_at("ms", lo + 1).alias("lo"), F.element_at("ms", max(lo, hi) + 1).alias("hi"), "p1")
