@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "fingerprint", "html_extract", "language", "language_model", "near_dedup", "packing", "suffix_dedup", "url_filter", "warc")
+MODULES = ("codes", "decontaminate", "fingerprint", "html_extract", "language", "language_model", "near_dedup", "packing", "suffix_dedup", "url_filter", "warc", "whitening")
 
 
 def queries() -> dict:
