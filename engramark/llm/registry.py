@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("codes", "decontaminate", "fingerprint", "html_extract", "language", "language_model", "near_dedup", "packing", "suffix_dedup", "url_filter", "warc", "whitening")
+MODULES = ("codes", "decontaminate", "fingerprint", "html_extract", "language", "language_model", "near_dedup", "packing", "suffix_dedup", "toxicity", "url_filter", "warc", "whitening")
 
 
 def queries() -> dict:
