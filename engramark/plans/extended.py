@@ -71,11 +71,6 @@ def replay_gates(spark: SparkSession, d: str) -> DataFrame:
     return x.select(F.inline(F.array(*rows)))
 
 
-def hybrid_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Guarded clustering of the longer names by tokens, source by source."""
-    return canonical.leader_clusters(longer_forms(spark, d), 0.7).select("seq", "source_id", "label")
-
-
 def _writes(spark: SparkSession, d: str) -> DataFrame:
     """The writes of names as local labels, with vectors of their letters."""
     x = surface_forms(spark, d).withColumn("label", F.lower(F.split_part("oracle", F.lit(" "), F.lit(2))))
@@ -154,14 +149,6 @@ def rates(spark: SparkSession, d: str) -> DataFrame:
     return x.select("c_nationkey", *(F.round(y, 6).alias(y) for y in ("rate", "lo", "hi")))
 
 
-def false_merge_rate(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of mined names whose merging would be wrong: how many the guarded clustering by tokens merges."""
-    pairs = mined_pairs(spark, d).select("u", "v")
-    labels = canonical.leader_clusters(surface_forms(spark, d).withColumn("source_id", F.lit("all")), 0.7).groupBy("oracle").agg(F.min_by("label", "seq").alias("label"))
-    a, b = labels.select(F.col("oracle").alias("u"), F.col("label").alias("lu")), labels.select(F.col("oracle").alias("v"), F.col("label").alias("lv"))
-    return metrics.false_merges(pairs.join(a, "u").join(b, "v"), "lu", "lv")
-
-
 _LIFTS = (("tool-a", 8.0, 6.0, None, 1.5, None), ("prompt-b", 14.0, None, None, 4.0, None), ("policy-c", 6.0, -1.0, 13.0, 1.0, None), ("recovery-d", 20.0, None, None, 1.0, "Do not deploy with c"), ("embed-proxy-e", 9.0, None, None, None, None), ("gc-f", 9.0, None, None, 1.0, "superseded by g"), ("b-raw-identity", 0.0, None, None, 0.0, None), ("x", 30.0, None, None, 9.0, "conditional on h"))
 
 
@@ -222,7 +209,7 @@ def churn_stats(spark: SparkSession, d: str) -> DataFrame:
     return generators.log_stats(generators.churn(spark, 50, 400, seed=3))
 
 
-QUERIES = {f.__name__: f for f in (event_state, event_counts, replay_gates, hybrid_labels, consensus_reasons, consensus_names, mined_pairs, first_seen, form_reduction, rand_index, memories_by_oracle, top_k, set_scores, separations, rates, false_merge_rate, verdicts, decisions, sweep_quality, latency_gates, rendered_prompts, replaced_names, chunked_fingerprint, churn_stats)}
+QUERIES = {f.__name__: f for f in (event_state, event_counts, replay_gates, consensus_reasons, consensus_names, mined_pairs, first_seen, form_reduction, rand_index, memories_by_oracle, top_k, set_scores, separations, rates, verdicts, decisions, sweep_quality, latency_gates, rendered_prompts, replaced_names, chunked_fingerprint, churn_stats)}
 
 _U = "CAST(('0x' || substr(sha256({}), 1, 8)) AS UBIGINT) / 4294967296.0"
 _EV = f"""it AS (SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst, CAST(epoch(l_shipdate) AS DOUBLE) AS moment, l_linestatus, l_partkey FROM lineitem),
