@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engramark.operators import dense
 from engramark.operators.graph import connected, reliable
 
 JACCARD, COSINE, MIN_ALIASES, MIN_OVERLAP = 0.5, 0.85, 2, 2
@@ -46,22 +47,12 @@ def centroids(writes: DataFrame) -> DataFrame:
 
 
 def near_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """u < v and cosine of normalized vectors (k, i, c) with at least the threshold, exactly.
-
-    Dimensions are ordered by how many vectors have them, the rare first. Two vectors
-    that are near share a dimension among the first of each, up to where the rest is
-    shorter than the threshold; only those meet.
-    """
-    rarity = vectors.groupBy("i").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("k").orderBy("df", "i")
-    before = F.coalesce(F.sum(F.col("c") * F.col("c")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    x = vectors.join(rarity, "i").withColumn("rest", F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - before)))
-    first = reliable(x.where(F.col("rest") >= threshold - 1e-9).select("k", "i"))
-    a, b = first.alias("a"), first.alias("b")
-    met = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.k") < F.col("b.k"))).select(F.col("a.k").alias("u"), F.col("b.k").alias("v")).distinct()
-    one, two = vectors.select(F.col("k").alias("u"), "i", F.col("c").alias("cu")), vectors.select(F.col("k").alias("v"), "i", F.col("c").alias("cv"))
-    dots = met.join(one, "u").join(two, ["v", "i"]).groupBy("u", "v").agg(F.sum(F.col("cu") * F.col("cv")).alias("cosine"))
-    return dots.where(F.col("cosine") >= threshold - 1e-12)
+    """u < v and cosine of normalized vectors (k, i, c) with at least the threshold, exactly: as dense vectors, in blocks around pivots."""
+    size = vectors.agg(F.max("i").alias("n")).first()["n"]
+    of = vectors.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("m"))
+    whole = of.select(F.col("k").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(size or 0)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vector"))
+    between, members, _ = dense.pairs(dense.packed(whole), threshold)
+    return dense.expanded(between, members)
 
 
 def _with_cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from engramark.operators.graph import reliable
 
@@ -121,11 +122,9 @@ def _close(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray,
     return i[keep], j[keep], cosine[keep], len(i)
 
 
-def pairs(rows: DataFrame, threshold: float, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """((u, v, cosine), (id, class), counts): all pairs u < v of classes with at least the threshold, exactly, and every row's class.
+def _meetings(rows: DataFrame, threshold: float, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(blocks that meet, members): rows (id, n, _g, x, cell, one, other, side) of each meeting, and every row's class.
 
-    Only rows with equal values of the columns ``by`` meet, and null is one of them. A class is the rows of one vector, by its least id; expanded() makes pairs of rows.
-    counts has one row: classes, verified (pairs whose whole cosine was computed).
     Every vector belongs to its nearest pivot, by angle. One that is close to a vector
     of another pivot is not farther from that pivot than from its own by more than twice
     the threshold's angle, nor farther than the pivot's radius and that angle; only such
@@ -133,10 +132,9 @@ def pairs(rows: DataFrame, threshold: float, by: tuple[str, ...] = ()) -> tuple[
     task holds more than two, and dimensions are taken in the order of falling variance of the pivots.
     """
     spark = rows.sparkSession
-    key = rows.schema["id"].dataType
     group = F.xxhash64(*by) if by else F.lit(0).cast("long")
     rows = rows.withColumn("_g", group)
-    classes = reliable(rows.groupBy("_g", "x").agg(F.min("id").alias("id")))
+    classes = reliable(rows.groupBy("_g", "x").agg(F.min("id").alias("id"), F.count("*").alias("n")))
     n = classes.count()
     reach = math.acos(max(-1.0, min(1.0, threshold)))
     chosen = classes.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, max(1, -(-n // ROWS_PER_PIVOT)))).select("x").collect()
@@ -153,10 +151,10 @@ def pairs(rows: DataFrame, threshold: float, by: tuple[str, ...] = ()) -> tuple[
                 angles = np.arccos(np.clip(x @ pivots.T, -1, 1))
                 home = angles.argmin(1)
                 cells = [c.tobytes() for c in np.ascontiguousarray(x[:, turn])]
-                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(cells, pa.binary()), pa.array(home.astype(np.int32)), pa.array(angles.min(1)), pa.array([a.tobytes() for a in angles], pa.binary())], ["id", "_g", "x", "home", "angle", "angles"])
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(cells, pa.binary()), pa.array(home.astype(np.int32)), pa.array(angles.min(1)), pa.array([a.tobytes() for a in angles], pa.binary())], ["id", "n", "_g", "x", "home", "angle", "angles"])
 
-    kind = classes.select("id", "_g").schema.add("x", "binary").add("home", "integer").add("angle", "double").add("angles", "binary")
-    at_home = reliable(classes.select("x", "id", "_g").mapInArrow(placed, kind))
+    kind = classes.select("id", "n", "_g").schema.add("x", "binary").add("home", "integer").add("angle", "double").add("angles", "binary")
+    at_home = reliable(classes.select("x", "id", "n", "_g").mapInArrow(placed, kind))
     radius, size = np.full(len(centres), -np.inf), np.zeros(len(centres), int)
     for r in at_home.groupBy("home").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect():
         radius[r["home"]], size[r["home"]] = r["radius"], r["n"]
@@ -185,7 +183,7 @@ def pairs(rows: DataFrame, threshold: float, by: tuple[str, ...] = ()) -> tuple[
         for batch in batches:
             if not batch.num_rows:
                 continue
-            home, own, angles, h = batch.column(3).to_numpy(), batch.column(4).to_numpy(), matrix(batch.column(5)), batch.column(6).to_numpy()
+            home, own, angles, h = batch.column(4).to_numpy(), batch.column(5).to_numpy(), matrix(batch.column(6)), batch.column(7).to_numpy()
             guest = visited(angles, home, own)
             out: list[tuple] = []
             for k in range(batch.num_rows):
@@ -198,31 +196,74 @@ def pairs(rows: DataFrame, threshold: float, by: tuple[str, ...] = ()) -> tuple[
                     chunk = -1 - int((h[k] // 7919) % chunks[d])
                     out += [(k, int(d), t, chunk, 1) for t in range(blocks[d])]
             at, *cells = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in range(3)), *(pa.array(c, pa.int32()) for c in cells)], ["id", "_g", "x", "cell", "one", "other", "side"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in range(4)), *(pa.array(c, pa.int32()) for c in cells)], ["id", "n", "_g", "x", "cell", "one", "other", "side"])
+
+    meetings = at_home.withColumn("h", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 40))).mapInArrow(dealt, classes.select("id", "n", "_g").schema.add("x", "binary").add("cell", "integer").add("one", "integer").add("other", "integer").add("side", "integer"))
+
+    return meetings, rows.join(classes.withColumnRenamed("id", "class"), ["_g", "x"]).select("id", "class")
+
+
+def _met(pdf, threshold: float):
+    """(ids, sizes, row of one, row of the other, cosine, verified) of the close pairs of one meeting."""
+    side, x = pdf["side"].to_numpy(), matrix(pdf["x"])
+    same = pdf["one"].iloc[0] == pdf["other"].iloc[0]
+    a, b = (np.flatnonzero(side == 0),) * 2 if same else (np.flatnonzero(side == k) for k in (0, 1))
+    i, j, cosine, verified = _close(x[a], x[b], threshold)
+    if same:
+        keep = i < j
+        i, j, cosine, verified = i[keep], j[keep], cosine[keep], (verified - len(a)) // 2
+    return pdf["id"].to_numpy(), pdf["n"].to_numpy(), a[i], b[j], cosine, verified
+
+
+def pairs(rows: DataFrame, threshold: float, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((u, v, cosine), (id, class), counts): all pairs u < v of classes with at least the threshold, exactly, and every row's class.
 
-    meetings = at_home.withColumn("h", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 40))).mapInArrow(dealt, classes.select("id", "_g").schema.add("x", "binary").add("cell", "integer").add("one", "integer").add("other", "integer").add("side", "integer"))
+    Only rows with equal values of the columns ``by`` meet, and null is one of them. A class
+    is the rows of one vector, by its least id; expanded() makes pairs of rows. counts has one
+    row: verified, the pairs whose whole cosine was computed.
+    """
+    key = rows.schema["id"].dataType
+    meetings, members = _meetings(rows, threshold, by)
 
-    def met(pdf):
+    def run(pdf):
         import pandas as pd
 
-        ids, side, x = pdf["id"].to_numpy(), pdf["side"].to_numpy(), matrix(pdf["x"])
-        same = pdf["one"].iloc[0] == pdf["other"].iloc[0]
-        a, b = (np.flatnonzero(side == 0),) * 2 if same else (np.flatnonzero(side == k) for k in (0, 1))
-        i, j, cosine, verified = _close(x[a], x[b], threshold)
-        if same:
-            keep = i < j
-            i, j, cosine, verified = i[keep], j[keep], cosine[keep], (verified - len(a)) // 2
-        u, v = ids[a[i]], ids[b[j]]
+        ids, _, i, j, cosine, verified = _met(pdf, threshold)
+        u, v = ids[i], ids[j]
         swap = u > v
         # The last row has the count alone.
         ends = [pd.Series([*np.where(swap, x, y), None], dtype=object) for x, y in ((v, u), (u, v))]
         return pd.DataFrame({"u": ends[0], "v": ends[1], "cosine": [*cosine, 0.0], "verified": [0] * len(cosine) + [verified]})
 
-    schema = rows.select(F.col("id").alias("u")).schema.add("v", key).add("cosine", "double").add("verified", "long")
-    found = reliable(meetings.groupBy("_g", "cell", "one", "other").applyInPandas(met, schema))
-    between = found.where("u is not null").select("u", "v", "cosine")
-    counts = found.agg(F.lit(n).cast("long").alias("classes"), F.coalesce(F.sum("verified"), F.lit(0)).alias("verified"))
-    return between, rows.join(classes.withColumnRenamed("id", "class"), ["_g", "x"]).select("id", "class"), counts
+    schema = T.StructType().add("u", key).add("v", key).add("cosine", "double").add("verified", "long")
+    found = reliable(meetings.groupBy("_g", "cell", "one", "other").applyInPandas(run, schema))
+    counts = found.agg(F.coalesce(F.sum("verified"), F.lit(0)).alias("verified"))
+    return found.where("u is not null").select("u", "v", "cosine"), members, counts
+
+
+def links(rows: DataFrame, threshold: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(id, near, most): how many other rows have at least the threshold with each row, and the highest cosine; rows without any are left out.
+
+    As pairs(), but every meeting gives a row for each of its vectors, not for each pair.
+    """
+    meetings, members = _meetings(rows, threshold, by)
+
+    def run(pdf):
+        import pandas as pd
+
+        ids, sizes, i, j, cosine, _ = _met(pdf, threshold)
+        near, most = np.zeros(len(ids), np.int64), np.full(len(ids), -np.inf)
+        for a, b in ((i, j), (j, i)):
+            np.add.at(near, a, sizes[b])
+            np.maximum.at(most, a, cosine)
+        some = near > 0
+        return pd.DataFrame({"class": ids[some], "near": near[some], "most": most[some]})
+
+    schema = members.select("class").schema.add("near", "long").add("most", "double")
+    found = meetings.groupBy("_g", "cell", "one", "other").applyInPandas(run, schema)
+    own = members.groupBy("class").agg((F.count("*") - 1).alias("near")).where("near > 0").withColumn("most", F.lit(1.0))
+    of_class = found.unionByName(own).groupBy("class").agg(F.sum("near").alias("near"), F.max("most").alias("most"))
+    return members.join(of_class, "class").select("id", "near", "most")
 
 
 def expanded(between: DataFrame, members: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramark.functions import text
-from engramark.operators import canonical, metrics
+from engramark.operators import canonical, dense, metrics
 from engramark.sources.workloads import STUB_SQL, SURFACE_SQL, TOKENS_SQL, surface_forms, table
 
 
@@ -124,11 +124,10 @@ def collisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest(spark: SparkSession, d: str) -> DataFrame:
-    """The most similar other vector of every hundredth one, a stated query set against all rows."""
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    x = q.join(e, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(text.cosine("q", "embedding"), 6).alias("cos"))
-    return x.groupBy("query_id").agg(F.max_by("vec_id", F.struct("cos", -F.col("vec_id"))).alias("nearest"), F.max("cos").alias("cosine"))
+    """The most similar other vector of every hundredth one, a stated query set against all rows, in blocks of queries."""
+    rows = dense.packed(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    x = dense.nearest(rows.where("id % 100 = 0"), rows)
+    return x.select(F.col("query").alias("query_id"), F.col("id").alias("nearest"), F.col("cosine"))
 
 
 def centroids(spark: SparkSession, d: str) -> DataFrame:

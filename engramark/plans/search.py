@@ -12,7 +12,7 @@ from engramark.sources.workloads import table
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Cosine of vectors from which two count as near, and that of names by tokens and vectors together.
-NEAR = 0.3
+NEAR = 0.4
 HYBRID = 0.8
 TEMPLATE = "the relation type called {}"
 
@@ -37,11 +37,9 @@ def graph_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of vectors with a cosine of NEAR or more: every vector's number of such others and the most similar."""
-    between, members, _ = dense.pairs(_vectors(spark, d), NEAR)
-    x = dense.expanded(between, members).select("u", "v", F.round("cosine", 6).alias("cosine"))
-    both = x.union(x.select(F.col("v").alias("u"), F.col("u").alias("v"), "cosine"))
-    return both.groupBy(F.col("u").alias("vec_id")).agg(F.count("*").alias("near"), F.max("cosine").alias("most"))
+    """How many other vectors have a cosine of NEAR or more with each vector that has any, and the highest."""
+    x = dense.links(_vectors(spark, d), NEAR)
+    return x.select(F.col("id").alias("vec_id"), "near", F.round("most", 6).alias("most"))
 
 
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
