@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from engramark.functions import text
 from engramark.operators import mentions
 from engramark.sources.workloads import table
-from engramark.streaming import replay
+from engramark.streaming import replay, tombstones
 
 ALIASES = {"and": "AND", "the": "THE", "der": "DER"}
 ENTITIES = {"the": ("the", "that"), "of": ("of", "for"), "und": ("und", "der")}
@@ -60,11 +60,40 @@ def stream_daily(spark: SparkSession, d: str) -> DataFrame:
     return x.select(F.floor(F.unix_seconds(F.col("window.start")) / 86400).alias("day"), "event_type", "n")
 
 
-QUERIES = {f.__name__: f for f in (mention_map, one_entity, name_spans, message_roles, answer_lists, json_attributes, score_functions, stream_state, stream_daily)}
+#: Seconds for which a purchase counts as a tombstone of its user.
+TTL = 6 * 3600
+
+
+def _touched(spark: SparkSession, d: str) -> DataFrame:
+    """The stream of events: a purchase collects its user, a view asks for it."""
+    x = replay.event_stream(spark, f"{d}/events.parquet").where("event_type in ('purchase', 'view')")
+    return x.select(F.col("user_id").cast("string").alias("node_id"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "purchase", "collect").otherwise("query").alias("op"), F.col("props").alias("superseded_by"), "event_id")
+
+
+def stream_tombstones(spark: SparkSession, d: str) -> DataFrame:
+    """Hits and evictions of tombstones that live for TTL, by a stateful stream with timers, up to its watermark."""
+    return tombstones.appended(tombstones.lifetimes(_touched(spark, d), TTL)).select("node_id", "kind", "collected_ms", "at_ms")
+
+
+def stream_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Every view with the purchases of its user in the TTL before it, by a join of two streams."""
+    asked = _touched(spark, d).where("op = 'query'").select("node_id", F.col("at").alias("asked_at"), F.col("event_id").alias("view"))
+    kept = _touched(spark, d).where("op = 'collect'").select("node_id", F.col("at").alias("collected_at"), F.col("event_id").alias("purchase"))
+    return tombstones.appended(tombstones.interval_hits(asked, kept, TTL)).select("view", "purchase")
+
+
+QUERIES = {f.__name__: f for f in (mention_map, one_entity, name_spans, message_roles, answer_lists, json_attributes, score_functions, stream_state, stream_daily, stream_tombstones, stream_hits)}
 
 _HIT = " + ".join(f"CASE WHEN regexp_matches(lower(text), '{'|'.join(chr(92) + 'b' + a + chr(92) + 'b' for a in xs)}') THEN 1 ELSE 0 END" for xs in ENTITIES.values())
 _WHICH = " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(chr(92) + 'b' + a + chr(92) + 'b' for a in xs)}') THEN '{c}'" for c, xs in ENTITIES.items())
+_TOUCHED = "tc AS (SELECT CAST(user_id AS VARCHAR) AS node_id, epoch_ms(ts) AS at_ms, ts, CASE event_type WHEN 'purchase' THEN 'collect' ELSE 'query' END AS op, event_id FROM events WHERE event_type IN ('purchase', 'view'))"
 SQL = {
+    "stream_tombstones": f"""WITH {_TOUCHED}, w AS (SELECT max(at_ms) - 3600000 AS until FROM tc),
+y AS (SELECT *, last_value(CASE WHEN op = 'collect' THEN at_ms END IGNORE NULLS) OVER (PARTITION BY node_id ORDER BY at_ms, op ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c,
+  first_value(CASE WHEN op = 'collect' THEN at_ms END IGNORE NULLS) OVER (PARTITION BY node_id ORDER BY at_ms, op ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM tc)
+SELECT node_id, 'hit' AS kind, c AS collected_ms, at_ms FROM y WHERE op = 'query' AND at_ms - c <= {TTL * 1000}
+UNION ALL SELECT node_id, 'evicted', at_ms, at_ms + {TTL * 1000} FROM y, w WHERE op = 'collect' AND (nx - at_ms > {TTL * 1000} OR (nx IS NULL AND at_ms + {TTL * 1000} < until))""",
+    "stream_hits": f"WITH {_TOUCHED} SELECT q.event_id AS view, t.event_id AS purchase FROM tc q JOIN tc t ON q.node_id = t.node_id AND q.op = 'query' AND t.op = 'collect' AND q.ts >= t.ts AND q.ts <= t.ts + INTERVAL {TTL} SECOND",
     "mention_map": "SELECT conv_id, turn, sha256(replace(replace(replace(text, 'and', 'AND'), 'the', 'THE'), 'der', 'DER')) AS sha256 FROM conversations",
     "one_entity": f"SELECT entity, count(*) AS n FROM (SELECT CASE WHEN {_HIT} = 1 THEN CASE {_WHICH} END END AS entity FROM conversations) GROUP BY entity",
     "message_roles": "SELECT conv_id, CAST(count(*) AS INT) AS turns, sha256(string_agg(role || '=' || coalesce('> ' || text, ''), chr(10) ORDER BY turn, role, text)) AS sha256 FROM conversations GROUP BY conv_id",
