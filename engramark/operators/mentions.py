@@ -3,43 +3,28 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from engramark.operators import automaton
+
 # Patterns of names and acronyms.
 TITLE = re.compile(r"(?:[A-Z][a-z]+(?:\s+(?:of|the|de|von|van))?\s+)*[A-Z][a-z]+(?:\s+Inc\.?|\s+Corp\.?|\s+Co\.?|\s+Ltd\.?)?")
 ACRONYM = re.compile(r"\b[A-Z]{2,6}\b")
 
 
-def _mapped(df: DataFrame, column: str, out: str, kind: str | T.DataType, arrow: pa.DataType, f) -> DataFrame:
-    """``df`` with f of a string column added; nulls stay null."""
-    at = df.columns.index(column)
-    names = [*df.columns, out]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [None if x is None else f(x) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, arrow)], names)
-
-    return df.mapInArrow(run, df.select("*").schema.add(out, kind))
-
-
 def substituted(df: DataFrame, column: str, aliases: dict[str, str], bounded: bool = False) -> DataFrame:
     """Adds normalized: every alias replaced by its canonical form in one pass, longest first; inside words too unless ``bounded``."""
-    if not aliases:
-        return df.withColumn("normalized", F.col(column))
-    either = "|".join(re.escape(a) for a in sorted(aliases, key=lambda a: (-len(a), a)))
-    pattern = re.compile(rf"\b(?:{either})\b" if bounded else either)
-    return _mapped(df, column, "normalized", "string", pa.string(), lambda x: pattern.sub(lambda m: aliases[m[0]], x))
+    return automaton.substituted(df, column, aliases, bounded)
 
 
-def spans(text: str, allowed: tuple[str, ...] = ()) -> list[dict]:
-    """Names in a text: listed ones before capitalised runs before acronyms; of overlapping ones the first stays, at one start the more important, then the longer."""
-    found = [(m.start(), -2, -len(a), m.end()) for a in allowed if a for m in re.finditer(rf"\b{re.escape(a)}\b", text)]
+def spans(text: str, allowed: tuple[str, ...] | automaton.Automaton = ()) -> list[dict]:
+    """Names in a text: listed ones, given as such or as their automaton, before capitalised runs before acronyms; of overlapping ones the first stays, at one start the more important, then the longer."""
+    listed = allowed if isinstance(allowed, automaton.Automaton) else automaton.Automaton(allowed)
+    found = [(a, -2, a - b, b) for a, b in listed.by_alias(text, bounded=True)]
     found += [(m.start(), -1, m.start() - m.end(), m.end()) for m in TITLE.finditer(text)]
     found += [(m.start(), 0, m.start() - m.end(), m.end()) for m in ACRONYM.finditer(text)]
     kept, last = [], 0
@@ -53,7 +38,8 @@ def spans(text: str, allowed: tuple[str, ...] = ()) -> list[dict]:
 def named(df: DataFrame, column: str, allowed: tuple[str, ...] = ()) -> DataFrame:
     """Adds spans: array of (start, end, surface)."""
     arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("surface", pa.string())]))
-    return _mapped(df, column, "spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("surface", "string")), arrow, lambda x: spans(x, allowed))
+    kind = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("surface", "string"))
+    return automaton.mapped(df, column, "spans", kind, arrow, [*allowed], lambda listed, x: spans(x, listed))
 
 
 def spliced(text: str, found: str, canonical: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramark.functions import text
-from engramark.operators import mentions
+from engramark.operators import automaton, mentions
 from engramark.sources.workloads import table
 from engramark.streaming import replay, tombstones
 
@@ -19,6 +19,13 @@ def mention_map(spark: SparkSession, d: str) -> DataFrame:
     return x.select("conv_id", "turn", F.sha2("normalized", 256).alias("sha256"))
 
 
+def alias_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of the turns with every word of the benchmark of four letters or more put in brackets wherever it stands, by one automaton."""
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("alias"))
+    x = automaton.substituted(table(spark, d, "conversations").select("conv_id", "turn", "text"), "text", {a: f"[{a}]" for a in automaton.known(words)})
+    return x.select("conv_id", "turn", F.sha2("normalized", 256).alias("sha256"))
+
+
 def one_entity(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "conversations").withColumn("entity", mentions.single_entity(F.col("text"), ENTITIES))
     return x.groupBy("entity").agg(F.count("*").alias("n"))
@@ -82,7 +89,7 @@ def stream_hits(spark: SparkSession, d: str) -> DataFrame:
     return tombstones.appended(tombstones.interval_hits(asked, kept, TTL)).select("view", "purchase")
 
 
-QUERIES = {f.__name__: f for f in (mention_map, one_entity, name_spans, message_roles, answer_lists, json_attributes, score_functions, stream_state, stream_daily, stream_tombstones, stream_hits)}
+QUERIES = {f.__name__: f for f in (mention_map, alias_texts, one_entity, name_spans, message_roles, answer_lists, json_attributes, score_functions, stream_state, stream_daily, stream_tombstones, stream_hits)}
 
 _HIT = " + ".join(f"CASE WHEN regexp_matches(lower(text), '{'|'.join(chr(92) + 'b' + a + chr(92) + 'b' for a in xs)}') THEN 1 ELSE 0 END" for xs in ENTITIES.values())
 _WHICH = " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(chr(92) + 'b' + a + chr(92) + 'b' for a in xs)}') THEN '{c}'" for c, xs in ENTITIES.items())
@@ -94,6 +101,8 @@ y AS (SELECT *, last_value(CASE WHEN op = 'collect' THEN at_ms END IGNORE NULLS)
 SELECT node_id, 'hit' AS kind, c AS collected_ms, at_ms FROM y WHERE op = 'query' AND at_ms - c <= {TTL * 1000}
 UNION ALL SELECT node_id, 'evicted', at_ms, at_ms + {TTL * 1000} FROM y, w WHERE op = 'collect' AND (nx - at_ms > {TTL * 1000} OR (nx IS NULL AND at_ms + {TTL * 1000} < until))""",
     "stream_hits": f"WITH {_TOUCHED} SELECT q.event_id AS view, t.event_id AS purchase FROM tc q JOIN tc t ON q.node_id = t.node_id AND q.op = 'query' AND t.op = 'collect' AND q.ts >= t.ts AND q.ts <= t.ts + INTERVAL {TTL} SECOND",
+    "alias_texts": r"""WITH w AS (SELECT string_agg(a, '|' ORDER BY length(a) DESC, a) AS p FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS a FROM benchmark))
+SELECT conv_id, turn, sha256(regexp_replace(text, '(' || p || ')', '[\1]', 'g')) AS sha256 FROM conversations, w""",
     "mention_map": "SELECT conv_id, turn, sha256(replace(replace(replace(text, 'and', 'AND'), 'the', 'THE'), 'der', 'DER')) AS sha256 FROM conversations",
     "one_entity": f"SELECT entity, count(*) AS n FROM (SELECT CASE WHEN {_HIT} = 1 THEN CASE {_WHICH} END END AS entity FROM conversations) GROUP BY entity",
     "message_roles": "SELECT conv_id, CAST(count(*) AS INT) AS turns, sha256(string_agg(role || '=' || coalesce('> ' || text, ''), chr(10) ORDER BY turn, role, text)) AS sha256 FROM conversations GROUP BY conv_id",
