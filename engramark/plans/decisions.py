@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engramark.operators import gates
+from engramark.operators import gates, postings
 from engramark.plans import simulation
 from engramark.sources.workloads import table
 
@@ -54,7 +54,15 @@ def keyword_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return found.select("question", "p_partkey", first.alias("r")).where(F.col("r") <= TOP)
 
 
-QUERIES = {f.__name__: f for f in (tool_gates, prompt_gates, policy_gates, recovery_gates, keyword_retrieval)}
+def indexed_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """The first TOP turns that hold a content word of each benchmark item, by the positional index; turns come by conversation and turn."""
+    c = table(spark, d, "conversations")
+    texts = c.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("id"), (F.col("conv_id") * 100_000 + F.col("turn")).alias("seq"), "text").groupBy("id", "seq").agg(F.min("text").alias("text"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("question"), F.col("text").alias("body"))
+    return postings.retrieved(items, texts, tuple(STOPWORDS), TOP).select("question", F.col("id").alias("turn_id"), "r")
+
+
+QUERIES = {f.__name__: f for f in (indexed_retrieval, tool_gates, prompt_gates, policy_gates, recovery_gates, keyword_retrieval)}
 
 
 def _unpivot(keys: str, columns: dict[str, tuple[str, str]], source: str) -> str:
@@ -65,6 +73,10 @@ def _unpivot(keys: str, columns: dict[str, tuple[str, str]], source: str) -> str
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _QUESTIONS = ", ".join(f"({k}, '{q}')" for k, q in enumerate(QUESTIONS))
 SQL = {
+    "indexed_retrieval": f"""WITH t AS (SELECT conv_id * 100000 + turn AS id, lower(min(text)) AS body FROM conversations GROUP BY 1),
+w AS (SELECT DISTINCT item_id, word FROM (SELECT item_id, unnest(string_split_regex(lower(text), '\\s+')) AS word FROM benchmark) WHERE length(word) > 1 AND word NOT IN ({_STOP})),
+h AS (SELECT DISTINCT item_id, id FROM w JOIN t ON contains(body, word))
+SELECT item_id AS question, id AS turn_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY id) AS INT) AS r FROM h QUALIFY r <= {TOP}""",
     "tool_gates": f"WITH r AS ({simulation.SQL['tool_choice']}), x AS (SELECT r.*, 100 * (r.expected - b.expected) AS lift, r.p99 / b.p99 AS slow FROM r, r b WHERE b.tools = 'all') "
     + _unpivot("tools", {"UC-TOOL-1": ("lift", ">="), "UC-TOOL-2": ("precision_pct", ">="), "UC-TOOL-3": ("recall_pct", ">="), "UC-TOOL-4": ("slow", "<=")}, "x"),
     "prompt_gates": f"""WITH r AS ({simulation.SQL['prompts']}), x AS (
