@@ -44,12 +44,13 @@ def classes(inputs: DataFrame, weights: tuple[float, float]) -> DataFrame:
     return x.withColumn("own", own).withColumn("class", F.sha2(F.to_json(F.struct("source_id", "bag", "v")), 256))
 
 
-def near_classes(kinds: DataFrame, threshold: float, weights: tuple[float, float], index: str) -> DataFrame:
+def near_classes(kinds: DataFrame, threshold: float, weights: tuple[float, float], index: str, fresh: DataFrame | None = None) -> DataFrame:
     """(a, b, cosine), both ways: classes (source_id, class, bag, v, own) of one source with at least the threshold.
 
     The joined cosine is a weighted mean of the parts' cosines, so that one of the parts
     reaches the threshold, or the tokens a lower one if the vectors can't make up for it.
-    ``index`` is exact, or graph, which takes the vectors' pairs from a graph index.
+    ``index`` is exact, or graph, which takes the vectors' pairs from a graph index. With
+    ``fresh`` (k) only pairs are looked for of which one class is fresh.
     """
     by_tokens, by_vector = weights[0] ** 2, weights[1] ** 2
     length = F.sqrt(F.aggregate("bag", F.lit(0.0), lambda s, e: s + e["w"] * e["w"]))
@@ -58,7 +59,7 @@ def near_classes(kinds: DataFrame, threshold: float, weights: tuple[float, float
     vectors = dense.packed(kinds.where("v is not null").select(F.col("class").alias("id"), F.col("v").alias("vector"))) if by_vector else None
     enough = (threshold * (by_tokens + by_vector) - by_vector) / by_tokens if by_tokens else 0.0
     tokens_decide = by_tokens > 0 and enough > 0.2 and (by_vector / (by_tokens + by_vector)) ** 0.5 < threshold
-    found = sparse.candidates(bags, enough if tokens_decide else threshold, ("source_id",)).select("u", "v") if by_tokens else None
+    found = sparse.candidates(bags, enough if tokens_decide else threshold, ("source_id",), fresh).select("u", "v") if by_tokens else None
     if by_vector:
         # Where tokens decide, only classes without any are near by their vectors alone.
         some = vectors.join(kinds.where(F.size("bag") == 0).select(F.col("class").alias("id")), "id", "left_semi") if tokens_decide else vectors
@@ -86,24 +87,28 @@ def _linked(rows: DataFrame) -> DataFrame:
     return links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def leader_labels(forms: DataFrame, threshold: float = 0.7, guarded: bool = True, weights: tuple[float, float] = (1.0, 0.0), index: str = "exact") -> DataFrame:
+def leader_labels(forms: DataFrame, threshold: float = 0.7, guarded: bool = True, weights: tuple[float, float] = (1.0, 0.0), index: str = "exact", leaders: DataFrame | None = None) -> DataFrame:
     """forms (seq, source_id, input, and vector where it has a weight) with label: the labels of going through each source's inputs by seq.
 
     Nearness is as in canonical.leader_clusters(). An input without tokens and vector is
     a label of its own. Of equal inputs the first counts. A round is a few joins; the rounds end
     when a bounded rest is open, so that a long chain of inputs each of which waits
-    for the one before doesn't make as many rounds.
+    for the one before doesn't make as many rounds. ``leaders`` (the columns of forms) are
+    labels that earlier inputs have become, all before the forms and none of them among them.
     """
     extra = [F.min_by("vector", "seq").alias("vector")] if weights[1] > 0 else []
-    inputs = forms.groupBy("source_id", "input").agg(F.min("seq").alias("seq"), *extra)
-    placed = reliable(classes(inputs, weights).select("source_id", "input", "seq", "class", "bag", "v", "own"))
+    inputs = forms.groupBy("source_id", "input").agg(F.min("seq").alias("seq"), *extra).withColumn("led", F.lit(False))
+    if leaders is not None:
+        inputs = inputs.unionByName(leaders.select(*inputs.columns[:-1]).withColumn("led", F.lit(True)))
+    placed = reliable(classes(inputs, weights).select("source_id", "input", "seq", "class", "bag", "v", "own", "led"))
     kinds = placed.groupBy("class").agg(F.first("source_id").alias("source_id"), F.first("bag").alias("bag"), F.first("v").alias("v"), F.first("own").alias("own"))
-    near = near_classes(kinds.where("own > 0"), threshold, weights, index)
+    fresh = None if leaders is None else placed.where("not led").select(F.col("class").alias("k")).distinct()
+    near = near_classes(kinds.where("own > 0"), threshold, weights, index, fresh)
     itself = kinds.where("own > 0").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("cosine"))
     links = reliable(near.union(itself)) if threshold <= 1 else reliable(near)
-    settled = placed.where("own = 0").select("source_id", "input", F.col("input").alias("label"))
-    open_ = reliable(placed.where("own > 0").select("source_id", "input", "seq", "class"))
-    leads = open_.where("false").select("class", F.col("seq").alias("lead"), F.col("input").alias("leader"))
+    settled = placed.where("own = 0 and not led").select("source_id", "input", F.col("input").alias("label"))
+    open_ = reliable(placed.where("own > 0 and not led").select("source_id", "input", "seq", "class"))
+    leads = reliable(placed.where("own > 0 and led").groupBy("class").agg(F.min("seq").alias("lead"), F.min_by("input", "seq").alias("leader")))
     done = [settled]
     while (n := open_.count()) > LAST_INPUTS or (n and _links_of(open_, links).limit(LAST_LINKS + 1).count() > LAST_LINKS):
         fresh, open_, leads = _round(open_, leads, links, guarded)

@@ -23,17 +23,22 @@ def keys(writes: DataFrame) -> DataFrame:
     return x.withColumn("k", F.concat_ws("::", "source_id", "label"))
 
 
-def alias_pairs(writes: DataFrame, min_aliases: int) -> DataFrame:
-    """u, v, common and jaccard of keys of different sources that share an alias, the earlier one first.
+def alias_pairs(writes: DataFrame, min_aliases: int, touched: DataFrame | None = None) -> DataFrame:
+    """u, v, common and jaccard of keys of different sources that share an alias, the earlier one first; with ``touched`` (k) those of which one is touched.
 
     Pairs come from an equi-join on aliases; one that very many keys have makes as many
     pairs as it stands for.
     """
     big = keys(writes).where(F.col("n") >= min_aliases)
     alias = writes.select("source_id", "label", "input").distinct().join(big, ["source_id", "label"])
+    if touched is not None:
+        # Only aliases of a touched key are joined, and of those that meet one has to be touched.
+        alias = alias.join(touched.select("k", F.lit(True).alias("new")), "k", "left")
+        alias = alias.join(alias.where("new").select("input").distinct(), "input", "left_semi")
     a, b = alias.alias("a"), alias.alias("b")
     earlier = (F.col("a.place") < F.col("b.place")) | ((F.col("a.place") == F.col("b.place")) & (F.col("a.k") < F.col("b.k")))
-    met = a.join(b, (F.col("a.input") == F.col("b.input")) & (F.col("a.source_id") != F.col("b.source_id")) & earlier)
+    on = (F.col("a.input") == F.col("b.input")) & (F.col("a.source_id") != F.col("b.source_id")) & earlier
+    met = a.join(b, on if touched is None else on & (F.col("a.new") | F.col("b.new")))
     x = met.groupBy(F.col("a.k").alias("u"), F.col("b.k").alias("v"), F.col("a.place").alias("pu"), F.col("b.place").alias("pv"), F.col("a.n").alias("nu"), F.col("b.n").alias("nv")).agg(F.count("*").alias("common"))
     return x.withColumn("jaccard", F.col("common") / (F.col("nu") + F.col("nv") - F.col("common")))
 
@@ -61,14 +66,21 @@ def _with_cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return pairs.join(dots, ["u", "v"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
 
 
-def judged_pairs(writes: DataFrame, rule: str, jaccard: float = JACCARD, cosine: float = COSINE, min_aliases: int = MIN_ALIASES, min_overlap: int = MIN_OVERLAP) -> DataFrame:
+def judged_pairs(writes: DataFrame, rule: str, jaccard: float = JACCARD, cosine: float = COSINE, min_aliases: int = MIN_ALIASES, min_overlap: int = MIN_OVERLAP, touched: DataFrame | None = None) -> DataFrame:
     """u, v, pu, pv and reason of pairs of keys of at least ``min_aliases`` aliases, of different sources, that the rule looks at.
 
     Rule any takes jaccard_only, cosine_only and both; rule all takes and_passed, and gives
-    the other reasons of pairs with ``min_overlap`` common aliases.
+    the other reasons of pairs with ``min_overlap`` common aliases. Rule all can be confined to
+    pairs of which one key is ``touched`` (k).
     """
+    if touched is not None and rule != "all":
+        raise ValueError("only rule all can be confined to touched keys")
+    shared = alias_pairs(writes, min_aliases, touched)
+    if touched is not None:
+        shared = reliable(shared)
+        ends = shared.select(F.col("u").alias("k")).union(shared.select("v")).distinct()
+        writes = writes.join(ends, F.concat_ws("::", "source_id", "label") == ends["k"], "left_semi")
     vectors = reliable(centroids(writes))
-    shared = alias_pairs(writes, min_aliases)
     if rule == "all":
         x = _with_cosine(shared.where(F.col("common") >= min_overlap), vectors)
         j, c = F.col("jaccard") >= jaccard, F.col("cosine") >= cosine - 1e-12
@@ -201,25 +213,44 @@ def eager(writes: DataFrame, jaccard: float = JACCARD, min_aliases: int = MIN_AL
 
 
 class Normalizer:
-    """Labels for writes (seq, source_id, input), which it remembers as tables; consolidate() merges labels across sources."""
+    """Labels for writes (seq, source_id, input), which it remembers as tables; consolidate() merges labels across sources.
+
+    Both go by what is new: a batch is clustered against the labels that there are, and
+    a consolidation judges the pairs of keys that were written to since the last, and makes anew only the
+    classes that such keys or pairs belong to. Writes come in the order of seq.
+    """
 
     def __init__(self, spark, threshold: float = 0.7, rule: str = "all") -> None:
         self.spark, self.threshold, self.rule = spark, threshold, rule
         self.writes: DataFrame | None = None
         self.names: DataFrame | None = None
+        self.edges: DataFrame | None = None
+        self.known: DataFrame | None = None
+        self.leaders: DataFrame | None = None
+        self.done = -1
         self.since_last = 0
         self.last: dict | None = None
+        #: Keys whose class the last consolidation made anew.
+        self.renamed = 0
 
     def normalize(self, writes: DataFrame) -> DataFrame:
         """The writes with label, each by what its source wrote before, and name, the consolidated one where there is one."""
-        from engramark.operators.canonical import leader_clusters
-
-        new = writes.select("seq", "source_id", "input")
-        every = new if self.writes is None else self.writes.unionByName(new)
-        self.writes = reliable(every)
-        self.since_last += new.count()
-        labels = leader_clusters(self.writes, self.threshold)
-        x = labels.join(new.select("seq"), "seq", "left_semi").withColumn("own", F.concat_ws("::", "source_id", "label"))
+        from engramark.operators.clusters import leader_labels
+
+        new = reliable(writes.select("seq", "source_id", "input"))
+        if self.known is None:
+            open_ = new
+        else:
+            open_ = new.join(self.known, ["source_id", "input"], "left_anti")
+        found = reliable(leader_labels(open_, self.threshold, leaders=self.leaders))
+        fresh = found.select("source_id", "input", "label").distinct()
+        leaders = found.where("input = label").groupBy("source_id", "input").agg(F.min("seq").alias("seq"))
+        self.known = reliable(fresh if self.known is None else self.known.unionByName(fresh))
+        self.leaders = reliable(leaders if self.leaders is None else self.leaders.unionByName(leaders))
+        x = reliable(new.join(self.known, ["source_id", "input"]))
+        self.writes = x if self.writes is None else self.writes.unionByName(x)
+        self.since_last += x.count()
+        x = x.withColumn("own", F.concat_ws("::", "source_id", "label"))
         if self.names is None:
             return x.withColumn("name", F.col("own")).drop("own")
         return x.join(self.names.select("source_id", "label", "merged"), ["source_id", "label"], "left").withColumn("name", F.coalesce("merged", "own")).drop("own", "merged")
@@ -232,19 +263,40 @@ class Normalizer:
         return self.since_last >= min_writes
 
     def consolidate(self) -> dict:
-        """Merges over all writes so far; how many keys, edges and classes there are."""
-        from engramark.operators.canonical import leader_clusters
-
+        """Merges over all writes so far; how many keys and merged ones there are."""
         if self.writes is None:
             return {"keys": 0, "merged": 0}
-        labels = leader_clusters(self.writes, self.threshold)
+        self.writes = reliable(self.writes)
         spread = F.array_sort(F.transform(_token_buckets(), lambda b: b))
-        labels = labels.withColumn("vector", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.size(F.filter(spread, lambda b: b == i)).cast("double")))
-        self.names = reliable(merged(labels, judged_pairs(labels, self.rule)))
+        labels = self.writes.withColumn("vector", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.size(F.filter(spread, lambda b: b == i)).cast("double")))
+        if self.names is None or self.rule != "all":
+            self.edges = reliable(judged_pairs(labels, self.rule))
+            self.names = reliable(merged(labels, self.edges))
+            self.renamed = self.names.count()
+        elif self.since_last:
+            self._renew(labels)
+        self.done = self.writes.agg(F.max("seq")).first()[0]
         self.since_last = 0
         self.last = self.names.agg(F.count("*").alias("keys"), F.count_if(F.startswith("merged", F.lit("merged::"))).alias("merged")).first().asDict()
         return self.last
 
+    def _renew(self, labels: DataFrame) -> None:
+        """Judges the pairs of touched keys anew, and names the classes that held a touched key, or that a new pair joins."""
+        key = F.concat_ws("::", "source_id", "label").alias("k")
+        touched = reliable(labels.where(F.col("seq") > self.done).select(key).distinct())
+        fresh = reliable(judged_pairs(labels, self.rule, touched=touched))
+        old = self.edges.join(touched.withColumnRenamed("k", "u"), "u", "left_anti").join(touched.withColumnRenamed("k", "v"), "v", "left_anti")
+        self.edges = reliable(old.select(*fresh.columns).unionByName(fresh))
+        ends = touched.union(fresh.select("u")).union(fresh.select("v")).distinct()
+        classes = self.names.join(ends, "k", "left_semi").select("merged").distinct()
+        # Classes of one name are made anew together: a name tells a label, not a class.
+        affected = reliable(self.names.join(classes, "merged", "left_semi").select("k").union(ends).distinct())
+        inside = self.edges.join(affected.withColumnRenamed("k", "u"), "u", "left_semi").join(affected.withColumnRenamed("k", "v"), "v", "left_semi")
+        mine = labels.join(affected, key == affected["k"], "left_semi")
+        again = merged(mine, inside)
+        self.names = reliable(self.names.join(affected, "k", "left_anti").select(*again.columns).unionByName(again))
+        self.renamed = affected.count()
+
 
 def _token_buckets() -> Column:
     from engramark.functions import text

@@ -12,8 +12,8 @@ LEVELS = 64
 SLACK = 1e-9
 
 
-def candidates(vectors: DataFrame, threshold: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """u < v: pairs that may reach the threshold, of normalized vectors with equal columns ``by``; each once.
+def candidates(vectors: DataFrame, threshold: float, by: tuple[str, ...] = (), fresh: DataFrame | None = None) -> DataFrame:
+    """u < v: pairs that may reach the threshold, of normalized vectors with equal columns ``by``; each once. With ``fresh`` (k) only those of which one is fresh.
 
     Dimensions are ordered by how many vectors have them, the rare first. Of two near
     vectors what is left from the first shared dimension on, in that order, is in both
@@ -29,9 +29,13 @@ def candidates(vectors: DataFrame, threshold: float, by: tuple[str, ...] = ()) -
     level = F.least(F.lit(LEVELS), F.floor(F.col("rest") * LEVELS + SLACK)).cast("int")
     first = reliable(x.select(*by, "i", "k", "rest", level.alias("level")))
     needed = F.greatest(F.lit(0), F.floor(LEVELS * (threshold - 2 * SLACK) / F.col("rest"))).cast("int")
-    # Both meet the other's level; a pair is made where the one that sorts first looks for the other.
-    seeking = first.where(needed <= LEVELS).select(*by, "i", F.col("k").alias("u"), F.explode(F.sequence(needed, F.lit(LEVELS))).alias("level"))
-    return seeking.join(first.select(*by, "i", F.col("k").alias("v"), "level"), [*by, "i", "level"]).where("u < v").select(*by, "u", "v").distinct()
+    # Of two near vectors each has a level that the other needs, so that it is enough for one of them to look for the other.
+    looking = first.where(needed <= LEVELS) if fresh is None else first.where(needed <= LEVELS).join(fresh.select("k").distinct(), "k", "left_semi")
+    seeking = looking.select(*by, "i", F.col("k").alias("u"), F.explode(F.sequence(needed, F.lit(LEVELS))).alias("level"))
+    met = seeking.join(first.select(*by, "i", F.col("k").alias("v"), "level"), [*by, "i", "level"])
+    if fresh is None:
+        return met.where("u < v").select(*by, "u", "v").distinct()
+    return met.where("u <> v").select(*by, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def dots(pairs: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from engramark.operators import canonical, consensus
 from engramark.functions import text
@@ -213,3 +214,26 @@ def test_normalizer_and_cadence(spark):
     known = spark.createDataFrame([("rr", "red ring")], "alias string, canonical string")
     seeded = canonical.pre_seeded(spark.createDataFrame([(0, "a", "rr"), (1, "a", "RedRing"), (2, "a", "anvil")], "seq long, source_id string, input string"), known)
     assert {x["seq"]: x["label"] for x in seeded.collect()} == {0: "red ring", 1: "red ring", 2: "anvil"}
+
+
+def test_normalizer_goes_by_what_is_new(spark):
+    """After each batch: the labels of going through all writes, and the names of consolidating all of them, with only some classes made anew."""
+    r = random.Random(13)
+    nouns = ["ring", "bolt", "gear", "plate", "rod"]
+    rows = [(k, f"s{r.randrange(3)}", r.choice((" ".join, "_".join))([r.choice(("red", "Red", "big")), r.choice(nouns[: 2 + k // 12])]) + r.choice(("", " x", " x y"))) for k in range(48)]
+    normalizer = consensus.Normalizer(spark)
+    renamed = []
+    for start in range(0, 48, 16):
+        normalizer.normalize(spark.createDataFrame(rows[start : start + 16], "seq long, source_id string, input string"))
+        normalizer.consolidate()
+        whole = spark.createDataFrame(rows[: start + 16], "seq long, source_id string, input string")
+        labels = canonical.leader_clusters(whole, 0.7)
+        key = lambda df, *c: sorted(tuple(x[k] for k in c) for x in df.collect())
+        assert key(normalizer.writes, "seq", "label") == key(labels, "seq", "label")
+        buckets = F.transform(text.tokens("input"), lambda t: text.token_bucket(t) % 256)
+        vector = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
+        labels = labels.withColumn("vector", vector)
+        full = consensus.merged(labels, consensus.judged_pairs(labels, "all"))
+        assert key(normalizer.names, "source_id", "label", "merged") == key(full, "source_id", "label", "merged")
+        renamed.append((normalizer.renamed, full.count()))
+    assert renamed[-1][0] < renamed[-1][1]
