@@ -132,6 +132,15 @@ def eligible_pairs(writes: DataFrame, min_aliases: int) -> DataFrame:
     return of.agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
 
 
+def reason_counts(writes: DataFrame, jaccard: float = JACCARD, cosine: float = COSINE, min_aliases: int = MIN_ALIASES, min_overlap: int = MIN_OVERLAP) -> DataFrame:
+    """reason and n of rule all over all eligible pairs: those with fewer than ``min_overlap`` common aliases are the rest of the number of all, so that they are never made."""
+    judged = judged_pairs(writes, "all", jaccard, cosine, min_aliases, min_overlap).groupBy("reason").agg(F.count("*").alias("n"))
+    judged = reliable(judged)
+    looked_at = judged.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    rest = eligible_pairs(writes, min_aliases).crossJoin(looked_at).select(F.lit("blocked_overlap_below_min").alias("reason"), (F.coalesce("pairs", F.lit(0)).cast("long") - F.col("n")).alias("n"))
+    return judged.unionByName(rest.where("n > 0"))
+
+
 def adaptive(writes: DataFrame, jaccard: float = JACCARD, cosine: float = COSINE) -> tuple[DataFrame, dict]:
     """Rule all with the settings that the density of strong pairs asks for, and what was chosen."""
     strong = judged_pairs(writes, "all", jaccard, cosine).where("reason = 'and_passed'").count()

@@ -31,8 +31,25 @@ def below(gate: str, value: Column) -> Column:
 
 
 def shown(value: Column, places: int) -> Column:
-    """Rounded half to even, as values are shown."""
-    return F.bround(value.cast("double"), places)
+    """Rounded half to even as values are shown: it is the exact binary value that is rounded, so that 2.675, which is a little less, gives 2.67.
+
+    The product with 10**places is split into what a double holds of it and the exact rest
+    (both factors cut into halves whose products are exact), and the rest decides what
+    looks like a half.
+    """
+    scale, cut = float(10**places), float((1 << 27) + 1)
+    x = F.abs(value.cast("double"))
+    whole = x * scale
+    x_high = x * cut - (x * cut - x)
+    s_high = scale * cut - (scale * cut - scale)
+    x_low, s_low = x - x_high, scale - s_high
+    rest = ((x_high * s_high - whole) + x_high * s_low + x_low * s_high) + x_low * s_low
+    down = F.floor(whole)
+    over = whole - down
+    up = (over > 0.5) | ((over == 0.5) & ((rest > 0) | ((rest == 0) & (down % 2 == 1))))
+    found = (down + up.cast("long")).cast("double") / scale
+    # From 2**52 on there is nothing behind the point.
+    return F.when(whole < float(1 << 52), F.when(value < 0, -found).otherwise(found)).otherwise(value.cast("double"))
 
 
 def _row(gate: str, value: Column, passes: Column, places: int = 3, applies: Column | None = None) -> Column:

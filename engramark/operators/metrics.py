@@ -178,6 +178,37 @@ def separation(scores: DataFrame) -> DataFrame:
     return m.crossJoin(x).select("positive_median", "negative_median", (F.col("hits") / (F.col("np") * F.col("nn"))).alias("overlap"))
 
 
+def merged_alone(pairs: DataFrame, threshold: float, guarded: bool = True) -> DataFrame:
+    """pairs (a, b, ...) with merged: whether a clustering that has seen nothing else puts the two names under one label, by the cosine of their hashed tokens."""
+    def bag(name: str) -> Column:
+        hashed = F.transform(text.tokens(name), lambda t: F.struct(text.token_bucket(t).alias("i"), text.token_sign(t).alias("s")))
+        each = F.array_distinct(F.transform(hashed, lambda h: h["i"]))
+        return F.transform(each, lambda i: F.struct(i.alias("i"), F.aggregate(F.filter(hashed, lambda h: h["i"] == i), F.lit(0), lambda s, h: s + h["s"]).alias("w")))
+
+    x = pairs.withColumn("_a", bag("a")).withColumn("_b", bag("b"))
+    size = lambda c: F.aggregate(c, F.lit(0.0), lambda s, e: s + e["w"] * e["w"])
+    dot = F.aggregate("_a", F.lit(0.0), lambda s, e: s + e["w"] * F.coalesce(F.map_from_entries("_b")[e["i"]], F.lit(0)))
+    norm = F.sqrt(size("_a") * size("_b"))
+    near = F.coalesce(dot / F.when(norm > 0, norm) >= threshold - 1e-12, F.lit(False))
+    near = near & text.merge_allowed("a", "b") if guarded else near
+    return x.withColumn("merged", near | (F.col("a") == F.col("b"))).drop("_a", "_b")
+
+
+def with_examples(rows: DataFrame, order: str, flag: str, shown: tuple[str, str], most: int) -> DataFrame:
+    """n, ``flag`` (how many have it), rate_pct, and examples: the first ``most`` of those, by ``order``, joined into a text."""
+    first = rows.where(flag).orderBy(order).limit(most).agg(F.array_sort(F.collect_list(F.struct(order, F.concat(shown[0], F.lit(" = "), shown[1]).alias("x")))).alias("e"))
+    counts = rows.agg(F.count("*").alias("n"), F.count_if(F.col(flag)).alias(flag), F.round(100.0 * F.avg(F.col(flag).cast("double")), 4).alias("rate_pct"))
+    return counts.crossJoin(first).select("n", flag, "rate_pct", F.array_join(F.transform("e", lambda e: e["x"]), "; ").alias("examples"))
+
+
+def adjusted(df: DataFrame, value: str, base: str) -> DataFrame:
+    """df with adjusted, the value less theta times what its base is above the mean: the values that cuped() reduces the variance of."""
+    m = df.agg(F.covar_samp(value, base).alias("_c"), F.var_samp(base).alias("_v"), F.avg(base).alias("_m"))
+    x = df.crossJoin(F.broadcast(m))
+    theta = F.when(F.col("_v") > 0, F.col("_c") / F.col("_v")).otherwise(0.0)
+    return x.withColumn("adjusted", F.col(value) - theta * (F.col(base) - F.col("_m"))).drop("_c", "_v", "_m")
+
+
 def false_merges(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """n, merged, rate_pct over pairs that should stay apart: how many got one label."""
     same = F.col(a) == F.col(b)

@@ -135,7 +135,7 @@ def centroids(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
     m = x.groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
     norm = m.groupBy("label").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"))
-    return m.join(norm, "label").select("label", "i", F.round(F.when(F.col("norm") > 0, F.col("m") / F.col("norm")), 6).alias("c"))
+    return m.join(norm, "label").select("label", "i", F.round(F.when(F.col("norm") > 0, F.col("m") / F.col("norm")).otherwise(F.col("m")), 6).alias("c"))
 
 
 def fingerprint(spark: SparkSession, d: str) -> DataFrame:

@@ -12,6 +12,8 @@ from engramark.functions import text
 from engramark.operators import canonical, consensus, gates, lifecycle, mentions, metrics, replay
 from engramark.operators.lifecycle import DAY
 from engramark.plans.canonicalization import _variants, _VARIANTS_SQL
+from engramark.plans.lifecycle import QUERIES as QUERIES_OF_LIFECYCLE
+from engramark.plans.lifecycle import SQL as SQL_OF_LIFECYCLE
 from engramark.sinks import artifacts
 from engramark.sources import generators
 from engramark.sources.workloads import SURFACE_SQL, TOKENS_SQL, surface_forms, table
@@ -53,6 +55,31 @@ def event_state(spark: SparkSession, d: str) -> DataFrame:
     return graph.nodes.select("node_id", "kind", "added_at", "in_degree", "out_degree", "last_access", "query_count")
 
 
+def collected_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes that are left after the first half of the log when every seventh fact is collected with its edges, pinned ones apart, and their degrees."""
+    log = graph_log(spark, d)
+    half = log.agg((F.count("*") / 2).alias("h"))
+    x = log.crossJoin(F.broadcast(half)).where("i <= h").drop("h")
+    graph = replay.applied(replay.empty(x), x)
+    gone = graph.nodes.where((F.col("kind") == "fact") & (F.substring("node_id", 2, 20).cast("long") % 7 == 0)).select("node_id")
+    left = replay.collected(graph, gone)
+    return left.nodes.select("node_id", "kind", "in_degree", "out_degree")
+
+
+def tombstone_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """Tombstones of collected facts by segment of their keys: superseded ones found by a later question, and those left and evicted when the last is written."""
+    facts = QUERIES_OF_LIFECYCLE["fact_sweeps"](spark, d).where("tick is not null")
+    tombs = facts.select(F.col("fact").alias("node_id"), "collected_at", F.when(F.col("fact") % 3 == 0, F.concat(F.lit("o"), F.col("fact") + 1)).alias("superseded_by"))
+    asked = facts.select(F.col("fact").alias("node_id"), (F.col("added_at") + (60 + F.col("fact") % 40) * DAY).alias("asked_at"))
+    part = lambda c: (F.col(c) % 5).alias("segment")
+    found = replay.superseded_lookup(asked, tombs).groupBy(part("node_id")).agg(F.count("*").alias("found"))
+    t = tombs.agg(F.max("collected_at")).first()[0] or 0.0
+    left, evicted = replay.pruned(tombs, t)
+    kept = left.groupBy(part("node_id")).agg(F.count("*").alias("left"))
+    out = tombs.groupBy(part("node_id")).agg(evicted)
+    return out.join(kept, "segment", "left").join(found, "segment", "left").select("segment", "evicted", F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("found", F.lit(0)).alias("found"))
+
+
 def event_counts(spark: SparkSession, d: str) -> DataFrame:
     return replay.op_counts(graph_log(spark, d))
 
@@ -81,7 +108,9 @@ def _writes(spark: SparkSession, d: str) -> DataFrame:
 def consensus_reasons(spark: SparkSession, d: str) -> DataFrame:
     """How often each reason decides, for the rule that asks for any evidence and the one that asks for all."""
     w = replay.reliable(_writes(spark, d))
-    return reduce(DataFrame.unionByName, (consensus.judged_pairs(w, rule, 0.3, 0.95).groupBy("reason").agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "reason", "n") for rule in ("any", "all")))
+    either = consensus.judged_pairs(w, "any", 0.3, 0.95).groupBy("reason").agg(F.count("*").alias("n"))
+    rows = [either.select(F.lit("any").alias("rule"), "reason", "n"), consensus.reason_counts(w, 0.3, 0.95).select(F.lit("all").alias("rule"), "reason", "n")]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def consensus_names(spark: SparkSession, d: str) -> DataFrame:
@@ -149,13 +178,36 @@ def rates(spark: SparkSession, d: str) -> DataFrame:
     return x.select("c_nationkey", *(F.round(y, 6).alias(y) for y in ("rate", "lo", "hi")))
 
 
-_LIFTS = (("tool-a", 8.0, 6.0, None, 1.5, None), ("prompt-b", 14.0, None, None, 4.0, None), ("policy-c", 6.0, -1.0, 13.0, 1.0, None), ("recovery-d", 20.0, None, None, 1.0, "Do not deploy with c"), ("embed-proxy-e", 9.0, None, None, None, None), ("gc-f", 9.0, None, None, 1.0, "superseded by g"), ("b-raw-identity", 0.0, None, None, 0.0, None), ("x", 30.0, None, None, 9.0, "conditional on h"))
+#: Names and notes that parts of the given table are told apart by, with every kind that a verdict looks at.
+KINDS = ("tool-", "prompt-", "policy-", "recovery-", "embed-proxy-", "gc-", "b-raw-identity", "x-")
+NOTES = ("", "", "", "Do not deploy with c", "superseded by g", "conditional on h", "cross-dim still loses", "fails UC-4")
 
 
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
-    """What to build, of stated lifts and costs."""
-    x = gates.build_verdicts(spark.createDataFrame(_LIFTS, "variant string, lift double, low double, high double, weeks double, note string"))
-    return x.select("variant", gates.dimension_of(F.col("variant")).alias("dimension"), F.round("low", 4).alias("low"), F.round("per_week", 4).alias("per_week"), "verdict")
+    """What to build, of every supplier as a variant: its balance is the lift in per cent, its key tells kind, effort, interval and note."""
+    key = F.col("s_suppkey")
+    pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (F.floor(key / n) % len(xs) + 1).cast("int"))
+    lift = F.col("s_acctbal").cast("double") / 250
+    x = table(spark, d, "supplier").select(
+        F.concat(pick(KINDS, 1), key.cast("string")).alias("variant"), lift.alias("lift"), F.when(key % 3 == 0, lift - 2).alias("low"), F.when(key % 6 == 0, lift + 2).alias("high"),
+        F.when(key % 11 != 0, (key % 7 + 1) / 2).alias("weeks"), pick(NOTES, 5).alias("note"),
+    )
+    y = gates.build_verdicts(x)
+    return y.select("variant", gates.dimension_of(F.col("variant")).alias("dimension"), F.round("low", 4).alias("low"), F.round("per_week", 4).alias("per_week"), "verdict")
+
+
+def pair_merges(spark: SparkSession, d: str) -> DataFrame:
+    """Each part's name beside a changed one, every pair by a fresh guarded clustering of its own: how many get one label, and the first five that do."""
+    p = table(spark, d, "part")
+    more = F.element_at(F.array(*map(F.lit, (" of", " 7", " small", " old steel"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    x = metrics.merged_alone(p.select("p_partkey", F.col("p_name").alias("a"), F.concat("p_name", more).alias("b")), 0.7)
+    return metrics.with_examples(x, "p_partkey", "merged", ("a", "b"), 5)
+
+
+def adjusted_prices(spark: SparkSession, d: str) -> DataFrame:
+    """Prices of orders less what their customers' balances explain."""
+    x = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return metrics.adjusted(x, "o_totalprice", "c_acctbal").select("o_orderkey", F.round("adjusted", 2).alias("adjusted"))
 
 
 def decisions(spark: SparkSession, d: str) -> DataFrame:
@@ -209,7 +261,7 @@ def churn_stats(spark: SparkSession, d: str) -> DataFrame:
     return generators.log_stats(generators.churn(spark, 50, 400, seed=3))
 
 
-QUERIES = {f.__name__: f for f in (event_state, event_counts, replay_gates, consensus_reasons, consensus_names, mined_pairs, first_seen, form_reduction, rand_index, memories_by_oracle, top_k, set_scores, separations, rates, verdicts, decisions, sweep_quality, latency_gates, rendered_prompts, replaced_names, chunked_fingerprint, churn_stats)}
+QUERIES = {f.__name__: f for f in (event_state, collected_graph, tombstone_lookups, event_counts, replay_gates, consensus_reasons, consensus_names, mined_pairs, first_seen, form_reduction, rand_index, memories_by_oracle, top_k, set_scores, separations, rates, verdicts, pair_merges, adjusted_prices, decisions, sweep_quality, latency_gates, rendered_prompts, replaced_names, chunked_fingerprint, churn_stats)}
 
 _U = "CAST(('0x' || substr(sha256({}), 1, 8)) AS UBIGINT) / 4294967296.0"
 _EV = f"""it AS (SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst, CAST(epoch(l_shipdate) AS DOUBLE) AS moment, l_linestatus, l_partkey FROM lineitem),
@@ -228,6 +280,7 @@ cv AS (SELECT k, list(m ORDER BY i) AS c FROM (SELECT source_id || '::' || label
 pr AS (SELECT a.k AS u, b.k AS v, len(list_intersect(a.al, b.al)) AS c, len(list_distinct(list_concat(a.al, b.al))) AS n, list_cosine_similarity(x.c, y.c) AS cs
   FROM ky a JOIN ky b ON a.source_id <> b.source_id AND a.place < b.place JOIN cv x ON x.k = a.k JOIN cv y ON y.k = b.k WHERE len(a.al) >= 2 AND len(b.al) >= 2)"""
 
+_KINDS, _NOTES = (", ".join(f"'{x}'" for x in xs) for xs in (KINDS, NOTES))
 SQL = {
     "event_state": f"""
 WITH {_EV}, lg AS (SELECT *, row_number() OVER (ORDER BY ts, rk, node_id NULLS FIRST, src NULLS FIRST, dst NULLS FIRST) AS i FROM ev),
@@ -240,10 +293,27 @@ dg AS (SELECT node, side, sum(change) AS total, sum(change) - least(0, min(run))
 qu AS (SELECT node_id, max(ts) AS last, count(*) AS n FROM lg WHERE op = 'query' GROUP BY node_id)
 SELECT nd.node_id, nd.kind, nd.added_at, CAST(coalesce(a.degree, 0) AS BIGINT) AS in_degree, CAST(coalesce(b.degree, 0) AS BIGINT) AS out_degree, coalesce(qu.last, nd.added_at) AS last_access, coalesce(qu.n, 0) AS query_count
 FROM nd LEFT JOIN dg a ON a.node = nd.node_id AND a.side = 'in' LEFT JOIN dg b ON b.node = nd.node_id AND b.side = 'out' LEFT JOIN qu ON qu.node_id = nd.node_id""",
+    "collected_graph": f"""
+WITH {_EV}, lg AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY ts, rk, node_id NULLS FIRST, src NULLS FIRST, dst NULLS FIRST) AS i FROM ev) WHERE i <= (SELECT count(*) / 2 FROM ev)),
+nd AS (SELECT node_id, any_value(kind) AS kind FROM lg WHERE op = 'add_node' GROUP BY node_id),
+e1 AS (SELECT i, src, dst, CASE op WHEN 'add_edge' THEN 1 ELSE -1 END AS step FROM lg WHERE op IN ('add_edge', 'remove_edge')),
+e2 AS (SELECT *, sum(step) OVER w AS run FROM e1 WINDOW w AS (PARTITION BY src, dst ORDER BY i)),
+ch AS (SELECT i, src, dst, CASE WHEN step = 1 THEN 1 WHEN run = 0 THEN -1 ELSE 0 END AS change FROM e2),
+dg AS (SELECT node, side, sum(change) - least(0, min(run)) AS degree FROM (
+  SELECT node, side, change, sum(change) OVER (PARTITION BY node, side ORDER BY i) AS run FROM (SELECT i, dst AS node, 'in' AS side, change FROM ch UNION ALL SELECT i, src, 'out', change FROM ch)) GROUP BY node, side),
+al AS (SELECT src, dst FROM e1 GROUP BY src, dst HAVING sum(step) > 0),
+gn AS (SELECT node_id FROM nd WHERE kind = 'fact' AND CAST(substr(node_id, 2) AS BIGINT) % 7 = 0),
+ls AS (SELECT dst, count(*) AS n FROM al WHERE src IN (FROM gn) GROUP BY dst)
+SELECT nd.node_id, nd.kind, CAST(greatest(0, coalesce(a.degree, 0) - coalesce(ls.n, 0)) AS BIGINT) AS in_degree, CAST(coalesce(b.degree, 0) AS BIGINT) AS out_degree
+FROM nd LEFT JOIN dg a ON a.node = nd.node_id AND a.side = 'in' LEFT JOIN dg b ON b.node = nd.node_id AND b.side = 'out' LEFT JOIN ls ON ls.dst = nd.node_id WHERE nd.node_id NOT IN (FROM gn)""",
+    "tombstone_lookups": f"""WITH fs AS (SELECT * FROM ({SQL_OF_LIFECYCLE['fact_sweeps']}) WHERE tick IS NOT NULL), m AS (SELECT max(collected_at) AS t FROM fs)
+SELECT fact % 5 AS segment, count(*) FILTER (t - collected_at > 604800) AS evicted, count(*) FILTER (t - collected_at <= 604800) AS left,
+  count(*) FILTER (fact % 3 = 0 AND added_at + (60 + fact % 40) * 86400 - collected_at <= 604800) AS found FROM fs, m GROUP BY 1""",
     "event_counts": f"WITH {_EV} SELECT " + ", ".join(f"count(*) FILTER (op = '{o}') AS {o}" for o in ("add_node", "add_edge", "remove_edge", "query", "pin")) + ", count(*) AS events FROM ev",
     "consensus_reasons": f"""WITH {_KEYS}, j AS (SELECT *, c / n >= 0.3 AS jo, cs >= 0.95 - 1e-12 AS co FROM pr)
 SELECT 'any' AS rule, CASE WHEN jo AND co THEN 'both' WHEN jo THEN 'jaccard_only' ELSE 'cosine_only' END AS reason, count(*) AS n FROM j WHERE jo OR co GROUP BY 2
-UNION ALL SELECT 'all', CASE WHEN jo AND co THEN 'and_passed' WHEN jo THEN 'blocked_cosine_below' WHEN co THEN 'blocked_jaccard_below' ELSE 'blocked_both' END, count(*) FROM j WHERE c >= 2 GROUP BY 2""",
+UNION ALL SELECT 'all', CASE WHEN jo AND co THEN 'and_passed' WHEN jo THEN 'blocked_cosine_below' WHEN co THEN 'blocked_jaccard_below' ELSE 'blocked_both' END, count(*) FROM j WHERE c >= 2 GROUP BY 2
+UNION ALL SELECT 'all', 'blocked_overlap_below_min', count(*) FROM j WHERE c < 2 HAVING count(*) > 0""",
     "mined_pairs": f"WITH {_MINED} SELECT u, v, cosine FROM mined",
     "first_seen": "SELECT p_name, min(p_partkey) AS first, row_number() OVER (ORDER BY min(p_partkey)) AS i FROM part GROUP BY p_name",
     "form_reduction": f"WITH {_VARIANTS_SQL} SELECT variant, count(*) AS n, round(avg(CASE WHEN label = l.oracle THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(DISTINCT input) AS forms, count(DISTINCT label) AS labels, round(100.0 * (count(DISTINCT input) - count(DISTINCT label)) / count(DISTINCT input), 4) AS reduction_pct FROM labelled l JOIN surface USING (seq) GROUP BY variant",
@@ -263,7 +333,20 @@ SELECT median(s) FILTER (ok) AS positive_median, median(s) FILTER (NOT ok) AS ne
     "rates": f"""WITH b AS (SELECT c_nationkey, count(*) AS n, avg(CASE WHEN c_acctbal < 0 THEN 1.0 ELSE 0.0 END) AS rate FROM customer GROUP BY 1),
 m AS (SELECT c_nationkey, r.range AS rep, avg(CASE WHEN {_U.format("'5:' || r.range || ':' || t.range")} < rate THEN 1.0 ELSE 0.0 END) AS m FROM b, range(200) r, range((SELECT max(n) FROM b)) t WHERE t.range < n GROUP BY 1, 2),
 s AS (SELECT c_nationkey, list_sort(list(m)) AS ms FROM m GROUP BY 1) SELECT c_nationkey, round(rate, 6) AS rate, round(ms[6], 6) AS lo, round(ms[195], 6) AS hi FROM b JOIN s USING (c_nationkey)""",
-    "verdicts": "SELECT variant, dimension, CAST(low AS DOUBLE) AS low, CAST(per_week AS DOUBLE) AS per_week, verdict FROM (VALUES ('tool-a', 'tools', 6.0, 4.0, 'FUND-NOW'), ('prompt-b', 'prompt', 11.9, 2.975, 'FUND-Q+1'), ('policy-c', 'execution policy', -1.0, 0.0, 'DEFER'), ('recovery-d', 'recovery', 17.0, 17.0, 'DO-NOT-BUILD'), ('embed-proxy-e', 'memory (canonicalization)', 7.65, NULL, 'INSUFFICIENT-DATA'), ('gc-f', 'memory (lifecycle)', 7.65, 7.65, 'DEFER'), ('b-raw-identity', 'memory (canonicalization)', 0.0, NULL, 'DO-NOT-BUILD'), ('x', 'unknown', 25.5, 2.8333, 'DEFER')) v(variant, dimension, low, per_week, verdict)",
+    "verdicts": f"""WITH s AS (SELECT s_suppkey AS k, CAST(s_acctbal AS DOUBLE) / 250 AS lift, [{_KINDS}][s_suppkey % {len(KINDS)} + 1] AS kind, [{_NOTES}][(s_suppkey // 5) % {len(NOTES)} + 1] AS note, CASE WHEN s_suppkey % 11 <> 0 THEN (s_suppkey % 7 + 1) / 2 END AS weeks FROM supplier),
+t AS (SELECT *, CASE WHEN k % 3 = 0 THEN lift - 2 ELSE lift - abs(lift) * 0.15 END AS lo FROM s)
+SELECT kind || k AS variant, CASE kind WHEN 'tool-' THEN 'tools' WHEN 'prompt-' THEN 'prompt' WHEN 'policy-' THEN 'execution policy' WHEN 'recovery-' THEN 'recovery' WHEN 'embed-proxy-' THEN 'memory (canonicalization)' WHEN 'gc-' THEN 'memory (lifecycle)' ELSE 'unknown' END AS dimension,
+  round(lo, 4) AS low, round(CASE WHEN weeks > 0 THEN greatest(0.0, lo) / weeks END, 4) AS per_week,
+  CASE WHEN lift <= 0 THEN 'DO-NOT-BUILD' WHEN weeks IS NULL THEN 'INSUFFICIENT-DATA' WHEN note IN ('Do not deploy with c', 'cross-dim still loses') THEN 'DO-NOT-BUILD' WHEN note <> '' THEN 'DEFER' WHEN lo >= 5 AND weeks <= 2 THEN 'FUND-NOW' WHEN lo >= 10 AND weeks <= 5 THEN 'FUND-Q+1' ELSE 'DEFER' END AS verdict FROM t""",
+    "pair_merges": f"""WITH x AS (SELECT p_partkey, p_name AS a, p_name || [' of', ' 7', ' small', ' old steel'][p_partkey % 4 + 1] AS b FROM part),
+w AS (SELECT *, string_split(a, ' ') AS wa, string_split(b, ' ') AS wb FROM x),
+c AS (SELECT p_partkey, a, b, list_sum(list_transform(list_distinct(wa), lambda t: len(list_filter(wa, lambda u: u = t)) * len(list_filter(wb, lambda u: u = t)))) / sqrt(
+  list_sum(list_transform(list_distinct(wa), lambda t: len(list_filter(wa, lambda u: u = t)) ** 2)) * list_sum(list_transform(list_distinct(wb), lambda t: len(list_filter(wb, lambda u: u = t)) ** 2))) AS cs FROM w),
+m AS (SELECT *, cs >= 0.7 AND NOT (b LIKE '% of') AND NOT (b LIKE '% 7') AS merged FROM c)
+SELECT count(*) AS n, count(*) FILTER (merged) AS merged, round(100.0 * avg(CASE WHEN merged THEN 1.0 ELSE 0.0 END), 4) AS rate_pct,
+  (SELECT string_agg(a || ' = ' || b, '; ' ORDER BY p_partkey) FROM (SELECT * FROM m WHERE merged ORDER BY p_partkey LIMIT 5)) AS examples FROM m""",
+    "adjusted_prices": """WITH x AS (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS y, CAST(c_acctbal AS DOUBLE) AS b FROM orders JOIN customer ON o_custkey = c_custkey), m AS (SELECT covar_samp(y, b) / var_samp(b) AS t, avg(b) AS mb FROM x)
+SELECT o_orderkey, round(y - t * (b - mb), 2) AS adjusted FROM x, m""",
     "decisions": """WITH t AS (SELECT c_nationkey, c_custkey % 97 = 0 AS kill, CASE WHEN c_custkey % 97 = 0 AND c_custkey % 2 = 0 THEN 'FAIL' WHEN c_acctbal < -990 THEN 'REGRESSION' WHEN c_custkey % 211 = 0 THEN 'INCONCLUSIVE' ELSE 'SUPERIOR' END AS o FROM customer),
 g AS (SELECT c_nationkey, bool_or(o = 'INCONCLUSIVE') AS a, bool_or(o = 'REGRESSION') AS b, bool_or(kill AND o = 'FAIL') AS c FROM t GROUP BY 1)
 SELECT c_nationkey, CASE WHEN a OR b OR c THEN 'BLOCK_PR' ELSE 'PASS_AND_MERGE' END AS decision, concat_ws(', ', CASE WHEN a THEN 'inconclusive' END, CASE WHEN b THEN 'regression' END, CASE WHEN c THEN 'kill switch' END) AS reasons FROM g""",
