@@ -46,41 +46,41 @@ RELATIONS = {
 }
 
 # Source, form and canonical of each write, in order.
-TENANTS = """\
-sales,Apple,Apple_Inc
-sales,AAPL,Apple_Inc
-marketing,Apple,Apple_Inc
-marketing,Apple Computer,Apple_Inc
-ops,Apple,Apple_Supplier_Inc
-ops,Apple Foods,Apple_Supplier_Inc
-sales,Microsoft,Microsoft_Corp
-sales,MSFT,Microsoft_Corp
-ops,Microsoft,Microsoft_Corp
-ops,Microsoft Corp,Microsoft_Corp
-marketing,Microsoft,Microsoft_Corp
-sales,Tesla,Tesla_Inc
-marketing,Tesla,Tesla_Inc
-marketing,Tesla Motors,Tesla_Inc
-ops,Acme Logistics,Acme_Supplier
-ops,Acme,Acme_Supplier
-marketing,Nike,Nike_Brand
-marketing,Nike Inc,Nike_Brand
-sales,Salesforce,Salesforce_Inc
-sales,SFDC,Salesforce_Inc
-sales,IBM,IBM_Corp
-sales,International Business Machines,IBM_Corp
-marketing,IBM,IBM_Corp
-sales,Amazon,Amazon_Inc
-sales,AMZN,Amazon_Inc
-ops,Amazon,Amazon_Logistics_Partner
-ops,Amazon Delivery,Amazon_Logistics_Partner
-sales,Google,Google_LLC
-marketing,Google,Google_LLC
-ops,Google,Google_LLC
-sales,Oracle,Oracle_Corp
-sales,Oracle Database,Oracle_Corp
-ops,Acme Corp,Acme_Supplier
-"""
+TENANTS = [
+    ("sales", "Apple", "Apple_Inc"),
+    ("sales", "AAPL", "Apple_Inc"),
+    ("marketing", "Apple", "Apple_Inc"),
+    ("marketing", "Apple Computer", "Apple_Inc"),
+    ("ops", "Apple", "Apple_Supplier_Inc"),
+    ("ops", "Apple Foods", "Apple_Supplier_Inc"),
+    ("sales", "Microsoft", "Microsoft_Corp"),
+    ("sales", "MSFT", "Microsoft_Corp"),
+    ("ops", "Microsoft", "Microsoft_Corp"),
+    ("ops", "Microsoft Corp", "Microsoft_Corp"),
+    ("marketing", "Microsoft", "Microsoft_Corp"),
+    ("sales", "Tesla", "Tesla_Inc"),
+    ("marketing", "Tesla", "Tesla_Inc"),
+    ("marketing", "Tesla Motors", "Tesla_Inc"),
+    ("ops", "Acme Logistics", "Acme_Supplier"),
+    ("ops", "Acme", "Acme_Supplier"),
+    ("marketing", "Nike", "Nike_Brand"),
+    ("marketing", "Nike Inc", "Nike_Brand"),
+    ("sales", "Salesforce", "Salesforce_Inc"),
+    ("sales", "SFDC", "Salesforce_Inc"),
+    ("sales", "IBM", "IBM_Corp"),
+    ("sales", "International Business Machines", "IBM_Corp"),
+    ("marketing", "IBM", "IBM_Corp"),
+    ("sales", "Amazon", "Amazon_Inc"),
+    ("sales", "AMZN", "Amazon_Inc"),
+    ("ops", "Amazon", "Amazon_Logistics_Partner"),
+    ("ops", "Amazon Delivery", "Amazon_Logistics_Partner"),
+    ("sales", "Google", "Google_LLC"),
+    ("marketing", "Google", "Google_LLC"),
+    ("ops", "Google", "Google_LLC"),
+    ("sales", "Oracle", "Oracle_Corp"),
+    ("sales", "Oracle Database", "Oracle_Corp"),
+    ("ops", "Acme Corp", "Acme_Supplier"),
+]
 
 
 def relations(spark: SparkSession) -> DataFrame:
@@ -90,7 +90,7 @@ def relations(spark: SparkSession) -> DataFrame:
 
 def tenants(spark: SparkSession) -> DataFrame:
     """seq, source_id, input, oracle of writes by three sources; oracles are global, some forms mean different ones by source."""
-    rows = [(k, *line.split(",")) for k, line in enumerate(TENANTS.splitlines())]
+    rows = [(k, *row) for k, row in enumerate(TENANTS)]
     return spark.createDataFrame(rows, "seq long, source_id string, input string, oracle string")
 
 
