@@ -98,11 +98,20 @@ def set_scores(found: Column, truth: Column) -> dict[str, Column]:
 
 def percentile_of_counts(counts: DataFrame, value: str, n: str, q: float, *by: str) -> DataFrame:
     """by, percentile: the sorted value at int(q N), the last at most, from how often each value occurs: no list of all values is made."""
+    return percentiles_of_counts(counts, value, n, {"percentile": (q, False)}, *by)
+
+
+def percentiles_of_counts(counts: DataFrame, value: str, n: str, asked: dict[str, tuple[float, bool]], *by: str) -> DataFrame:
+    """by and a column for each name of ``asked``, (q, rounded): the sorted value at int(q N), or at round(q N) - 1 rounded half to even, within bounds; one pass over the different values."""
     up_to = F.sum(n).over(Window.partitionBy(*by).orderBy(value))
     total = F.sum(n).over(Window.partitionBy(*by))
     x = counts.groupBy(*by, value).agg(F.sum(n).alias(n)).withColumn("_up_to", up_to).withColumn("_total", total)
-    at = F.least(F.col("_total") - 1, F.floor(F.col("_total") * q))
-    return x.where(F.col("_up_to") > at).groupBy(*by).agg(F.min(value).alias("percentile"))
+
+    def at(q: float, rounded: bool) -> Column:
+        place = F.greatest(F.lit(0), F.bround(F.col("_total") * q) - 1) if rounded else F.floor(F.col("_total") * q)
+        return F.least(F.col("_total") - 1, place)
+
+    return x.groupBy(*by).agg(*(F.min(F.when(F.col("_up_to") > at(*a), F.col(value))).alias(name) for name, a in asked.items()))
 
 
 def rate_interval(outcomes: DataFrame, done: str, resamples: int, seed: int, *by: str, alpha: float = 0.05) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from engramark.functions import text
 from engramark.operators import canonical, dense, metrics
+from engramark.sinks import artifacts
 from engramark.sources.workloads import STUB_SQL, SURFACE_SQL, TOKENS_SQL, surface_forms, table
 
 
@@ -140,9 +141,7 @@ def centroids(spark: SparkSession, d: str) -> DataFrame:
 
 def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """SHA-256 of each source's rows in order."""
-    x = surface_forms(spark, d).groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("seq", "input", "oracle"))).alias("rows"))
-    one = F.transform("rows", lambda r: F.concat(r["input"], F.lit("\x1f"), r["oracle"], F.lit("\x1e")))
-    return x.select("source_id", F.sha2(F.array_join(one, ""), 256).alias("sha256"))
+    return artifacts.ordered_sha256(surface_forms(spark, d), "seq", F.concat("input", F.lit("\x1f"), "oracle", F.lit("\x1e")), "source_id")
 
 
 def cuped(spark: SparkSession, d: str) -> DataFrame:
@@ -151,9 +150,10 @@ def cuped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def percentiles(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "events").groupBy("event_type").agg(F.array_sort(F.collect_list("value")).alias("v"))
-    v = F.col("v")
-    return x.select("event_type", metrics.percentile_floor(v, 0.5).alias("p50_floor"), metrics.percentile_floor(v, 0.99).alias("p99_floor"), metrics.percentile_round(v, 0.5).alias("p50_round"), metrics.percentile_round(v, 0.95).alias("p95_round"), metrics.percentile_round(v, 0.999).alias("p999_round"))
+    """Percentiles of the values of each event type by both conventions, from how often each value occurs."""
+    counts = table(spark, d, "events").where("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("n"))
+    asked = {"p50_floor": (0.5, False), "p99_floor": (0.99, False), "p50_round": (0.5, True), "p95_round": (0.95, True), "p999_round": (0.999, True)}
+    return metrics.percentiles_of_counts(counts, "value", "n", asked, "event_type")
 
 
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
