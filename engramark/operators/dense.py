@@ -19,11 +19,12 @@ from engramark.operators.graph import reliable
 #: Queries that one pass over all rows takes along, and rows of a block of the pair join.
 QUERIES_AT_ONCE = 4096
 BLOCK = 2048
-#: Rows whose cosines with a block of queries are held at once.
+#: Rows whose cosines with a block of queries are held at once, and rows that are dealt to their meetings at once.
 AT_ONCE = 1024
+DEALT = 4096
 #: Pivots at most, and the rows that a pivot stands for.
 PIVOTS = 256
-ROWS_PER_PIVOT = 64
+ROWS_PER_PIVOT = 2048
 #: Slack for rounding of cosines.
 SLACK = 1e-9
 
@@ -195,8 +196,10 @@ def _meetings(rows: DataFrame, threshold: float, by: tuple[str, ...]) -> tuple[D
                 for d in np.flatnonzero(guest[k]):
                     chunk = -1 - int((h[k] // 7919) % chunks[d])
                     out += [(k, int(d), t, chunk, 1) for t in range(blocks[d])]
-            at, *cells = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in range(4)), *(pa.array(c, pa.int32()) for c in cells)], ["id", "n", "_g", "x", "cell", "one", "other", "side"])
+                if len(out) >= DEALT or k + 1 == batch.num_rows:
+                    at, *cells = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in range(4)), *(pa.array(c, pa.int32()) for c in cells)], ["id", "n", "_g", "x", "cell", "one", "other", "side"])
+                    out = []
 
     meetings = at_home.withColumn("h", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 40))).mapInArrow(dealt, classes.select("id", "n", "_g").schema.add("x", "binary").add("cell", "integer").add("one", "integer").add("other", "integer").add("side", "integer"))
 

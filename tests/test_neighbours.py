@@ -86,6 +86,8 @@ def test_backends(spark, packed):
 @pytest.mark.parametrize(("rows", "threshold", "block"), [(vectors(), 0.9, 50), (vectors(300, 12, 300), 0.85, 2048), (vectors(200, 3, 4), 0.99, 7), (vectors(150, 5, 2), -0.2, 64)])
 def test_pairs(spark, rows, threshold, block, monkeypatch):
     monkeypatch.setattr(dense, "BLOCK", block)
+    monkeypatch.setattr(dense, "ROWS_PER_PIVOT", 40)
+    monkeypatch.setattr(dense, "DEALT", 100)
     ids, x = unit(rows)
     cosines = x @ x.T
     want = {(min(a, b), max(a, b)) for i, a in enumerate(ids.tolist()) for j, b in enumerate(ids.tolist()) if i < j and cosines[i, j] >= threshold - 1e-9}
