@@ -39,3 +39,21 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "component")
         if after.where("component <> old").isEmpty():
             return labels
+
+
+def extended(components: DataFrame, edges: DataFrame) -> DataFrame:
+    """components (node, component) after more edges (u, v): what connected() gives for all edges together.
+
+    Only the classes that the new edges touch become a graph, a node for each; its classes
+    say what the touched ones are now. The stored table is read by joins with the delta, never gone through in rounds.
+    """
+    edges = reliable(edges.select("u", "v").where("u is not null and v is not null"))
+    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+    now = reliable(ends.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    # A loop alone makes no class.
+    fresh = now.join(components.select("node"), "node", "left_anti").join(edges.where("u <> v").select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi")
+    of = lambda end, name: now.select(F.col("node").alias(end), F.col("component").alias(name))
+    met = edges.join(of("u", "a"), "u").join(of("v", "b"), "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    moved = connected(met).select(F.col("node").alias("component"), F.col("component").alias("into"))
+    every = components.select("node", "component").union(fresh.select("node", "component"))
+    return every.join(moved, "component", "left").select("node", F.coalesce("into", "component").alias("component"))

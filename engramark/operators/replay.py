@@ -118,6 +118,16 @@ def candidates(graph: Graph, rule: str, t: float, facts: DataFrame | None = None
     return free.where("not tenant_pinned").select("node_id").join(asked, "node_id", "left_semi").join(alone, "node_id", "left_semi")
 
 
+#: Rules that keep pins by tenant.
+BY_TENANT = ("tenant_pin", "comprehensive", "comprehensive_tuned", "bundle")
+
+
+def routed_pins(events: DataFrame, rule: str) -> tuple[DataFrame, DataFrame]:
+    """(events, tenant pins): pins with a tenant_id go to the rule's own table (tenant_id, node_id) if it keeps pins by tenant, and else stay events."""
+    own = (F.col("op") == "pin") & F.col("tenant_id").isNotNull() & F.lit(rule in BY_TENANT)
+    return events.where(~own), events.where(own).select("tenant_id", "node_id").distinct()
+
+
 class Run(NamedTuple):
     """What a replay leaves: the graph, tombstones (node_id, collected_at, superseded_by), and counts of the run."""
 
