@@ -187,6 +187,26 @@ def separation(scores: DataFrame) -> DataFrame:
     return m.crossJoin(x).select("positive_median", "negative_median", (F.col("hits") / (F.col("np") * F.col("nn"))).alias("overlap"))
 
 
+#: Writes at the start that aren't measured: so many at most, and this part of all.
+WARM_UP, WARM_UP_PART = 50, 20
+
+
+def throughput(writes: DataFrame, order: str, ms: str, *by: str) -> DataFrame:
+    """by, warmed, measured, per_second, p50 and p99 of the times ``ms`` of writes, without the first ones by ``order``, which warm up.
+
+    Only those are ranked; the others are counted by their times. The rate is that of the measured writes over the seconds that they took.
+    """
+    n = writes.groupBy(*by).agg(F.count("*").alias("_n"))
+    first = writes.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(F.col("_r") <= WARM_UP)
+    warm = first.join(n, [*by]).where(F.col("_r") <= F.floor(F.col("_n") / WARM_UP_PART))
+    counts = writes.groupBy(*by, ms).agg(F.count("*").alias("n")).unionByName(warm.groupBy(*by, ms).agg((-F.count("*")).alias("n")))
+    left = counts.groupBy(*by, ms).agg(F.sum("n").alias("n")).where("n > 0")
+    sums = left.groupBy(*by).agg(F.sum("n").alias("measured"), (F.sum(F.col("n") * F.col(ms)) / 1000).alias("_s"))
+    out = percentiles_of_counts(left, ms, "n", {"p50": (0.5, False), "p99": (0.99, False)}, *by).join(sums, [*by]).join(n, [*by])
+    rate = F.when(F.col("_s") > 0, F.col("measured") / F.col("_s")).otherwise(0.0)
+    return out.select(*by, (F.col("_n") - F.col("measured")).alias("warmed"), "measured", rate.alias("per_second"), "p50", "p99")
+
+
 def merged_alone(pairs: DataFrame, threshold: float, guarded: bool = True) -> DataFrame:
     """pairs (a, b, ...) with merged: whether a clustering that has seen nothing else puts the two names under one label, by the cosine of their hashed tokens."""
     def bag(name: str) -> Column:

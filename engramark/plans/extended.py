@@ -196,6 +196,12 @@ def verdicts(spark: SparkSession, d: str) -> DataFrame:
     return y.select("variant", gates.dimension_of(F.col("variant")).alias("dimension"), F.round("low", 4).alias("low"), F.round("per_week", 4).alias("per_week"), "verdict")
 
 
+def write_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates and percentiles of the events' values as times, by type, without those that warm up."""
+    x = metrics.throughput(table(spark, d, "events").where("value is not null"), "event_id", "value", "event_type")
+    return x.select("event_type", "warmed", "measured", F.round("per_second", 6).alias("per_second"), "p50", "p99")
+
+
 def pair_merges(spark: SparkSession, d: str) -> DataFrame:
     """Each part's name beside a changed one, every pair by a fresh guarded clustering of its own: how many get one label, and the first five that do."""
     p = table(spark, d, "part")
@@ -261,7 +267,7 @@ def churn_stats(spark: SparkSession, d: str) -> DataFrame:
     return generators.log_stats(generators.churn(spark, 50, 400, seed=3))
 
 
-QUERIES = {f.__name__: f for f in (event_state, collected_graph, tombstone_lookups, event_counts, replay_gates, consensus_reasons, consensus_names, mined_pairs, first_seen, form_reduction, rand_index, memories_by_oracle, top_k, set_scores, separations, rates, verdicts, pair_merges, adjusted_prices, decisions, sweep_quality, latency_gates, rendered_prompts, replaced_names, chunked_fingerprint, churn_stats)}
+QUERIES = {f.__name__: f for f in (event_state, collected_graph, tombstone_lookups, event_counts, replay_gates, consensus_reasons, consensus_names, mined_pairs, first_seen, form_reduction, rand_index, memories_by_oracle, top_k, set_scores, separations, rates, verdicts, write_rates, pair_merges, adjusted_prices, decisions, sweep_quality, latency_gates, rendered_prompts, replaced_names, chunked_fingerprint, churn_stats)}
 
 _U = "CAST(('0x' || substr(sha256({}), 1, 8)) AS UBIGINT) / 4294967296.0"
 _EV = f"""it AS (SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst, CAST(epoch(l_shipdate) AS DOUBLE) AS moment, l_linestatus, l_partkey FROM lineitem),
@@ -338,6 +344,9 @@ t AS (SELECT *, CASE WHEN k % 3 = 0 THEN lift - 2 ELSE lift - abs(lift) * 0.15 E
 SELECT kind || k AS variant, CASE kind WHEN 'tool-' THEN 'tools' WHEN 'prompt-' THEN 'prompt' WHEN 'policy-' THEN 'execution policy' WHEN 'recovery-' THEN 'recovery' WHEN 'embed-proxy-' THEN 'memory (canonicalization)' WHEN 'gc-' THEN 'memory (lifecycle)' ELSE 'unknown' END AS dimension,
   round(lo, 4) AS low, round(CASE WHEN weeks > 0 THEN greatest(0.0, lo) / weeks END, 4) AS per_week,
   CASE WHEN lift <= 0 THEN 'DO-NOT-BUILD' WHEN weeks IS NULL THEN 'INSUFFICIENT-DATA' WHEN note IN ('Do not deploy with c', 'cross-dim still loses') THEN 'DO-NOT-BUILD' WHEN note <> '' THEN 'DEFER' WHEN lo >= 5 AND weeks <= 2 THEN 'FUND-NOW' WHEN lo >= 10 AND weeks <= 5 THEN 'FUND-Q+1' ELSE 'DEFER' END AS verdict FROM t""",
+    "write_rates": """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL),
+m AS (SELECT event_type, any_value(n) AS n, list_sort(list(value)) AS v FROM r WHERE k > least(50, n // 20) GROUP BY 1)
+SELECT event_type, n - len(v) AS warmed, len(v) AS measured, round(len(v) / (list_sum(v) / 1000), 6) AS per_second, v[CAST(least(len(v) - 1, floor(len(v) * 0.5)) AS BIGINT) + 1] AS p50, v[CAST(least(len(v) - 1, floor(len(v) * 0.99)) AS BIGINT) + 1] AS p99 FROM m""",
     "pair_merges": f"""WITH x AS (SELECT p_partkey, p_name AS a, p_name || [' of', ' 7', ' small', ' old steel'][p_partkey % 4 + 1] AS b FROM part),
 w AS (SELECT *, string_split(a, ' ') AS wa, string_split(b, ' ') AS wb FROM x),
 c AS (SELECT p_partkey, a, b, list_sum(list_transform(list_distinct(wa), lambda t: len(list_filter(wa, lambda u: u = t)) * len(list_filter(wb, lambda u: u = t)))) / sqrt(
