@@ -51,3 +51,13 @@ def test_adjusted_values(spark):
     mean = statistics.mean(b for *_, b in rows)
     assert all(abs(g - (y - theta * (b - mean))) < 1e-9 for g, (_, y, b) in zip(got, rows, strict=True))
     assert abs(statistics.variance(got) - metrics.cuped(spark.createDataFrame(rows, "k int, y double, b double"), "y", "b").first()["adjusted_variance"]) < 1e-9
+
+
+def test_throughput(spark):
+    r = random.Random(6)
+    rows = [(g, k, r.randrange(1, 30) / 4) for g, n in (("a", 2000), ("b", 130), ("c", 7)) for k in r.sample(range(9000), n)]
+    got = {x["g"]: x for x in metrics.throughput(spark.createDataFrame(rows, "g string, k int, ms double"), "k", "ms", "g").collect()}
+    for g, warm in (("a", 50), ("b", 6), ("c", 0)):
+        ms = [m for _, _, m in sorted(x for x in rows if x[0] == g)][warm:]
+        assert (got[g]["warmed"], got[g]["measured"]) == (warm, len(ms)) and abs(got[g]["per_second"] - len(ms) / (sum(ms) / 1000)) < 1e-6
+        assert (got[g]["p50"], got[g]["p99"]) == (sorted(ms)[len(ms) // 2], sorted(ms)[min(len(ms) - 1, int(len(ms) * 0.99))])
