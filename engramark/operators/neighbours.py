@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,22 +36,66 @@ ROUNDS = 200
 LINEAR = 5000
 
 
-def _introduced(members: DataFrame, schema) -> DataFrame:
-    """(u, v, cosine) of all pairs of the nodes that meet at a key (at, id, x, fresh), one of them fresh at least, in both directions, each node's DEGREE best."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id")
-        ids, fresh = pdf["id"].to_numpy(), pdf["fresh"].to_numpy(bool)
-        x = dense.matrix(pdf["x"])
-        cosines = x @ x.T
-        cosines[~(fresh[:, None] | fresh[None])] = -np.inf
-        np.fill_diagonal(cosines, -np.inf)
-        best = np.argsort(-cosines, axis=1, kind="stable")[:, :DEGREE]
+def _small(rows: DataFrame) -> DataFrame:
+    """rows (id, x) with single-precision vectors, half as long: enough to build links by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = dense.matrix(batch.column(1)).astype("<f4")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "x"])
+
+    return rows.select("id", "x").mapInArrow(run, rows.select("id", "x").schema)
+
+
+def _met(at: np.ndarray, ids: np.ndarray, x: np.ndarray, fresh: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(u, v, cosine) of every group of successive equal ``at``: of each of its nodes the DEGREE nearest, where one of the two is fresh."""
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    for a, b in zip(starts, np.r_[starts[1:], len(at)], strict=True):
+        if b - a < 2 or not fresh[a:b].any():
+            continue
+        cosines = x[a:b] @ x[a:b].T
+        cosines[~(fresh[a:b, None] | fresh[None, a:b])] = -2
+        cosines[np.arange(b - a), np.arange(b - a)] = -2
+        most = min(DEGREE, b - a - 1)
+        best = np.argpartition(-cosines, most - 1, axis=1)[:, :most]
         found = np.take_along_axis(cosines, best, 1)
-        row, place = np.nonzero(np.isfinite(found))
-        return pd.DataFrame({"u": ids[row], "v": ids[best[row, place]], "cosine": found[row, place]})
+        row, place = np.nonzero(found > -1.5)
+        yield ids[a:b][row], ids[a:b][best[row, place]], found[row, place]
+
 
-    return members.groupBy("at").applyInPandas(lambda pdf: run(pdf), schema)
+def _introduced(members: DataFrame, schema) -> DataFrame:
+    """(u, v, cosine) of the nodes that meet at a key (at, id, x, fresh), in both directions: each node's DEGREE nearest of those met, one of the two fresh at least.
+
+    Rows of a key are neighbours in the sorted partitions, so that a task goes through batches of many small groups.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in _with_end(batches):
+            if batch is not None:
+                left = batch if left is None else pa.concat_batches([left, batch])
+                at = left.column(0).to_pylist()
+                whole = len(at) - 1
+                while whole >= 0 and at[whole] == at[-1]:
+                    whole -= 1
+                part, left = left.slice(0, whole + 1), left.slice(whole + 1)
+            else:
+                part = left
+            if part is None or not part.num_rows:
+                continue
+            at, ids = (np.array(part.column(c).to_pylist()) for c in (0, 1))
+            x = np.frombuffer(b"".join(part.column(2).to_pylist()), "<f4").reshape(part.num_rows, -1)
+            found = [*_met(at, ids, x, np.array(part.column(3).to_pylist(), bool))]
+            if found:
+                u, v, c = (np.concatenate(k) for k in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(u.tolist(), part.schema.field(1).type), pa.array(v.tolist(), part.schema.field(1).type), pa.array(c.astype(float))], ["u", "v", "cosine"])
+
+    return members.select("at", "id", "x", "fresh").repartition("at").sortWithinPartitions("at", "id").mapInArrow(run, schema)
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def _nearest(links: DataFrame, most: int, end: str = "u", other: str = "v") -> DataFrame:
@@ -70,11 +113,12 @@ def graph(rows: DataFrame, degree: int = DEGREE, descents: int = DESCENTS) -> Da
     """
     rows = reliable(rows.select("id", "x"))
     n = rows.count()
+    small = reliable(_small(rows))
     schema = rows.select(F.col("id").alias("u"), F.col("id").alias("v")).schema.add("cosine", "double")
     groups = max(1, n // (2 * degree))
 
     def grouped(seed: int) -> DataFrame:
-        return rows.select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(groups)).alias("at"), "id", "x", F.lit(True).alias("fresh"))
+        return small.select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(groups)).alias("at"), "id", "x", F.lit(True).alias("fresh"))
 
     # From one grouping alone neighbours of neighbours would stay in their group.
     starts = [_nearest(_introduced(grouped(seed), schema), max(1, degree // 2)) for seed in range(GROUPINGS)]
@@ -84,7 +128,7 @@ def graph(rows: DataFrame, degree: int = DEGREE, descents: int = DESCENTS) -> Da
         back = _nearest(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "cosine", "fresh"), degree)
         ends = links.unionByName(back).groupBy("u", "v").agg(F.bool_or("fresh").alias("fresh"))
         active = ends.groupBy("u").agg(F.bool_or("fresh").alias("any")).where("any").select("u")
-        met = ends.join(active, "u", "left_semi").join(rows.withColumnRenamed("id", "v"), "v").select(F.col("u").alias("at"), F.col("v").alias("id"), "x", "fresh")
+        met = ends.join(active, "u", "left_semi").join(small.withColumnRenamed("id", "v"), "v").select(F.col("u").alias("at"), F.col("v").alias("id"), "x", "fresh")
         found = _introduced(met, schema).withColumn("fresh", F.lit(True)).unionByName(links.withColumn("fresh", F.lit(False)))
         # A link that was there is not fresh.
         once = found.groupBy("u", "v").agg(F.max("cosine").alias("cosine"), F.bool_and("fresh").alias("fresh"))
