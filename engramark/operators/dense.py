@@ -18,13 +18,13 @@ from engramark.operators.graph import reliable
 
 #: Queries that one pass over all rows takes along, and rows of a block of the pair join.
 QUERIES_AT_ONCE = 4096
-BLOCK = 2048
+BLOCK = 8192
 #: Rows whose cosines with a block of queries are held at once, and rows that are dealt to their meetings at once.
 AT_ONCE = 1024
 DEALT = 4096
 #: Pivots at most, and the rows that a pivot stands for.
 PIVOTS = 256
-ROWS_PER_PIVOT = 2048
+ROWS_PER_PIVOT = 8192
 #: Slack for rounding of cosines.
 SLACK = 1e-9
 
@@ -115,12 +115,24 @@ def _close(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray,
     """
     head = max(1, min(a.shape[1] // 2, 16))
     rest = [np.sqrt(np.maximum(0, 1 - (m[:, :head] ** 2).sum(1))) for m in (a, b)]
-    i, j = np.nonzero(a[:, :head] @ b[:, :head].T + rest[0][:, None] * rest[1][None] >= threshold - SLACK)
-    cosine = np.empty(len(i))
-    for k in range(0, len(i), 1 << 16):
-        cosine[k : k + (1 << 16)] = np.einsum("ij,ij->i", a[i[k : k + (1 << 16)]], b[j[k : k + (1 << 16)]])
-    keep = cosine >= threshold - SLACK
-    return i[keep], j[keep], cosine[keep], len(i)
+    found, verified = [], 0
+    for k in range(0, len(a), AT_ONCE):
+        part = a[k : k + AT_ONCE]
+        may = part[:, :head] @ b[:, :head].T + rest[0][k : k + AT_ONCE, None] * rest[1][None] >= threshold - SLACK
+        n = int(np.count_nonzero(may))
+        verified += n
+        if n * 16 > may.size:
+            # Where many are left, all products together cost less than each on its own.
+            cosines = part @ b.T
+            i, j = np.nonzero(may & (cosines >= threshold - SLACK))
+            found.append((i + k, j, cosines[i, j]))
+        else:
+            i, j = np.nonzero(may)
+            cosine = np.einsum("ij,ij->i", part[i], b[j])
+            keep = cosine >= threshold - SLACK
+            found.append((i[keep] + k, j[keep], cosine[keep]))
+    i, j, cosine = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    return i, j, cosine, verified
 
 
 def _meetings(rows: DataFrame, threshold: float, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
