@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramark.operators import clusters, dense, embedding, metrics, neighbours
+from engramark.operators.graph import reliable
 from engramark.plans.canonicalization import _WORDS
 from engramark.plans.extended import MORE, longer_forms
 from engramark.sources.workloads import table
@@ -68,7 +69,8 @@ def embedded_names(spark: SparkSession, d: str) -> DataFrame:
 
 def _longer(spark: SparkSession, d: str, template: str = TEMPLATE) -> DataFrame:
     x = longer_forms(spark, d).select("seq", F.lit("all").alias("source_id"), "input", "oracle")
-    return embedding.embedded(x, "input", vocabulary(spark, d), template)
+    # Read several times: it is made once.
+    return reliable(embedding.embedded(x, "input", vocabulary(spark, d), template))
 
 
 def hybrid_labels(spark: SparkSession, d: str) -> DataFrame:
