@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -22,6 +22,11 @@ OUTPUT = "node_id string, kind string, collected_ms long, at_ms long, superseded
 COLUMNS = ("node_id", "kind", "collected_ms", "at_ms", "superseded_by")
 
 
+def _millis(at: Column) -> Column:
+    """Milliseconds of a time, rounded half away from 0 as DuckDB's epoch_ms does; Spark's own cut off."""
+    return F.round(F.unix_micros(at) / 1000).cast("long")
+
+
 class Tombstones(StatefulProcessor):
     """A node's tombstone: rows of a key are handled in the order of (at_ms, op), so that a collect and a query of one moment make a hit."""
 
@@ -40,21 +45,19 @@ class Tombstones(StatefulProcessor):
         tomb, out = self._now(), []
         before = tomb
         for at, op, by in x[["at_ms", "op", "superseded_by"]].itertuples(index=False):
-            if tomb and at - tomb[0] > self.ttl:
-                out.append((key[0], "evicted", tomb[0], tomb[0] + self.ttl, tomb[1]))
-                tomb = None
+            over = tomb and at - tomb[0] > self.ttl
             if op == "collect":
+                if over:
+                    out.append((key[0], "evicted", tomb[0], tomb[0] + self.ttl, tomb[1]))
                 tomb = (int(at), None if pd.isna(by) else by)
-            elif tomb:
+            elif tomb and not over:
                 out.append((key[0], "hit", tomb[0], int(at), tomb[1]))
         if tomb != before:
             if before:
-                self.handle.deleteTimer(before[0] + self.ttl)
-            if tomb:
-                self.tomb.update(tomb)
-                self.handle.registerTimer(tomb[0] + self.ttl)
-            else:
-                self.tomb.clear()
+                self.handle.deleteTimer(before[0] + self.ttl + 1)
+            self.tomb.update(tomb)
+            # A timer goes off at its own time; a tombstone is over a moment later.
+            self.handle.registerTimer(tomb[0] + self.ttl + 1)
         if out:
             yield pd.DataFrame(out, columns=COLUMNS)
 
@@ -71,21 +74,23 @@ class Tombstones(StatefulProcessor):
 def lifetimes(events: DataFrame, ttl: float, late: str = "1 hour") -> DataFrame:
     """The stream of hits and evictions (OUTPUT) of a stream of events; ttl is in seconds.
 
-    An eviction's time is the end of the tombstone's life, whichever batch finds it. Events later
+    An eviction's time is the end of the tombstone's life, whichever batch finds it; it comes when a later collect
+    takes the place or the watermark has passed that time, not with a query before. Events later
     than the watermark, ``late`` behind the latest, are lost, as is usual for streams;
     null nodes and times are left out. Equal whatever the batches are, as long as nothing is late.
     """
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    x = events.where("node_id is not null and at is not null").withWatermark("at", late)
-    x = x.select(F.col("node_id").cast("string").alias("node_id"), "at", F.unix_millis("at").alias("at_ms"), "op", F.col("superseded_by").cast("string").alias("superseded_by"))
+    # The watermark goes by the same rounded times as the timers.
+    x = events.where("node_id is not null and at is not null").withColumn("at_ms", _millis(F.col("at"))).withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", late)
+    x = x.select(F.col("node_id").cast("string").alias("node_id"), "at", "at_ms", "op", F.col("superseded_by").cast("string").alias("superseded_by"))
     return x.groupBy("node_id").transformWithStateInPandas(Tombstones(round(ttl * 1000)), OUTPUT, "append", "eventTime")
 
 
 def lifetimes_of_log(events: DataFrame, ttl: float, until_ms: int) -> DataFrame:
     """The same of a table of events, as far as a watermark ``until_ms`` tells: by windows over each node's events."""
     ms = round(ttl * 1000)
-    x = events.where("node_id is not null and at is not null").select(F.col("node_id").cast("string").alias("node_id"), F.unix_millis("at").alias("at_ms"), "op", F.col("superseded_by").cast("string").alias("superseded_by"))
+    x = events.where("node_id is not null and at is not null").select(F.col("node_id").cast("string").alias("node_id"), _millis(F.col("at")).alias("at_ms"), "op", F.col("superseded_by").cast("string").alias("superseded_by"))
     order = Window.partitionBy("node_id").orderBy("at_ms", "op")
     tomb = F.last(F.when(F.col("op") == "collect", F.struct(F.col("at_ms").alias("c"), F.col("superseded_by").alias("by"))), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     following = F.first(F.when(F.col("op") == "collect", F.col("at_ms")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))

@@ -57,6 +57,24 @@ def test_time_to_live(spark, tmp_path):
     assert last.agg(evicted).first()[0] > 0
 
 
+def test_rounded_times_and_late_evictions(spark, tmp_path):
+    at = lambda seconds, micros=0: START + timedelta(seconds=seconds, microseconds=micros)
+    rows = [
+        ("a", at(0, 1500), "collect", None), ("a", at(5, 2499), "query", None),
+        # A question after the tombstone's life; the watermark, an hour behind, hasn't passed it.
+        ("b", at(TTL), "collect", None), ("b", at(2 * TTL + 60), "query", None),
+        # The watermark comes to the end of this life, not beyond it.
+        ("c", at(TTL - 3540, 600), "collect", None), ("d", at(2 * TTL + 60, 700), "query", None),
+    ]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/events")
+    out = tombstones.appended(tombstones.lifetimes(replay.event_stream(spark, f"{tmp_path}/events"), TTL))
+    ms, life = int(START.timestamp() * 1000), round(TTL * 1000)
+    want = [("a", "evicted", ms + 2, ms + 2 + life), ("a", "hit", ms + 2, ms + 5002)]
+    assert sorted(tuple(r)[:4] for r in out.collect()) == want
+    until = ms + 1 + 2 * life + 60_000 - 3_600_000
+    assert as_set(out) == as_set(tombstones.lifetimes_of_log(spark.createDataFrame(rows, SCHEMA), TTL, until))
+
+
 def test_interval_join(spark, tmp_path):
     r = random.Random(4)
     at = lambda hours: START + timedelta(hours=hours)
