@@ -106,9 +106,9 @@ def fact_sweeps(log: DataFrame, every: int, min_age: float, spans: DataFrame | N
     ripe = facts.select("fact", "added_at", (F.col("added_at") + min_age).alias("t"), F.lit(None).cast("long").alias("tick")).withColumn("day", F.floor(F.col("t") / DAY))
     line = ripe.unionByName(ticks.select(F.lit(None).cast("long").alias("fact"), F.lit(None).cast("double").alias("added_at"), F.col("tick_ts").alias("t"), "tick", F.col("tick_day").alias("day")))
     by_day = line.groupBy("day").agg(F.min("tick").alias("first_tick"))
-    by_day = by_day.withColumn("next_tick", F.min("first_tick").over(Window.orderBy("day").rowsBetween(1, Window.unboundedFollowing))).drop("first_tick")
-    # At equal times the facts come first, as a sweep of that time sees them.
-    later = Window.partitionBy("day").orderBy("t", F.col("tick").isNotNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    by_day = by_day.withColumn("next_tick", F.min("first_tick").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1))).drop("first_tick")
+    # From the last to the first, as Spark goes through all rows that follow anew for each row. At equal times the facts come after, as a sweep of that time sees them.
+    later = Window.partitionBy("day").orderBy(F.desc("t"), F.col("tick").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ripe = line.withColumn("today", F.min("tick").over(later)).where("tick is null").join(F.broadcast(by_day), "day").select("fact", "added_at", F.coalesce("today", "next_tick").alias("ripe_tick"))
     aligned = spans.drop("added_at").join(ripe, "fact").join(F.broadcast(ends))
     tick = F.greatest(F.least(F.ceil(F.col("i_from") / every) * every, F.col("last_i")), F.col("ripe_tick"))

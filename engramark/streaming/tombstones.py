@@ -93,7 +93,9 @@ def lifetimes_of_log(events: DataFrame, ttl: float, until_ms: int) -> DataFrame:
     x = events.where("node_id is not null and at is not null").select(F.col("node_id").cast("string").alias("node_id"), _millis(F.col("at")).alias("at_ms"), "op", F.col("superseded_by").cast("string").alias("superseded_by"))
     order = Window.partitionBy("node_id").orderBy("at_ms", "op")
     tomb = F.last(F.when(F.col("op") == "collect", F.struct(F.col("at_ms").alias("c"), F.col("superseded_by").alias("by"))), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    following = F.first(F.when(F.col("op") == "collect", F.col("at_ms")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # The next collect, from the last event to the first: a frame that ends with the partition is gone through anew for each row.
+    back = Window.partitionBy("node_id").orderBy(F.desc("at_ms"), F.desc("op")).rowsBetween(Window.unboundedPreceding, -1)
+    following = F.last(F.when(F.col("op") == "collect", F.col("at_ms")), ignorenulls=True).over(back)
     y = x.withColumn("tomb", tomb).withColumn("next", following)
     hits = y.where((F.col("op") == "query") & (F.col("at_ms") - F.col("tomb.c") <= ms)).select("node_id", F.lit("hit").alias("kind"), F.col("tomb.c").alias("collected_ms"), "at_ms", F.col("tomb.by").alias("superseded_by"))
     over = (F.col("next") - F.col("at_ms") > ms) | (F.col("next").isNull() & (F.col("at_ms") + ms < until_ms))

@@ -160,3 +160,11 @@ def test_single_entity_goes_by_ascii_words(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
     found = [r["e"] for r in df.select("k", mentions.single_entity(F.col("text"), {"the": ("the",), "of": ("of", "for"), "und": ("und", "der")}).alias("e")).orderBy("k").collect()]
     assert found == ["und", "the", "the", None, None, None, None, None, "of"]
+
+
+def test_sweeps_go_through_a_day_once(spark):
+    # A frame that ends with the partition is gone through anew for each row.
+    log = lifecycle.numbered(spark.createDataFrame([(k, k % 3, 40.0 * k, 1, 1) for k in range(50)] + [(k, k % 3, 4e6 + 40.0 * k, -1, 1) for k in range(50)], "fact long, entity long, ts double, op int, line int"), "ts", "op", "fact")
+    x = lifecycle.fact_sweeps(log, 10, 3600.0)
+    assert "unboundedfollowing" not in x._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert x.where("tick is not null").count() == 50
