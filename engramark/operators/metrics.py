@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramark.functions import text
+from engramark.operators.graph import reliable
+
+#: Tasks for each core that pairs are dealt to.
+DEALT = 4
 
 
 def per_item(labels: DataFrame, *by: str) -> DataFrame:
@@ -209,22 +213,28 @@ def throughput(writes: DataFrame, order: str, ms: str, *by: str) -> DataFrame:
 
 def merged_alone(pairs: DataFrame, threshold: float, guarded: bool = True) -> DataFrame:
     """pairs (a, b, ...) with merged: whether a clustering that has seen nothing else puts the two names under one label, by the cosine of their hashed tokens."""
-    def bag(name: str) -> Column:
-        hashed = F.transform(text.tokens(name), lambda t: F.struct(text.token_bucket(t).alias("i"), text.token_sign(t).alias("s")))
-        each = F.array_distinct(F.transform(hashed, lambda h: h["i"]))
-        return F.transform(each, lambda i: F.struct(i.alias("i"), F.aggregate(F.filter(hashed, lambda h: h["i"] == i), F.lit(0), lambda s, h: s + h["s"]).alias("w")))
+    def hashed(name: str) -> Column:
+        return F.transform(text.tokens(name), lambda t: F.struct(text.token_bucket(t).alias("i"), text.token_sign(t).alias("s")))
+
+    def bag(tokens: str) -> Column:
+        each = F.array_distinct(F.transform(tokens, lambda h: h["i"]))
+        return F.transform(each, lambda i: F.struct(i.alias("i"), F.aggregate(F.filter(tokens, lambda h: h["i"] == i), F.lit(0), lambda s, h: s + h["s"]).alias("w")))
 
-    x = pairs.withColumn("_a", bag("a")).withColumn("_b", bag("b"))
+    # A pair costs far more than its bytes tell, so that a small file is dealt to all cores. Tokens and maps are columns of their own, made once a row.
+    x = pairs.repartition(DEALT * pairs.sparkSession.sparkContext.defaultParallelism)
+    x = x.withColumn("_ha", hashed("a")).withColumn("_hb", hashed("b")).withColumn("_a", bag("_ha")).withColumn("_b", bag("_hb")).withColumn("_m", F.map_from_entries("_b"))
     size = lambda c: F.aggregate(c, F.lit(0.0), lambda s, e: s + e["w"] * e["w"])
-    dot = F.aggregate("_a", F.lit(0.0), lambda s, e: s + e["w"] * F.coalesce(F.map_from_entries("_b")[e["i"]], F.lit(0)))
+    dot = F.aggregate("_a", F.lit(0.0), lambda s, e: s + e["w"] * F.coalesce(F.col("_m")[e["i"]], F.lit(0)))
     norm = F.sqrt(size("_a") * size("_b"))
     near = F.coalesce(dot / F.when(norm > 0, norm) >= threshold - 1e-12, F.lit(False))
     near = near & text.merge_allowed("a", "b") if guarded else near
-    return x.withColumn("merged", near | (F.col("a") == F.col("b"))).drop("_a", "_b")
+    return x.withColumn("merged", near | (F.col("a") == F.col("b"))).drop("_ha", "_hb", "_a", "_b", "_m")
 
 
 def with_examples(rows: DataFrame, order: str, flag: str, shown: tuple[str, str], most: int) -> DataFrame:
     """n, ``flag`` (how many have it), rate_pct, and examples: the first ``most`` of those, by ``order``, joined into a text."""
+    # Flags are read twice and may be dear: they are made once.
+    rows = reliable(rows.select(order, flag, *shown))
     first = rows.where(flag).orderBy(order).limit(most).agg(F.array_sort(F.collect_list(F.struct(order, F.concat(shown[0], F.lit(" = "), shown[1]).alias("x")))).alias("e"))
     counts = rows.agg(F.count("*").alias("n"), F.count_if(F.col(flag)).alias(flag), F.round(100.0 * F.avg(F.col(flag).cast("double")), 4).alias("rate_pct"))
     return counts.crossJoin(first).select("n", flag, "rate_pct", F.array_join(F.transform("e", lambda e: e["x"]), "; ").alias("examples"))

@@ -61,3 +61,8 @@ def test_throughput(spark):
         ms = [m for _, _, m in sorted(x for x in rows if x[0] == g)][warm:]
         assert (got[g]["warmed"], got[g]["measured"]) == (warm, len(ms)) and abs(got[g]["per_second"] - len(ms) / (sum(ms) / 1000)) < 1e-6
         assert (got[g]["p50"], got[g]["p99"]) == (sorted(ms)[len(ms) // 2], sorted(ms)[min(len(ms) - 1, int(len(ms) * 0.99))])
+
+
+def test_pairs_are_dealt_to_all_cores(spark):
+    df = spark.createDataFrame([(k, f"name {k}", f"name {k} of") for k in range(8)], "k int, a string, b string").coalesce(1)
+    assert metrics.merged_alone(df, 0.7).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
