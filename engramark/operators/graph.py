@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,13 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: for long tables far fewer bytes than a checkpoint's rows."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """node, component (the least node reachable) of edges (u, v), by least labels with pointer jumping."""
     both = reliable(edges.select("u", "v").union(edges.select("v", "u")).where("u <> v").distinct())

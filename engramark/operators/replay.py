@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramark.operators import lifecycle
-from engramark.operators.graph import reliable
+from engramark.operators.graph import reliable, stored
 from engramark.operators.lifecycle import DAY
 
 EVIDENCE = ("fact", "episode", "mention")
@@ -53,6 +53,8 @@ def applied(graph: Graph, events: DataFrame) -> Graph:
     log = log.withColumn("count", F.col("run") - F.least(F.lit(0), F.min("run").over(edge)))
     log = log.withColumn("before", F.coalesce(F.lag("count").over(edge), "base"))
     log = log.withColumn("change", F.when(F.col("step") == 1, 1).when((F.col("before") > 0) & (F.col("count") == 0), -1).otherwise(0))
+    # Both ends' degrees and the edges read the changes: they are made once.
+    log = stored(log.select("i", "src", "dst", "count", "change"))
     after = log.groupBy("src", "dst").agg(F.max_by("count", "i").alias("now"))
     edges = graph.edges.join(after, ["src", "dst"], "full").select("src", "dst", F.coalesce("now", "count").alias("count")).where("count > 0")
 
@@ -142,7 +144,7 @@ def swept(graph: Graph, rule: str, t: float, facts: DataFrame | None = None, ten
     tombs = gone.withColumn("collected_at", F.lit(float(t)))
     tombs = tombs.withColumn("superseded_by", F.lit(None).cast("string")) if facts is None else tombs.join(facts.select("node_id", "superseded_by"), "node_id", "left")
     after = collected(graph, gone)
-    return Graph(reliable(after.nodes), reliable(after.edges), reliable(after.pins)), reliable(tombs)
+    return Graph(stored(after.nodes), stored(after.edges), reliable(after.pins)), reliable(tombs)
 
 
 def replayed(events: DataFrame, rule: str, every: int, survivors: DataFrame | None = None, facts: DataFrame | None = None, tenant_pins: DataFrame | None = None, pins_first: bool = False, **settings: float) -> Run:
@@ -162,6 +164,8 @@ def replayed(events: DataFrame, rule: str, every: int, survivors: DataFrame | No
     for at, t in [*ticks, (ends["n"], ends["t"])]:
         if at > done:
             graph = applied(graph, events.where((F.col("i") > done) & (F.col("i") <= at)))
+            # A sweep reads them several times.
+            graph = graph._replace(nodes=stored(graph.nodes), edges=stored(graph.edges))
         graph, fresh = swept(graph, rule, t, facts, tenant_pins, **settings)
         done = at
         counts["sweeps"] += 1

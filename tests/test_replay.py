@@ -162,3 +162,10 @@ def test_stores_as_graphs(spark):
     assert [x["node_id"] for x in order] == ["p2", "n2"]
     named = replay.document_ids(spark.createDataFrame([(30, "c"), (10, "a"), (20, "b")], "k long, x string"), "k")
     assert {x["x"]: x["doc_node"] for x in named.collect()} == {"a": "doc_00000000", "b": "doc_00000001", "c": "doc_00000002"}
+
+
+def test_log_is_made_once(spark):
+    from engramark.plans import extended
+
+    for query in (extended.event_state, extended.collected_graph):
+        assert "l_shipdate" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
