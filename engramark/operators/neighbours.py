@@ -34,6 +34,8 @@ ENTRIES = 32
 ROUNDS = 200
 #: Up to so many rows the exact search is taken.
 LINEAR = 5000
+#: The recall that a search must have.
+LEAST = 0.9
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -192,6 +194,24 @@ def searched(queries: DataFrame, index: DataFrame, top: int = 1, beam: int = BEA
     return state.where("query <> id").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top).select("query", "id", "cosine")
 
 
+def enough(queries: DataFrame, index: DataFrame, truth: DataFrame, top: int, least: float = LEAST) -> tuple[DataFrame, float]:
+    """What a search finds, and its recall of the truth: the beam is doubled until the recall is ``least``, at the latest when it holds all nodes."""
+    n, beam = index.count(), max(BEAM, top)
+    while True:
+        found = reliable(searched(queries, index, top, beam))
+        share = recall(found, truth).first()["recall"]
+        if share is None or share >= least or beam > n:
+            return found, share
+        beam *= 2
+
+
+def checked(found: DataFrame, queries: DataFrame, rows: DataFrame, top: int = 1) -> DataFrame:
+    """What a search found after an exact check against all rows, in blocks of queries: rows that it missed take the places of lesser ones."""
+    every = found.unionByName(dense.nearest(queries, rows, top)).groupBy("query", "id").agg(F.max("cosine").alias("cosine"))
+    order = Window.partitionBy("query").orderBy(F.desc(F.round("cosine", 6)), "id")
+    return every.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top).drop("_r")
+
+
 def nearest(queries: DataFrame, rows: DataFrame, top: int = 1, backend: str = "auto") -> DataFrame:
     """(query, id, cosine) by the ``backend``: linear (exact, in blocks), graph, or auto, which takes the graph for more than LINEAR rows."""
     if backend not in ("linear", "graph", "auto"):

@@ -108,3 +108,22 @@ def test_pairs_verify_few(spark):
     between, _, counts = dense.pairs(dense.packed(spark.createDataFrame(rows, SCHEMA)), 0.85)
     ids, x = unit(rows)
     assert between.count() == int((np.triu(x @ x.T, 1) >= 0.85).sum()) and counts.first()["verified"] < 120_000
+
+
+def test_missed_rows_are_found_by_the_check(spark, packed):
+    rows = vectors()
+    queries = {i for i, *_ in rows if i % 50 == 0}
+    asked = packed.where("id % 50 = 0")
+    want = truth(rows, queries, 2)
+    poor = dense.nearest(asked, packed, 9).where("cosine < 1").groupBy("query").agg(F.max("id").alias("id"), F.lit(-0.5).alias("cosine"))
+    found = neighbours.checked(poor, asked, packed, 2)
+    assert by_query(found) == want
+
+
+def test_beam_widens_until_enough_is_found(spark, packed, monkeypatch):
+    monkeypatch.setattr(neighbours, "BEAM", 1)
+    asked = packed.where("id % 100 = 0")
+    index, right = neighbours.graph(packed), dense.nearest(asked, packed, 5)
+    narrow = neighbours.recall(neighbours.searched(asked, index, 5, 5), right).first()["recall"]
+    found, share = neighbours.enough(asked, index, right, 5, max(0.9, min(1.0, narrow + 0.001)))
+    assert share >= 0.9 and share >= narrow and found.count() == 5 * asked.count()
