@@ -11,17 +11,19 @@ every group of suffixes with a common prefix, the neighbours in the order of
 prefixes give the longest match on the left.
 
 The segments of a hash that has more than GROUP of them are split by their next
-anchors, so that no task sorts many.
+anchors, so that no task sorts many. Strings of several lengths go through the same
+steps at once: their hashes are kept apart.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engramark.llm import bytetext, scratch
@@ -34,31 +36,39 @@ PASSAGE = 250
 #: Distinct segments of one hash, of less than twice LENGTH bytes each, that one task sorts.
 GROUP = 2048
 
+#: Further anchors by which a larger group is split first.
+ANCHORS = 4
+#: Parts that a task makes at once.
+DEALT = 4096
+PLACE = ("length", "key", "doc_id", "start")
+
 Segment = tuple[bytes, int]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """row (all columns), key, doc_id and text: key and doc_id name a row; rows equal in both columns are removed alike."""
+    """row (all columns), key, doc_id (0 for null, which the key tells apart) and text: key and doc_id name a row; rows equal in both columns are removed alike."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(doc_id, text).alias("key"), doc_id.alias("doc_id"), text.alias("text"))
+    key = F.xxhash64(doc_id.isNull(), doc_id, text)
+    return docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), F.coalesce(doc_id, F.lit(0)).alias("doc_id"), text.alias("text"))
 
 
-def segments(texts: DataFrame, length: int) -> DataFrame:
-    """hash, content, key, doc_id, start, size, anchor: every segment of texts (key, doc_id, base, text), with a digest of its bytes and the anchor's distance from its start; a text's first byte is at ``base``."""
+def segments(texts: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """hash, content, length, key, doc_id, start, size, anchor: every segment of texts (key, doc_id, text) for strings of each length, with a digest of its bytes and the anchor's distance from its start; no hash has segments of two lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for rows, data, offs in bytetext.pieces(batches):
-                first, last, anchor, hashes = anchors(data, offs, length)
                 view = memoryview(data)
-                contents = [digest(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                doc = np.searchsorted(offs, first, "right") - 1
-                names = [pa.array(hashes.view(np.int64)), pa.array(contents, pa.binary()), rows.column(0).take(pa.array(doc)), rows.column(1).take(pa.array(doc))]
-                start = first - offs[doc] + rows.column(2).to_numpy()[doc]
-                yield pa.RecordBatch.from_arrays([*names, pa.array(start), pa.array((last - first + length).astype(np.int32)), pa.array((anchor - first).astype(np.int32))], ["hash", "content", "key", "doc_id", "start", "size", "anchor"])
+                for length in lengths:
+                    first, last, anchor, hashes = anchors(data, offs, length)
+                    hashes = bytetext.mix(hashes + np.uint64(length) * np.uint64(0x9E3779B97F4A7C15))
+                    contents = [digest(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                    doc = np.searchsorted(offs, first, "right") - 1
+                    names = [pa.array(hashes.view(np.int64)), pa.array(contents, pa.binary()), pa.array(np.full(len(first), length, np.int32)), *(rows.column(k).take(pa.array(doc)) for k in (0, 1))]
+                    yield pa.RecordBatch.from_arrays([*names, pa.array(first - offs[doc]), pa.array((last - first + length).astype(np.int32)), pa.array((anchor - first).astype(np.int32))], ["hash", "content", "length", "key", "doc_id", "start", "size", "anchor"])
 
-    return texts.select("key", "doc_id", "base", "text").mapInArrow(run, "hash long, content binary, key long, doc_id long, start long, size int, anchor int")
+    return texts.select("key", "doc_id", "text").mapInArrow(run, "hash long, content binary, length int, key long, doc_id long, start long, size int, anchor int")
 
 
 def digest(data: bytes) -> bytes:
@@ -103,34 +113,35 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
         stack.append((first, depth))
 
 
-def compared(fetched: DataFrame, length: int) -> DataFrame:
-    """key, doc_id, start, end of the ranges in single segments that match another of their hash; rows have hash, n, key, doc_id, start, anchor, bytes."""
+def compared(fetched: DataFrame) -> DataFrame:
+    """key, doc_id, length, start, end of the ranges in single segments that match another of their hash; rows have hash, n, length, key, doc_id, start, anchor, bytes."""
+    names = ["key", "doc_id", "length", "start", "end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group, rows = None, [], []
 
         def out() -> pa.RecordBatch:
-            columns: list[list] = [[], [], [], []]
-            for (key, doc_id, start, n), found in zip(rows, matches(group, length) if len(group) > 1 else [None] * len(group), strict=True):
+            columns: list[list] = [[], [], [], [], []]
+            for (key, doc_id, length, start, n), found in zip(rows, matches(group, rows[0][2]) if len(group) > 1 else [None] * len(group), strict=True):
                 if n == 1 and found:
-                    for column, value in zip(columns, (key, doc_id, start + found[0], start + found[1]), strict=True):
+                    for column, value in zip(columns, (key, doc_id, length, start + found[0], start + found[1]), strict=True):
                         column.append(value)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "doc_id", "start", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == "length" else pa.int64()) for k, c in zip(names, columns, strict=True)], names)
 
         for batch in batches:
-            for hash_, n, key, doc_id, start, anchor, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for hash_, n, length, key, doc_id, start, anchor, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if hash_ != now:
                     if group:
                         yield out()
                     now, group, rows = hash_, [], []
                 group.append((content, anchor))
-                rows.append((key, doc_id, start, n))
+                rows.append((key, doc_id, length, start, n))
         if group:
             yield out()
 
     parts = scratch.shuffle_partitions(fetched.sparkSession)
-    sorted_ = fetched.repartition(parts, "hash").sortWithinPartitions("hash").select("hash", "n", "key", "doc_id", "start", "anchor", "bytes")
-    return sorted_.mapInArrow(run, "key long, doc_id long, start long, end long")
+    sorted_ = fetched.repartition(parts, "hash").sortWithinPartitions("hash").select("hash", "n", *PLACE, "anchor", "bytes")
+    return sorted_.mapInArrow(run, "key long, doc_id long, length int, start long, end long")
 
 
 def next_anchors(content: bytes, taken: list[int], length: int) -> Iterator[tuple[int, int, int, int]]:
@@ -149,103 +160,115 @@ def next_anchors(content: bytes, taken: list[int], length: int) -> Iterator[tupl
         yield (a, b - 1, at, int(hashes[at])) if at < len(hashes) else (a, b - 1, -1, 0)
 
 
-def split(fetched: DataFrame, length: int) -> DataFrame:
-    """The windows of segments cut at a further anchor: hash now stands for all anchors and their distances, so that equal windows still meet.
+def split(fetched: DataFrame, times: int) -> DataFrame:
+    """The windows of segments cut at ``times`` further anchors, one after the other: hash now stands for all anchors and their distances, so that equal windows still meet.
 
     With as many anchors as a window has positions, its hash stands for all of its
     bytes: a group can be split until its segments are few or equal.
     """
+    names = ["hash", "content", "n", "length", "key", "doc_id", "start", "anchor", "taken", "bytes"]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 rows: list[tuple] = []
-                for hash_, n, key, doc_id, start, anchor, taken, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    for a, b, at, h in next_anchors(content, [anchor, *taken], length):
-                        part = content[a : b + length]
-                        mixed = bytetext.mix(np.array([(hash_ * 0x9E3779B97F4A7C15 + h * 0xC2B2AE3D27D4EB4F + (at - anchor if at >= 0 else 0)) % (1 << 64)], np.uint64))
-                        rows.append((int(mixed.view(np.int64)[0]), digest(part), n, key, doc_id, start + a, anchor - a, [x - a for x in (*taken, at) if x >= 0], part))
-                columns = list(zip(*rows, strict=True)) or [()] * 9
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["hash", "content", "n", "key", "doc_id", "start", "anchor", "taken", "bytes"])
+                for hash_, n, length, key, doc_id, begin, middle, before, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    parts = [(hash_, begin, middle, before, whole)]
+                    for _ in range(times):
+                        parts = [
+                            (_mixed(mixed, h, at - anchor if at >= 0 else 0), start + a, anchor - a, [x - a for x in (*taken, at) if x >= 0], content[a : b + length])
+                            for mixed, start, anchor, taken, content in parts
+                            for a, b, at, h in next_anchors(content, [anchor, *taken], length)
+                        ]
+                    rows += [(mixed, digest(part), n, length, key, doc_id, start, anchor, taken, part) for mixed, start, anchor, taken, part in parts]
+                    if len(rows) >= DEALT:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return fetched.select("hash", "n", *PLACE, "anchor", "taken", "bytes").mapInArrow(run, "hash long, content binary, n long, length int, key long, doc_id long, start long, anchor int, taken array<int>, bytes binary")
+
+
+def _mixed(hash_: int, other: int, apart: int) -> int:
+    """The hash of a group's part, a signed 64-bit integer."""
+    mixed = bytetext.mix(np.array([(hash_ * 0x9E3779B97F4A7C15 + other * 0xC2B2AE3D27D4EB4F + apart) % (1 << 64)], np.uint64))
+    return int(mixed.view(np.int64)[0])
+
+
+def _distinct(rows: DataFrame, n: Column, *columns: str) -> DataFrame:
+    """hash, content, rows, n (added up) and the other columns of one of the rows of each hash and content, whichever comes first."""
+    # Columns of their own: a struct's least would be sorted for, not hashed.
+    return rows.groupBy("hash", "content").agg(F.count("*").alias("rows"), F.sum(n).alias("n"), *(F.first(c).alias(c) for c in columns))
 
-    return fetched.select("hash", "n", "key", "doc_id", "start", "anchor", "taken", "bytes").mapInArrow(run, "hash long, content binary, n long, key long, doc_id long, start long, anchor int, taken array<int>, bytes binary")
 
+def _kinds(distinct: DataFrame) -> DataFrame:
+    """hash, kinds: how many different segments the hashes have of which some must be compared."""
+    return distinct.groupBy("hash").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").drop("least")
 
-def sorted_ranges(fetched: DataFrame, length: int, group: int) -> DataFrame:
-    """key, doc_id, start, end of the ranges in the single segments (n = 1) of each hash that match another of that hash.
 
-    Hashes with more than ``group`` distinct segments are split by further anchors,
-    as often as it takes; each group that is left is sorted in one task.
+def sorted_ranges(fetched: DataFrame, group: int) -> DataFrame:
+    """key, doc_id, length, start, end of the ranges in the single segments (n = 1) of each hash that match another of that hash.
+
+    Hashes with more than ``group`` distinct segments are split by further anchors, twice as many
+    each time, as often as it takes; each group that is left is sorted in one task.
     """
-    found, now = None, fetched
+    wholes, few, now, kinds, times = [], None, fetched, fetched, ANCHORS
     while True:
-        few = compared(now.where(F.col("kinds") <= group), length)
-        found = few if found is None else found.unionByName(few)
+        some = now.where(F.col("kinds") <= group).select("hash", "n", *PLACE, "anchor", "bytes")
+        few = some if few is None else few.unionByName(some)
         hot = now.where(F.col("kinds") > group)
-        if hot.isEmpty():
-            return found
-        parts = scratch.written(split(hot, length), "split-segments")
+        if kinds.where(F.col("kinds") > group).isEmpty():
+            # All groups are sorted at once, those of the parts too: a step for each round would be many small ones.
+            return reduce(DataFrame.unionByName, wholes, compared(few))
+        parts = scratch.written(split(hot, times), "split-segments")
         # Equal parts of different segments are repeated; one of them goes on.
-        same = parts.groupBy("hash", "content").agg(F.count("*").alias("rows"), F.sum("n").alias("all"), F.min(F.struct("key", "doc_id", "start")).alias("place"))
-        same = scratch.written(same, "split-distinct")
+        same = scratch.written(_distinct(parts, F.col("n"), *PLACE, "anchor", "taken", "bytes"), "split-distinct")
         whole = parts.where("n = 1").join(same.where("rows > 1").select("hash", "content"), ["hash", "content"], "left_semi")
-        found = found.unionByName(whole.select("key", "doc_id", "start", (F.col("start") + F.octet_length("bytes")).alias("end")))
-        kinds = same.groupBy("hash").agg(F.count("*").cast("long").alias("kinds"), F.min("all").alias("least")).where("kinds > 1 and least = 1").drop("least")
-        one = same.join(kinds, "hash").select("hash", "content", "all", "kinds", "place.*")
-        place = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("hash", "content", "key", "doc_id", "start")]
-        joined = one.alias("a").join(parts.alias("b"), place)
-        now = scratch.written(joined.select("a.hash", F.col("a.all").alias("n"), "a.kinds", "a.key", "a.doc_id", "a.start", "b.anchor", "b.taken", "b.bytes"), "split-bytes")
-
+        wholes.append(whole.select(*PLACE, (F.col("start") + F.octet_length("bytes")).alias("end")))
+        kinds = _kinds(same)
+        now, times = same.join(kinds, "hash"), 2 * times
 
-def repeated_ranges(texts: DataFrame, length: int = LENGTH, within: DataFrame | None = None, group: int = GROUP) -> DataFrame:
-    """key, doc_id, start, end: byte ranges, maybe overlapping, whose union is every byte of a string of ``length`` bytes that starts twice or more.
 
-    ``within`` are spans (key, doc_id, start, end) known to hold all such strings; default: the whole texts.
-    """
-    if within is None:
-        searched = texts.select("key", "doc_id", F.lit(0).cast("long").alias("base"), "text")
-    else:
-        raw = F.expr("substring(encode(text, 'UTF-8'), cast(start as int) + 1, cast(end - start as int))")
-        searched = _with_text(texts, within.where(F.col("end") - F.col("start") >= length), ["start", "end"]).select("key", "doc_id", F.col("start").alias("base"), raw.alias("text"))
-    all_ = scratch.written(segments(searched, length), "segments")
-    several = scratch.written(all_.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash"), "shared-hashes")
+def repeated_ranges(texts: DataFrame, *lengths: int, group: int = GROUP) -> DataFrame:
+    """key, doc_id, length, start, end: for each of the ``lengths``, byte ranges, maybe overlapping, whose union is every byte of a string of so many bytes that starts twice or more."""
+    all_ = scratch.written(segments(texts, lengths or (LENGTH,)), "segments")
+    several = all_.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
     shared = scratch.written(all_.join(several, "hash", "left_semi"), "shared-segments")
-    place = F.struct("key", "doc_id", "start", "size", "anchor")
-    distinct = scratch.written(shared.groupBy("hash", "content").agg(F.count("*").alias("n"), F.min(place).alias("place")), "distinct-segments")
+    distinct = scratch.written(_distinct(shared, F.lit(1), *PLACE, "size", "anchor"), "distinct-segments")
 
     whole = shared.join(distinct.where("n > 1").select("hash", "content"), ["hash", "content"], "left_semi")
-    whole = whole.select("key", "doc_id", "start", (F.col("start") + F.col("size")).alias("end"))
+    whole = whole.select(*PLACE, (F.col("start") + F.col("size")).alias("end"))
 
-    kinds = distinct.groupBy("hash").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").drop("least")
-    mixed = distinct.join(kinds, "hash").select("hash", "n", "kinds", "place.*")
+    mixed = distinct.join(_kinds(distinct), "hash")
     content = F.expr("substring(encode(text, 'UTF-8'), cast(start as int) + 1, size)").alias("bytes")
-    fetched = _with_text(texts, mixed, ["hash", "n", "kinds", "start", "size", "anchor"]).select("hash", "n", "kinds", "key", "doc_id", "start", "anchor", F.expr("cast(array() as array<int>)").alias("taken"), content)
+    fetched = _with_text(texts, mixed, ["hash", "n", "kinds", "length", "start", "size", "anchor"])
+    fetched = fetched.select("hash", "n", "kinds", *PLACE, "anchor", F.expr("cast(array() as array<int>)").alias("taken"), content)
     fetched = scratch.written(fetched, "segment-bytes")
-    return whole.unionByName(sorted_ranges(fetched, length, group))
+    return whole.unionByName(sorted_ranges(fetched, group))
 
 
 def _with_text(texts: DataFrame, places: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of ``places`` with key, doc_id and the text of each row of ``texts`` that they name."""
     wanted = places.groupBy("key", "doc_id").agg(F.collect_list(F.struct(*columns)).alias("wanted"))
-    same = F.col("t.key").eqNullSafe(F.col("w.key")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
-    return texts.select("key", "doc_id", "text").alias("t").join(wanted.alias("w"), same).select("t.key", "t.doc_id", "text", F.explode("wanted").alias("x")).select("key", "doc_id", "text", "x.*")
+    return texts.select("key", "doc_id", "text").join(wanted, ["key", "doc_id"]).select("key", "doc_id", "text", F.explode("wanted").alias("x")).select("key", "doc_id", "text", "x.*")
 
 
 def merged(ranges: DataFrame) -> DataFrame:
-    """key, doc_id, start, end: the maximal runs of bytes that ranges cover; ranges that touch are one run."""
-    order = Window.partitionBy("key", "doc_id").orderBy("start", "end")
+    """key, doc_id, length, start, end: the maximal runs of bytes that ranges of each length cover; ranges that touch are one run."""
+    order = Window.partitionBy("key", "doc_id", "length").orderBy("start", "end")
     far = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = ranges.withColumn("opens", F.when(far >= F.col("start"), 0).otherwise(1))
+    # Dealt by row alone, as the callers' next step wants it.
+    opens = ranges.repartition("key", "doc_id").withColumn("opens", F.when(far >= F.col("start"), 0).otherwise(1))
     runs = opens.withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("key", "doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+    return runs.groupBy("key", "doc_id", "length", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH, passage: int | None = None) -> DataFrame:
     """row (all columns of ``docs``), doc_id, text and spans, the merged byte runs [start, end) to remove from the text's UTF-8.
 
-    With ``passage``, at most ``length``, also passages: the runs that strings of so
-    many bytes give; longer strings are then only looked for in them.
+    With ``passage``, also passages: the runs that strings of so many bytes give.
 
     A null text is empty; texts of fewer than ``length`` bytes have no spans; a null
     doc_id is a document like any other; repeated rows repeat their strings, so all
@@ -253,15 +276,18 @@ def with_spans(docs: DataFrame, length: int = LENGTH, passage: int | None = None
     """
     spark, texts = docs.sparkSession, keyed(docs)
     none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
-    result = texts
     kinds = {"spans": length} if passage is None else {"passages": passage, "spans": length}
-    known = None
-    for name, size in kinds.items():
-        known = scratch.settled(spark, name, lambda size=size, known=known: merged(repeated_ranges(texts, size, known)))
-        lists = known.groupBy("key", "doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(name))
-        same = F.col("t.key").eqNullSafe(F.col("s.key")) & F.col("t.doc_id").eqNullSafe(F.col("s.doc_id"))
-        result = result.alias("t").join(lists.alias("s"), same, "left").select("t.*", F.coalesce(name, none).alias(name))
-    return result.drop("key")
+
+    def runs(size: int) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("length") == size, F.struct("start", "end"))))
+
+    def lists() -> DataFrame:
+        found = merged(repeated_ranges(texts.select("key", "doc_id", "text"), *dict.fromkeys(kinds.values())))
+        return found.groupBy("key", "doc_id").agg(*(runs(size).alias(name) for name, size in kinds.items()))
+
+    known = scratch.settled(spark, "spans", lists)
+    result = texts.join(known, ["key", "doc_id"], "left")
+    return result.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), "text", *(F.coalesce(name, none).alias(name) for name in kinds))
 
 
 def kept_bytes(raw: bytes, spans: list[dict]) -> bytes:

@@ -676,3 +676,15 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     again = corpus_pipeline.run(spark, d)
     columns = ("doc_id", "piece", "start", "length", "ids_crc32")
     assert Counter(tuple(x[c] for c in columns) for x in again.collect()) == Counter(tuple(x[c] for c in columns) for x in docs.collect())
+
+
+def test_suffix_dedup_takes_both_lengths_through_the_same_steps(spark, docs, monkeypatch):
+    # On many small partitions the time goes by steps: each length used to make all of them anew.
+    steps, written = [], suffix_dedup.scratch.written
+    monkeypatch.setattr(suffix_dedup.scratch, "written", lambda df, name: steps.append(name) or written(df, name))
+    same = "".join(f"row {k} of no number " for k in range(40))
+    more = spark.createDataFrame([(None, same), (0, same), (1, same[:300]), (None, None)], "doc_id long, text string")
+    got = {(x["doc_id"], x["text"]): ([(s["start"], s["end"]) for s in x["spans"]], [(s["start"], s["end"]) for s in x["passages"]]) for x in suffix_dedup.with_spans(more, 400, 250).collect()}
+    whole = [(0, len(same))]
+    assert got == {(None, same): (whole, whole), (0, same): (whole, whole), (1, same[:300]): ([], [(0, 300)]), (None, ""): ([], [])}
+    assert len(steps) == len(set(steps)) <= 5
