@@ -234,7 +234,8 @@ def sorted_ranges(fetched: DataFrame, group: int) -> DataFrame:
 def repeated_ranges(texts: DataFrame, *lengths: int, group: int = GROUP) -> DataFrame:
     """key, doc_id, length, start, end: for each of the ``lengths``, byte ranges, maybe overlapping, whose union is every byte of a string of so many bytes that starts twice or more."""
     all_ = scratch.written(segments(texts, lengths or (LENGTH,)), "segments")
-    several = all_.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
+    # Written, as Spark splits a frequent hash's rows only where no aggregation stands before the join.
+    several = scratch.written(all_.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash"), "shared-hashes")
     shared = scratch.written(all_.join(several, "hash", "left_semi"), "shared-segments")
     distinct = scratch.written(_distinct(shared, F.lit(1), *PLACE, "size", "anchor"), "distinct-segments")
 
