@@ -50,3 +50,16 @@ def test_retrieved(spark):
 def test_no_texts(spark):
     texts = spark.createDataFrame([], TEXTS)
     assert postings.first_holding(spark.createDataFrame([("ab",)], "word string"), texts, 3).count() == 0
+
+
+def test_a_done_question_takes_its_rare_words_no_further(spark, monkeypatch):
+    # Each word used to go through all texts until it had its own first ones, however many its question had.
+    parts, chosen = [], postings.chosen
+    monkeypatch.setattr(postings, "chosen", lambda words, texts: parts.append((sorted(x["word"] for x in words.collect()), texts.count())) or chosen(words, texts))
+    texts = spark.createDataFrame([(k, k, f"common {'rare ' if k == 990 else ''}text", "", 0) for k in range(1000)], TEXTS)
+    questions = spark.createDataFrame([(1, "common rare"), (2, "rare nowhere")], "question int, body string")
+    got = sorted((x["question"], x["id"], x["r"]) for x in postings.retrieved(questions, texts, STOPWORDS, 3).collect())
+    assert got == [(1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 990, 1)]
+    assert parts[0][0] == ["common", "nowhere", "rare"] and all(words == ["nowhere", "rare"] for words, _ in parts[1:])
+    # The parts are cut from one another: each text is gone through once.
+    assert len(parts) == 3 and sum(n for _, n in parts) == 1000
