@@ -9,6 +9,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +20,9 @@ from engramark.operators.graph import reliable
 #: Queries that one pass over all rows takes along, and rows of a block of the pair join.
 QUERIES_AT_ONCE = 4096
 BLOCK = 8192
-#: Rows whose cosines with a block of queries are held at once, and rows that are dealt to their meetings at once.
+#: Rows whose cosines with a block of queries are held at once, cosines of a meeting held at once, and rows that are dealt to their meetings at once.
 AT_ONCE = 1024
+CELLS = 1 << 20
 DEALT = 4096
 #: Pivots at most, and the rows that a pivot stands for.
 PIVOTS = 256
@@ -107,32 +109,32 @@ def _best_of(given, top: int):
     return run
 
 
-def _close(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(row of a, row of b, cosine, number verified) of pairs with at least the threshold.
+def _close(a: np.ndarray, b: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(row of a, row of b, cosine, number verified) of pairs with at least the threshold, in strips of a of which CELLS cosines are held.
 
     The leading dimensions come first: what the rest can add is at most the product of
     the rests' lengths, and only pairs that may still reach the threshold are verified.
     """
     head = max(1, min(a.shape[1] // 2, 16))
     rest = [np.sqrt(np.maximum(0, 1 - (m[:, :head] ** 2).sum(1))) for m in (a, b)]
-    found, verified = [], 0
-    for k in range(0, len(a), AT_ONCE):
-        part = a[k : k + AT_ONCE]
-        may = part[:, :head] @ b[:, :head].T + rest[0][k : k + AT_ONCE, None] * rest[1][None] >= threshold - SLACK
+    height = max(1, CELLS // max(1, len(b)))
+    for k in range(0, len(a), height):
+        part = a[k : k + height]
+        most = rest[0][k : k + height, None] * rest[1][None]
+        most += part[:, :head] @ b[:, :head].T
+        may = most >= threshold - SLACK
         n = int(np.count_nonzero(may))
-        verified += n
         if n * 16 > may.size:
             # Where many are left, all products together cost less than each on its own.
-            cosines = part @ b.T
-            i, j = np.nonzero(may & (cosines >= threshold - SLACK))
-            found.append((i + k, j, cosines[i, j]))
+            cosines = np.matmul(part, b.T, out=most)
+            may &= cosines >= threshold - SLACK
+            i, j = np.nonzero(may)
+            yield i + k, j, cosines[i, j], n
         else:
             i, j = np.nonzero(may)
             cosine = np.einsum("ij,ij->i", part[i], b[j])
             keep = cosine >= threshold - SLACK
-            found.append((i[keep] + k, j[keep], cosine[keep]))
-    i, j, cosine = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-    return i, j, cosine, verified
+            yield i[keep] + k, j[keep], cosine[keep], n
 
 
 def _meetings(rows: DataFrame, threshold: float, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
@@ -218,16 +220,20 @@ def _meetings(rows: DataFrame, threshold: float, by: tuple[str, ...]) -> tuple[D
     return meetings, rows.join(classes.withColumnRenamed("id", "class"), ["_g", "x"]).select("id", "class")
 
 
-def _met(pdf, threshold: float):
-    """(ids, sizes, row of one, row of the other, cosine, verified) of the close pairs of one meeting."""
+def _met(pdf: pd.DataFrame, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(row of one, row of the other, cosine, verified) of the close pairs of one meeting, strip by strip."""
     side, x = pdf["side"].to_numpy(), matrix(pdf["x"])
     same = pdf["one"].iloc[0] == pdf["other"].iloc[0]
     a, b = (np.flatnonzero(side == 0),) * 2 if same else (np.flatnonzero(side == k) for k in (0, 1))
-    i, j, cosine, verified = _close(x[a], x[b], threshold)
-    if same:
-        keep = i < j
-        i, j, cosine, verified = i[keep], j[keep], cosine[keep], (verified - len(a)) // 2
-    return pdf["id"].to_numpy(), pdf["n"].to_numpy(), a[i], b[j], cosine, verified
+    total = 0
+    for i, j, cosine, verified in _close(x[a], x[b], threshold):
+        total += verified
+        if same:
+            keep = i < j
+            i, j, cosine = i[keep], j[keep], cosine[keep]
+        yield a[i], b[j], cosine, 0
+    none = np.zeros(0, int)
+    yield none, none, np.zeros(0), (total - len(a)) // 2 if same else total
 
 
 def pairs(rows: DataFrame, threshold: float, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -240,15 +246,17 @@ def pairs(rows: DataFrame, threshold: float, by: tuple[str, ...] = ()) -> tuple[
     key = rows.schema["id"].dataType
     meetings, members = _meetings(rows, threshold, by)
 
-    def run(pdf):
-        import pandas as pd
-
-        ids, _, i, j, cosine, verified = _met(pdf, threshold)
-        u, v = ids[i], ids[j]
-        swap = u > v
-        # The last row has the count alone.
-        ends = [pd.Series([*np.where(swap, x, y), None], dtype=object) for x, y in ((v, u), (u, v))]
-        return pd.DataFrame({"u": ends[0], "v": ends[1], "cosine": [*cosine, 0.0], "verified": [0] * len(cosine) + [verified]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches), ignore_index=True)
+        ids = pdf["id"].to_numpy()
+        for i, j, cosine, verified in _met(pdf, threshold):
+            u, v = ids[i], ids[j]
+            swap = u > v
+            ends = [np.where(swap, x, y) for x, y in ((v, u), (u, v))]
+            yield pd.DataFrame({"u": ends[0], "v": ends[1], "cosine": cosine, "verified": np.zeros(len(i), np.int64)})
+            if verified:
+                # A row that has the count alone.
+                yield pd.DataFrame({"u": pd.Series([None], dtype=object), "v": pd.Series([None], dtype=object), "cosine": [0.0], "verified": [verified]})
 
     schema = T.StructType().add("u", key).add("v", key).add("cosine", "double").add("verified", "long")
     found = reliable(meetings.groupBy("_g", "cell", "one", "other").applyInPandas(run, schema))
@@ -263,14 +271,13 @@ def links(rows: DataFrame, threshold: float, by: tuple[str, ...] = ()) -> DataFr
     """
     meetings, members = _meetings(rows, threshold, by)
 
-    def run(pdf):
-        import pandas as pd
-
-        ids, sizes, i, j, cosine, _ = _met(pdf, threshold)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, sizes = pdf["id"].to_numpy(), pdf["n"].to_numpy()
         near, most = np.zeros(len(ids), np.int64), np.full(len(ids), -np.inf)
-        for a, b in ((i, j), (j, i)):
-            np.add.at(near, a, sizes[b])
-            np.maximum.at(most, a, cosine)
+        for i, j, cosine, _ in _met(pdf, threshold):
+            for a, b in ((i, j), (j, i)):
+                np.add.at(near, a, sizes[b])
+                np.maximum.at(most, a, cosine)
         some = near > 0
         return pd.DataFrame({"class": ids[some], "near": near[some], "most": most[some]})
 

@@ -127,3 +127,15 @@ def test_beam_widens_until_enough_is_found(spark, packed, monkeypatch):
     narrow = neighbours.recall(neighbours.searched(asked, index, 5, 5), right).first()["recall"]
     found, share = neighbours.enough(asked, index, right, 5, max(0.9, min(1.0, narrow + 0.001)))
     assert share >= 0.9 and share >= narrow and found.count() == 5 * asked.count()
+
+
+def test_close_pairs_come_in_strips(monkeypatch):
+    # All close pairs of two blocks used to be held at once.
+    monkeypatch.setattr(dense, "CELLS", 200)
+    r = np.random.default_rng(3)
+    a, b = (m / np.linalg.norm(m, axis=1)[:, None] for m in (r.normal(size=(31, 8)), r.normal(size=(50, 8))))
+    for threshold in (-1.0, 0.3, 0.9):
+        strips = list(dense._close(a, b, threshold))
+        assert len(strips) == 8 and all(len(i) <= 200 for i, *_ in strips)
+        got = {(x, y) for i, j, *_ in strips for x, y in zip(i.tolist(), j.tolist(), strict=True)}
+        assert got == {(int(x), int(y)) for x, y in zip(*np.nonzero(a @ b.T >= threshold - 1e-9), strict=True)}
