@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,20 +62,25 @@ def nearest(queries: DataFrame, rows: DataFrame, top: int = 1) -> DataFrame:
     Queries and rows are packed(). Blocks of about QUERIES_AT_ONCE queries, a bounded size, go to
     every task, which keeps each query's best ``top``; the tables are read once for each block.
     """
-    spark = rows.sparkSession
     kind = queries.select(F.col("id").alias("query")).schema.add("id", rows.schema["id"].dataType).add("cosine", "double")
-    blocks = max(1, -(-queries.count() * 2 // QUERIES_AT_ONCE))
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    out = spark.createDataFrame([], kind)
-    for block in range(blocks):
-        found = numbered.where(F.col("block") == block).select("id", "x").orderBy("id").collect()
-        if found:
-            given = spark.sparkContext.broadcast((np.array([r["id"] for r in found]), matrix([r["x"] for r in found])))
-            out = out.union(rows.select("id", "x").mapInArrow(_best_of(given, top), kind))
+    out = rows.sparkSession.createDataFrame([], kind)
+    for given in blocks(queries):
+        out = out.union(rows.select("id", "x").mapInArrow(_best_of(given, top), kind))
     order = Window.partitionBy("query").orderBy(F.desc(F.round("cosine", 6)), "id")
     return out.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top).drop("_r")
 
 
+def blocks(queries: DataFrame) -> Iterator[Broadcast]:
+    """Blocks of about QUERIES_AT_ONCE packed() queries, each (names, vectors) in the order of the names, broadcast."""
+    spark = queries.sparkSession
+    n = max(1, -(-queries.count() * 2 // QUERIES_AT_ONCE))
+    numbered = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
+    for block in range(n):
+        found = numbered.where(F.col("block") == block).select("id", "x").orderBy("id").collect()
+        if found:
+            yield spark.sparkContext.broadcast((np.array([r["id"] for r in found]), matrix([r["x"] for r in found])))
+
+
 def _best_of(given, top: int):
     """Each query's best rows of a task: names are sorted, and so are the rows of a batch, so that the first of equal cosines has the smallest id."""
 

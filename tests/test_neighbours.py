@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engramark.operators import dense, neighbours
+from engramark.plans import search
 
 SCHEMA = "id long, vector array<float>, x string, cosine double"
 
@@ -139,3 +140,46 @@ def test_close_pairs_come_in_strips(monkeypatch):
         assert len(strips) == 8 and all(len(i) <= 200 for i, *_ in strips)
         got = {(x, y) for i, j, *_ in strips for x, y in zip(i.tolist(), j.tolist(), strict=True)}
         assert got == {(int(x), int(y)) for x, y in zip(*np.nonzero(a @ b.T >= threshold - 1e-9), strict=True)}
+
+
+def test_parted_index(spark, packed, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART", 100)
+    rows = vectors()
+    ids, x = unit(rows)
+    index = neighbours.parted(packed, degree=8)
+    found = {r["id"]: (r["part"], r["links"]) for r in index.collect()}
+    assert len(found) == len(rows) == index.count() and len({p for p, _ in found.values()}) == 7
+    part = np.array([found[i][0] for i in ids.tolist()])
+    for i, (p, links) in found.items():
+        assert i not in links and len(set(links)) == len(links) <= 2 * 8 + neighbours.RANDOM and {found[k][0] for k in links} == {p}
+        # The nearest of the part are all there.
+        cosines = {int(k): c for k, c in zip(ids[part == p], x[part == p] @ x[list(ids).index(i)], strict=True) if k != i}
+        assert sorted((cosines[k] for k in links), reverse=True)[:8] == pytest.approx(sorted(cosines.values(), reverse=True)[:8], abs=1e-6)
+    asked = packed.where("id % 3 = 0")
+    exact = dense.nearest(asked, packed, 3)
+    narrow = neighbours.searched(asked, index, 3, 8)
+    assert neighbours.recall(narrow, exact).first()["recall"] >= 0.9
+    # A beam that holds all nodes reaches all of them.
+    monkeypatch.setattr(dense, "QUERIES_AT_ONCE", 200)
+    assert by_query(neighbours.searched(asked, index, 3, 1000)) == truth(rows, {i for i, *_ in rows if i % 3 == 0}, 3)
+    one = packed.where("id = 7")
+    assert neighbours.searched(one, neighbours.parted(one)).count() == 0
+    assert neighbours.parted(packed.limit(0)).count() == 0 and neighbours.searched(packed.limit(0), index).count() == 0
+
+
+def test_parted_index_of_equal_vectors_and_names(spark):
+    rows = [(f"n{k:03}", [1.0, 0.5] if k % 2 else [float(np.cos(k)), float(np.sin(k))], "", 0.0) for k in range(200)]
+    packed = dense.packed(spark.createDataFrame(rows, SCHEMA.replace("id long", "id string")))
+    found = neighbours.searched(packed, neighbours.parted(packed), 2, 200)
+    assert by_query(found) == by_query(dense.nearest(packed, packed, 2))
+
+
+def test_recall_takes_few_jobs(spark, tmp_path):
+    """Rounds of joins over all rows for every beam made hundreds of jobs, whatever the size."""
+    r = random.Random(5)
+    spark.createDataFrame([(k, [r.gauss(0, 1) for _ in range(32)]) for k in range(2000)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.sparkContext.setJobGroup("graph_recall", "")
+    found = search.graph_recall(spark, str(tmp_path)).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("graph_recall")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [tuple(x) for x in found] == [(20, True)] and 0 < len(jobs) < 80
